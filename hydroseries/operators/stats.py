@@ -34,7 +34,8 @@ def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str
     ``name_before``).  Null values are skipped."""
     g = list(group_cols)
     x = df.where(F.col(value_col).isNotNull())
-    if not g:
+    added = not g
+    if added:
         x = x.withColumn(_G0, F.lit(0))
         g = [_G0]
     names = list(weights)
@@ -56,7 +57,7 @@ def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str
     out = agg.join(bk, [*g, "_bk"], "inner").select(
         *g, value_col, *names,
         *[(F.col(f"_pb_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before") for n in names])
-    return out.drop(_G0) if _G0 in g else out
+    return out.drop(_G0) if added else out
 
 
 def exact_quantiles(df: DataFrame, group_cols: Iterable[str], value_col: str,
@@ -64,7 +65,8 @@ def exact_quantiles(df: DataFrame, group_cols: Iterable[str], value_col: str,
     """Exact quantiles with linear interpolation (as pandas / numpy
     ``linear``): one row per group, one column per name in ``qs``."""
     g = list(group_cols)
-    if not g:
+    added = not g
+    if added:
         df = df.withColumn(_G0, F.lit(0))
         g = [_G0]
     cum = cumulative_by_value(df, g, value_col, {"_n": F.lit(1)}, buckets=buckets)
@@ -84,7 +86,7 @@ def exact_quantiles(df: DataFrame, group_cols: Iterable[str], value_col: str,
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * frac).alias(name))
     res = agg.select(*g, *out)
-    return res.drop(_G0) if _G0 in g else res
+    return res.drop(_G0) if added else res
 
 
 def unpivot(df: DataFrame, id_cols: Iterable[str], value_cols: Iterable[str],
@@ -131,7 +133,8 @@ def iqr_outliers(df: DataFrame, value_col: str, k: float = 1.5,
     """Q1: flag values strictly outside ``[Q1 - k IQR, Q3 + k IQR]`` of their
     group; nulls are not outliers.  Adds ``q1, q3, lower, upper, is_outlier``."""
     by = list(by)
-    if not by:
+    added = not by
+    if added:
         df = df.withColumn(_G0, F.lit(0))
         by = [_G0]
     q = exact_quantiles(df, by, value_col, {"q1": 0.25, "q3": 0.75}, buckets=buckets)
@@ -142,4 +145,4 @@ def iqr_outliers(df: DataFrame, value_col: str, k: float = 1.5,
     v = F.col(value_col)
     x = x.withColumn("is_outlier",
                      F.coalesce((v < F.col("lower")) | (v > F.col("upper")), F.lit(False)))
-    return x.drop(_G0) if _G0 in by else x
+    return x.drop(_G0) if added else x
