@@ -77,3 +77,32 @@ def raw_feed(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
 
 __all__ = ["SPEC", "OBS_COLS", "table", "obs", "obs_from", "sites", "feed", "raw_feed",
            "events_as_series", "obs_aggs", "floor_hour"]
+
+
+# --- raster stand-ins from ``embeddings`` -----------------------------------
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scene per embedding label: a time 36 h apart, a polarisation list
+    (VH only for every third label), a mode (EW for labels 1, 5, 9) and a
+    cloud percentage ``(7 * label) mod 50``."""
+    lab = table(spark, sf_dir, "embeddings").select(F.col("label").alias("scene_id")).distinct()
+    s = F.col("scene_id")
+    return lab.select(
+        s,
+        F.timestamp_seconds(F.lit(1704067200) + s * F.lit(36 * 3600)).cast("timestamp_ntz").alias("ts"),
+        F.when(F.pmod(s, F.lit(3)) == 0, F.array(F.lit("VH"))).otherwise(F.array(F.lit("VV"), F.lit("VH")))
+         .alias("polarisations"),
+        F.when(F.pmod(s, F.lit(4)) == 1, F.lit("EW")).otherwise(F.lit("IW")).alias("instrument_mode"),
+        F.pmod(s * F.lit(7), F.lit(50)).cast("double").alias("cloud_pct"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding row is a pixel of scene ``label``: green = element 0,
+    nir = element 1, lon / lat = elements 2 / 3 (degrees), VV = element 4,
+    QA60 = ``(vec_id mod 4) * 1024``."""
+    e = F.col("embedding")
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("pixel_id"), F.col("label").alias("scene_id"),
+        e[2].cast("double").alias("lon"), e[3].cast("double").alias("lat"),
+        e[0].cast("double").alias("B3"), e[1].cast("double").alias("B8"), e[4].cast("double").alias("VV"),
+        (F.pmod(F.col("vec_id"), F.lit(4)) * 1024).cast("int").alias("QA60"))
