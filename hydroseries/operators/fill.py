@@ -57,8 +57,8 @@ def _neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec) -> DataFrame:
     t = to_epoch(spec.ts).cast("double")
     obs = {c: F.when(F.col(c).isNotNull(), F.struct(t.alias("t"), F.col(c).cast("double").alias("v")))
            for c in cols}
-    x = windows.carry(df, spec, {f"_p_{c}": e for c, e in obs.items()}, "forward")
-    return windows.carry(x, spec, {f"_n_{c}": e for c, e in obs.items()}, "backward")
+    return windows.carry_both(df, spec, {f"_p_{c}": e for c, e in obs.items()},
+                              {f"_n_{c}": e for c, e in obs.items()})
 
 
 def _interp(c: str, spec: SeriesSpec) -> Column:

@@ -76,32 +76,50 @@ def carry(df: DataFrame, spec: SeriesSpec, values: dict[str, Column],
     """
     if direction not in ("forward", "backward"):
         raise ValueError(direction)
-    fwd = direction == "forward"
-    tmp = {name: f"_cv_{i}" for i, name in enumerate(values)}
-    loc = {name: f"_cl_{i}" for i, name in enumerate(values)}
-    x = df.withColumns({tmp[n]: e for n, e in values.items()})
-    order = F.col(spec.ts).asc() if fwd else F.col(spec.ts).desc()
+    if direction == "forward":
+        return carry_both(df, spec, values, {})
+    return carry_both(df, spec, {}, values)
+
+
+def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
+               backward: dict[str, Column]) -> DataFrame:
+    """Forward and backward carries in ONE pass: one exchange on
+    ``(keys, chunk)``, an ascending and a descending sort inside it, one
+    partial aggregate for the per-chunk summary, a window over the small
+    chunk table, and one join back on ``(keys, chunk)``.
+
+    The input is read twice (window and summary); callers that feed an
+    expensive plan should materialize it first (``session.materialize``).
+    """
+    names = [("f", n, e) for n, e in forward.items()] + [("b", n, e) for n, e in backward.items()]
+    if not names:
+        return df
+    tmp = {(d, n): f"_cv_{i}" for i, (d, n, _) in enumerate(names)}
+    x = df.withColumns({tmp[(d, n)]: e for d, n, e in names})
+    asc = (Window.unboundedPreceding, Window.currentRow)
     if not spec.chunk_hours:
-        w = (Window.partitionBy(*spec.keys).orderBy(order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return (x.withColumns({n: F.last(tmp[n], True).over(w) for n in values})
-                .drop(*tmp.values()))
+        wf = Window.partitionBy(*spec.keys).orderBy(F.col(spec.ts).asc()).rowsBetween(*asc)
+        wb = Window.partitionBy(*spec.keys).orderBy(F.col(spec.ts).desc()).rowsBetween(*asc)
+        return (x.withColumns({n: F.last(tmp[(d, n)], True).over(wf if d == "f" else wb) for d, n, _ in names})
+                 .drop(*tmp.values()))
     x = x.withColumn(CHUNK, chunk_id(spec))
-    w = (Window.partitionBy(*spec.keys, CHUNK).orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = x.withColumns({loc[n]: F.last(tmp[n], True).over(w) for n in values}).drop(*tmp.values())
-    # Value at the chunk's last row (forward) / first row (backward); the
-    # aggregate reuses the window's partitioning, so it adds no exchange.
-    pick = F.max if fwd else F.min
-    summary = local.groupBy(*spec.keys, CHUNK).agg(
-        *[pick(F.struct(F.col(spec.ts).alias("t"), F.col(loc[n]).alias("v"))).alias(loc[n])
-          for n in values])
-    cw = (Window.partitionBy(*spec.keys).orderBy(F.col(CHUNK).asc() if fwd else F.col(CHUNK).desc())
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carried = summary.select(*spec.keys, CHUNK,
-                             *[F.last(F.col(loc[n]).getField("v"), True).over(cw).alias(f"_cc_{i}")
-                               for i, n in enumerate(values)])
+    wf = Window.partitionBy(*spec.keys, CHUNK).orderBy(F.col(spec.ts).asc()).rowsBetween(*asc)
+    wb = Window.partitionBy(*spec.keys, CHUNK).orderBy(F.col(spec.ts).desc()).rowsBetween(*asc)
+    loc = {k: f"_cl_{i}" for i, k in enumerate(tmp)}
+    local = x.withColumns({loc[(d, n)]: F.last(tmp[(d, n)], True).over(wf if d == "f" else wb)
+                           for d, n, _ in names})
+    # Per chunk: last (forward) / first (backward) non-null value with its time.
+    summary = x.groupBy(*spec.keys, CHUNK).agg(*[
+        (F.max if d == "f" else F.min)(
+            F.when(F.col(tmp[(d, n)]).isNotNull(),
+                   F.struct(F.col(spec.ts).alias("t"), F.col(tmp[(d, n)]).alias("v")))).alias(tmp[(d, n)])
+        for d, n, _ in names])
+    cf = Window.partitionBy(*spec.keys).orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    cb = Window.partitionBy(*spec.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cc = {k: f"_cc_{i}" for i, k in enumerate(tmp)}
+    carried = summary.select(*spec.keys, CHUNK, *[
+        F.last(F.col(tmp[(d, n)]).getField("v"), True).over(cf if d == "f" else cb).alias(cc[(d, n)])
+        for d, n, _ in names])
     out = local.join(carried, [*spec.keys, CHUNK], "left")
-    return (out.withColumns({n: F.coalesce(F.col(loc[n]), F.col(f"_cc_{i}"))
-                             for i, n in enumerate(values)})
-            .drop(CHUNK, *loc.values(), *[f"_cc_{i}" for i in range(len(values))]))
+    return (out.withColumns({n: F.coalesce(F.col(loc[(d, n)]), F.col(cc[(d, n)])) for d, n, _ in names})
+               .drop(CHUNK, *tmp.values(), *loc.values(), *cc.values()))

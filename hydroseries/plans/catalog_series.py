@@ -15,6 +15,7 @@ from hydroseries.operators import combine, features, fill, stats, timegrid
 from hydroseries.plans import sqlkit as S
 from hydroseries.plans import staging
 from hydroseries.plans.registry import finish, register
+from hydroseries.session import materialize
 
 SPEC = staging.SPEC
 COLS = list(staging.OBS_COLS)
@@ -34,7 +35,9 @@ def grid(spark, d):
 
 
 def dense(spark, d):
-    return timegrid.densify(obs(spark, d), SPEC)
+    """Hourly table cut once (reliable checkpoint): the grid bounds, the join
+    and both fill passes read it, and none of them rescans ``events``."""
+    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), SPEC)
 
 
 def imputed(spark, d):

@@ -54,11 +54,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="hydroseries-ckpt-")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        d = tempfile.mkdtemp(prefix="hydroseries-ckpt-")  # local runs and tests only
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
 
 
+def materialize(df, mode: str | None = "checkpoint"):
+    """Cut a plan that later steps read more than once.
+
+    ``checkpoint``: reliable checkpoint to the shared checkpoint folder (cuts
+    lineage, survives executor loss); ``persist``: memory-and-disk cache;
+    ``None``: unchanged.  Never a local checkpoint.
+    """
+    if mode is None:
+        return df
+    if mode == "checkpoint":
+        checkpoint_dir(df.sparkSession)
+        return df.checkpoint(eager=True)
+    if mode == "persist":
+        from pyspark import StorageLevel
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    raise ValueError(mode)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
