@@ -32,11 +32,13 @@ def ffill(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC,
     if spec.chunk_hours and limit >= spec.chunk_hours:
         # Longer than a chunk: carry (hour, value) and keep it while young enough.
         h = F.floor(to_epoch(spec.ts) / 3600)
-        x = windows.carry(df, spec, {f"_lf_{c}": F.when(F.col(c).isNotNull(), F.struct(h.alias("h"), F.col(c).alias("v")))
-                                     for c in cols}, "forward")
-        return x.withColumns({c: F.when(h - F.col(f"_lf_{c}").getField("h") <= limit,
-                                        F.col(f"_lf_{c}").getField("v")) for c in cols}).drop(
-            *[f"_lf_{c}" for c in cols])
+        vals = {}
+        for c in cols:
+            vals[f"_lh_{c}"] = F.when(F.col(c).isNotNull(), h)
+            vals[f"_lv_{c}"] = F.col(c)
+        x = windows.carry(df, spec, vals, "forward")
+        return x.withColumns({c: F.when(h - F.col(f"_lh_{c}") <= limit, F.col(f"_lv_{c}")) for c in cols}).drop(
+            *vals)
 
     def build(x, w):
         fw = w.rowsBetween(-limit, Window.currentRow)
@@ -52,19 +54,25 @@ def bfill(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC) -> DataF
 
 
 def _neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec) -> DataFrame:
-    """Adds ``_p_{c}`` and ``_n_{c}``: structs ``(t, v)`` of the previous and
-    next non-null value of each column (at or around the row)."""
+    """Adds ``_pt_{c}, _pv_{c}`` (time and value of the previous non-null at or
+    before the row) and ``_nt_{c}, _nv_{c}`` (the next one at or after it), for
+    all columns in one forward + backward pass."""
     t = to_epoch(spec.ts).cast("double")
-    obs = {c: F.when(F.col(c).isNotNull(), F.struct(t.alias("t"), F.col(c).cast("double").alias("v")))
-           for c in cols}
-    return windows.carry_both(df, spec, {f"_p_{c}": e for c, e in obs.items()},
-                              {f"_n_{c}": e for c, e in obs.items()})
+    fwd, bwd = {}, {}
+    for c in cols:
+        tc, vc = F.when(F.col(c).isNotNull(), t), F.col(c).cast("double")
+        fwd[f"_pt_{c}"], fwd[f"_pv_{c}"] = tc, vc
+        bwd[f"_nt_{c}"], bwd[f"_nv_{c}"] = tc, vc
+    return windows.carry_both(df, spec, fwd, bwd)
+
+
+def _tmp(cols) -> list[str]:
+    return [f"_{s}_{c}" for c in cols for s in ("pt", "pv", "nt", "nv")]
 
 
 def _interp(c: str, spec: SeriesSpec) -> Column:
-    p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
     t = to_epoch(spec.ts).cast("double")
-    pt, pv, nt, nv = p.getField("t"), p.getField("v"), n.getField("t"), n.getField("v")
+    pt, pv, nt, nv = (F.col(f"_{s}_{c}") for s in ("pt", "pv", "nt", "nv"))
     return F.when(nt == pt, pv).otherwise(pv + (nv - pv) * (t - pt) / (nt - pt))
 
 
@@ -73,7 +81,7 @@ def interpolate_time(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPE
     cols = list(cols)
     x = _neighbours(df, cols, spec)
     return (x.withColumns({c: F.coalesce(F.col(c).cast("double"), _interp(c, spec)) for c in cols})
-             .drop(*[f"_{s}_{c}" for c in cols for s in "pn"]))
+             .drop(*_tmp(cols)))
 
 
 def interpolate_linear(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC) -> DataFrame:
@@ -82,9 +90,8 @@ def interpolate_linear(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _S
     cols = list(cols)
     x = _neighbours(df, cols, spec)
     return (x.withColumns({c: F.coalesce(F.col(c).cast("double"), _interp(c, spec),
-                                         F.col(f"_p_{c}").getField("v"),
-                                         F.col(f"_n_{c}").getField("v")) for c in cols})
-             .drop(*[f"_{s}_{c}" for c in cols for s in "pn"]))
+                                         F.col(f"_pv_{c}"), F.col(f"_nv_{c}")) for c in cols})
+             .drop(*_tmp(cols)))
 
 
 # --- policies ---------------------------------------------------------------
@@ -117,15 +124,14 @@ def impute_series(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC,
     for c in cols:
         method, fb = pol[c]
         if method == "continuous":
-            e = F.coalesce(F.col(c).cast("double"), _interp(c, spec),
-                           F.col(f"_p_{c}").getField("v"), F.col(f"_n_{c}").getField("v"))
+            e = F.coalesce(F.col(c).cast("double"), _interp(c, spec), F.col(f"_pv_{c}"), F.col(f"_nv_{c}"))
         elif method == "zero":
             e = F.col(c)
             fb = 0.0 if fb is None else fb
         else:
             raise ValueError(f"unknown fill method {method!r} for {c}")
         out[c] = F.coalesce(e, F.lit(fb)) if fb is not None else e
-    return x.withColumns(out).drop(*[f"_{s}_{c}" for c in cont for s in "pn"])
+    return x.withColumns(out).drop(*_tmp(cont))
 
 
 def fill_missing(df: DataFrame, strategy: str = "ffill", cols: Iterable[str] | None = None,

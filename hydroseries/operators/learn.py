@@ -24,6 +24,7 @@ from hydroseries import config as C
 from hydroseries.config import TrainConfig
 from hydroseries.operators import evaluate, scaling
 from hydroseries.operators.split import time_split
+from hydroseries.session import materialize
 
 VAL_COL = "_is_val"
 
@@ -91,7 +92,8 @@ class TrainResult:
 
 
 def train_and_evaluate(feats: DataFrame, model_type: str = "classification", cfg: TrainConfig = TrainConfig(),
-                       by: Sequence[str] = ("site_id",), learner: str = "gbt") -> TrainResult:
+                       by: Sequence[str] = ("site_id",), learner: str = "gbt",
+                       cut: str | None = "checkpoint") -> TrainResult:
     """M8: chronological split, min-max scaler (fit on the training rows, or
     on all rows for parity), train with validation, evaluate on test."""
     if model_type not in ("classification", "regression"):
@@ -102,7 +104,9 @@ def train_and_evaluate(feats: DataFrame, model_type: str = "classification", cfg
     fit_rows = x if cfg.scaler_fit_on == "all" else x.filter(F.col("split") == "train")
     scaler = scaling.fit_minmax(fit_rows, names)
     keep = [*by, "ts", "split", *C.ALL_TARGET_COLUMNS]
-    xs = scaling.apply_minmax(x, scaler, keep=keep)
+    # The scaled table feeds the learner (several passes) and the test scoring:
+    # cut it once so the feature pipeline is not recomputed for each.
+    xs = materialize(scaling.apply_minmax(x, scaler, keep=keep), cut)
     tv = xs.filter(F.col("split") != "test").withColumn(VAL_COL, F.col("split") == "val")
     trainer = train_classifier if model_type == "classification" else train_regressor
     model = trainer(tv, names, label, cfg, learner)

@@ -72,7 +72,9 @@ def carry(df: DataFrame, spec: SeriesSpec, values: dict[str, Column],
 
     ``forward``: the last non-null value at or before the row (unbounded
     forward fill); ``backward``: the first non-null value at or after it.
-    Values may be structs, which lets a caller carry a value with its time.
+    Carry a value's time as a second column with the same null pattern (both
+    come from the same row); scalar columns keep the chunk summary a hash
+    aggregate.
     """
     if direction not in ("forward", "backward"):
         raise ValueError(direction)
@@ -108,17 +110,17 @@ def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
     loc = {k: f"_cl_{i}" for i, k in enumerate(tmp)}
     local = x.withColumns({loc[(d, n)]: F.last(tmp[(d, n)], True).over(wf if d == "f" else wb)
                            for d, n, _ in names})
-    # Per chunk: last (forward) / first (backward) non-null value with its time.
+    # Per chunk: last (forward) / first (backward) non-null value.  max_by /
+    # min_by on scalar columns keep this a hash aggregate (no sort).
     summary = x.groupBy(*spec.keys, CHUNK).agg(*[
-        (F.max if d == "f" else F.min)(
-            F.when(F.col(tmp[(d, n)]).isNotNull(),
-                   F.struct(F.col(spec.ts).alias("t"), F.col(tmp[(d, n)]).alias("v")))).alias(tmp[(d, n)])
+        (F.max_by if d == "f" else F.min_by)(
+            F.col(tmp[(d, n)]), F.when(F.col(tmp[(d, n)]).isNotNull(), F.col(spec.ts))).alias(tmp[(d, n)])
         for d, n, _ in names])
     cf = Window.partitionBy(*spec.keys).orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1)
     cb = Window.partitionBy(*spec.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     cc = {k: f"_cc_{i}" for i, k in enumerate(tmp)}
     carried = summary.select(*spec.keys, CHUNK, *[
-        F.last(F.col(tmp[(d, n)]).getField("v"), True).over(cf if d == "f" else cb).alias(cc[(d, n)])
+        F.last(F.col(tmp[(d, n)]), True).over(cf if d == "f" else cb).alias(cc[(d, n)])
         for d, n, _ in names])
     out = local.join(carried, [*spec.keys, CHUNK], "left")
     return (out.withColumns({n: F.coalesce(F.col(loc[(d, n)]), F.col(cc[(d, n)])) for d, n, _ in names})

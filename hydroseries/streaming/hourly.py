@@ -79,7 +79,10 @@ def scoring_batch(spark: SparkSession, hourly_path: str, pred_path: str, cols: l
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("batch_id", "date").parquet(hourly_path))
         touched = batch.select(*spec.keys).distinct()
-        hourly = spark.read.parquet(hourly_path).drop("date", "batch_id").join(touched, list(spec.keys), "left_semi")
+        # Only the dates the realtime window can reach are read (partition pruning).
+        lo = batch.agg(F.min(spec.ts)).first()[0] - dt.timedelta(hours=window_hours)
+        hourly = (spark.read.parquet(hourly_path).filter(F.col("date") >= F.lit(lo.date()))
+                  .drop("date", "batch_id").join(touched, list(spec.keys), "left_semi"))
         latest = latest_window_features(hourly, cols, window_hours, cfg, spec)
         preds = scorer(latest).withColumn("batch_id", F.lit(batch_id).cast("long"))
         (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
