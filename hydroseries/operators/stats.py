@@ -18,6 +18,7 @@ The result is exact; the sketch only decides where the work is cut.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -26,6 +27,17 @@ from pyspark.sql import functions as F
 _G0 = "_g0"
 
 
+def _bucket_of(bounds: Column, v: Column, fan: int) -> Column:
+    """Number of the ``fan**2 - 1`` sorted bounds below ``v``, by a two-level
+    search: ``fan - 1`` coarse comparisons pick a block, ``fan - 1`` fine ones
+    count inside it.  Plain comparisons keep it inside whole-stage codegen
+    (a higher-order ``filter`` over all bounds would be interpreted)."""
+    one = lambda e: F.when(e, F.lit(1)).otherwise(F.lit(0))
+    coarse = sum(one(F.get(bounds, F.lit(fan * i - 1)) < v) for i in range(1, fan))
+    fine = sum(one(F.get(bounds, coarse * fan + F.lit(j - 1)) < v) for j in range(1, fan))
+    return coarse * fan + fine
+
+
 def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str,
                         weights: Mapping[str, Column], buckets: int = 256,
                         accuracy: int = 10000) -> DataFrame:
@@ -41,10 +53,12 @@ def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str
     names = list(weights)
     agg = x.groupBy(*g, value_col).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
     if buckets > 1:
-        splits = [i / buckets for i in range(1, buckets)]
+        fan = max(2, math.ceil(math.sqrt(buckets)))
+        n_b = fan * fan
+        splits = [i / n_b for i in range(1, n_b)]
         bounds = agg.groupBy(*g).agg(F.percentile_approx(value_col, splits, accuracy).alias("_b"))
         agg = (agg.join(bounds, g, "left")
-                  .withColumn("_bk", F.size(F.filter("_b", lambda b: b < F.col(value_col))))
+                  .withColumn("_bk", _bucket_of(F.col("_b"), F.col(value_col), fan))
                   .drop("_b"))
     else:
         agg = agg.withColumn("_bk", F.lit(0))

@@ -155,7 +155,8 @@ register("fill_from_source", _M + S.final(COLS, BASE, "(SELECT d0.site_id, d0.ts
 
 
 def _sat_rain(spark, d):
-    return (staging.raw_feed(spark, d, 1)
+    """A point source with gaps: every event's value / 100 at its own time."""
+    return (staging.events_as_series(staging.table(spark, d, "events"))
             .select("site_id", "ts", (F.col("value") / F.lit(100.0)).alias("satellite_rainfall_mm_hr")))
 
 
@@ -176,9 +177,9 @@ def _sparse_sql(name: str, select: str, limit: int | None) -> str:
 
 
 _SAT_SQL = _sparse_sql("sat", "SELECT event_type AS site_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, "
-                              "avg(value / 100.0) AS v FROM events WHERE user_id % 2 = 1 GROUP BY 1, 2", 24)
+                              "avg(value / 100.0) AS v FROM events GROUP BY 1, 2", 24)
 _SAT_ALL_SQL = _sparse_sql("sat", "SELECT event_type AS site_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts, "
-                                  "avg(value / 100.0) AS v FROM events WHERE user_id % 2 = 1 GROUP BY 1, 2", None)
+                                  "avg(value / 100.0) AS v FROM events GROUP BY 1, 2", None)
 _SOIL_SQL = _sparse_sql("soil", "SELECT event_type AS site_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, "
                                 "avg(value) / 1000.0 AS v FROM events GROUP BY 1, 2", 24)
 

@@ -19,8 +19,8 @@ OBS_SELECT = """SELECT event_type AS site_id, CAST(date_trunc('hour', ts) AS TIM
 FROM {src} GROUP BY 1, 2"""
 
 OBS = "obs AS (" + OBS_SELECT.format(src="events") + ")"
-FEED0 = "feed0 AS (" + OBS_SELECT.format(src="(SELECT * FROM events WHERE user_id % 2 = 0)") + ")"
-FEED1 = "feed1 AS (" + OBS_SELECT.format(src="(SELECT * FROM events WHERE user_id % 2 = 1)") + ")"
+FEED0 = "feed0 AS (" + OBS_SELECT.format(src="(SELECT * FROM events WHERE minute(ts) < 30)") + ")"
+FEED1 = "feed1 AS (" + OBS_SELECT.format(src="(SELECT * FROM events WHERE minute(ts) >= 30)") + ")"
 SPANS = "spans AS (SELECT site_id, min(ts) AS s, max(ts) AS e FROM obs GROUP BY 1)"
 GRID = "grid AS (SELECT site_id, unnest(generate_series(s, e, INTERVAL 1 HOUR)) AS ts FROM spans)"
 DENSE = ("dense AS (SELECT g.site_id, g.ts, o.local_water_level_m, o.rain_1h, o.humidity "

@@ -11,7 +11,8 @@ query's work grows with the tables:
 * ``sites``: one row per site, joined to ``nation`` on
   ``n_nationkey = length(site_id)`` for a static elevation.
 * sources for the merge operators: ``events`` split into two sensor feeds by
-  the parity of ``user_id`` (every row lands in exactly one feed).
+  reading time — minutes 0-29 and 30-59 of each hour (every row lands in
+  exactly one feed, together they are the whole table).
 * raster stand-ins: ``embeddings`` rows as pixels, ``label`` as the scene.
 """
 
@@ -65,14 +66,19 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("n_regionkey") * F.lit(0.01)).alias("lat")))
 
 
-def feed(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
-    """Hourly series of one of the two sensor feeds (``user_id % 2``)."""
-    ev = events_as_series(table(spark, sf_dir, "events")).filter(F.pmod("user_id", F.lit(2)) == parity)
-    return resample(ev, obs_aggs(), SPEC)
+def _half(half: int):
+    m = F.minute("ts")
+    return m < 30 if half == 0 else m >= 30
+
+
+def feed(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
+    """Hourly series of one of the two sensor feeds (readings in the first or
+    the second half of each hour)."""
+    return resample(raw_feed(spark, sf_dir, half), obs_aggs(), SPEC)
 
 
-def raw_feed(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
-    return events_as_series(table(spark, sf_dir, "events")).filter(F.pmod("user_id", F.lit(2)) == parity)
+def raw_feed(spark: SparkSession, sf_dir: str, half: int) -> DataFrame:
+    return events_as_series(table(spark, sf_dir, "events")).filter(_half(half))
 
 
 __all__ = ["SPEC", "OBS_COLS", "table", "obs", "obs_from", "sites", "feed", "raw_feed",
