@@ -100,13 +100,13 @@ def train_and_evaluate(feats: DataFrame, model_type: str = "classification", cfg
         raise ValueError(model_type)
     label = C.TARGET_CLASSIFICATION if model_type == "classification" else C.TARGET_REGRESSION
     names = scaling.feature_columns(feats)
-    x = time_split(feats, "ts", by, cfg.test_ratio, cfg.validation_ratio)
+    # The split table feeds the scaler fit, the learner (several passes) and
+    # the test scoring: cut it once so the feature pipeline runs only once.
+    x = materialize(time_split(feats, "ts", by, cfg.test_ratio, cfg.validation_ratio), cut)
     fit_rows = x if cfg.scaler_fit_on == "all" else x.filter(F.col("split") == "train")
     scaler = scaling.fit_minmax(fit_rows, names)
     keep = [*by, "ts", "split", *C.ALL_TARGET_COLUMNS]
-    # The scaled table feeds the learner (several passes) and the test scoring:
-    # cut it once so the feature pipeline is not recomputed for each.
-    xs = materialize(scaling.apply_minmax(x, scaler, keep=keep), cut)
+    xs = scaling.apply_minmax(x, scaler, keep=keep)
     tv = xs.filter(F.col("split") != "test").withColumn(VAL_COL, F.col("split") == "val")
     trainer = train_classifier if model_type == "classification" else train_regressor
     model = trainer(tv, names, label, cfg, learner)
