@@ -65,7 +65,7 @@ def accuracy(df: DataFrame, y: str = "label", yhat: str = "prediction") -> DataF
                   F.count(F.lit(1)).alias("n"))
 
 
-def roc_auc(df: DataFrame, y: str = "label", score: str = "score", buckets: int = 256) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "label", score: str = "score", buckets: int | None = None) -> DataFrame:
     """E5: exact ROC AUC with ties (trapezoid = probability a positive
     outranks a negative, ties counting one half); null with one class."""
     cum = cumulative_by_value(df, [], score, {"pos": F.col(y).cast("long"),

@@ -135,7 +135,7 @@ def impute_series(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC,
 
 
 def fill_missing(df: DataFrame, strategy: str = "ffill", cols: Iterable[str] | None = None,
-                 spec: SeriesSpec = _SPEC, buckets: int = 256) -> DataFrame:
+                 spec: SeriesSpec = _SPEC, buckets: int | None = None) -> DataFrame:
     """one strategy for the listed columns (all non-key columns if None):
     ``ffill``, ``bfill``, ``mean``, ``median`` (per series) or ``zero``.
     Unknown columns are skipped, as the reference does."""

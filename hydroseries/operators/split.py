@@ -29,7 +29,7 @@ def latest(df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFrame:
 
 def time_split(df: DataFrame, ts: str = "ts", by: Iterable[str] = ("site_id",),
                test: float = 0.2, val: float = 0.2, name: str = "split",
-               buckets: int = 256) -> DataFrame:
+               buckets: int | None = None) -> DataFrame:
     """Chronological split per group (``by=()``: one global order).
 
     Row rank r (0-based, by time) goes to ``test`` if ``r >= int(n*(1-test))``,

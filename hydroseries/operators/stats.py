@@ -7,9 +7,11 @@ task, and Spark's exact ``percentile`` aggregate merges every distinct value of
 a group in one task.  ``cumulative_by_value`` instead
 
 1. collapses equal values per group with a partial (map side) aggregate,
-2. cuts each group into ``buckets`` value ranges whose bounds come from a
-   bounded-memory ``percentile_approx`` sketch (so buckets hold about equally
-   many distinct values, and a hot group is spread over ``buckets`` tasks),
+2. cuts each group into value buckets whose bounds come from a bounded-memory
+   ``percentile_approx`` sketch, so buckets hold about equally many distinct
+   values and a hot group is spread over many tasks; by default the bucket
+   count grows with the largest group (``auto_buckets``) so a bucket holds
+   about two million distinct values at most,
 3. runs the ordered window inside ``(group, bucket)`` only, and adds the
    bucket prefix from a tiny ``(group, bucket)`` table.
 
@@ -27,20 +29,32 @@ from pyspark.sql import functions as F
 _G0 = "_g0"
 
 
-def _bucket_of(bounds: Column, v: Column, fan: int) -> Column:
+def _with_bucket(df: DataFrame, bounds: str, v: str, fan: int, out: str = "_bk") -> DataFrame:
     """Number of the ``fan**2 - 1`` sorted bounds below ``v``, by a two-level
     search: ``fan - 1`` coarse comparisons pick a block, ``fan - 1`` fine ones
-    count inside it.  Plain comparisons keep it inside whole-stage codegen
-    (a higher-order ``filter`` over all bounds would be interpreted)."""
+    count inside it.  Plain comparisons keep it inside whole-stage codegen (a
+    higher-order ``filter`` over all bounds would be interpreted); the coarse
+    block is its own projection, so the expression stays O(fan)."""
     one = lambda e: F.when(e, F.lit(1)).otherwise(F.lit(0))
-    coarse = sum(one(F.get(bounds, F.lit(fan * i - 1)) < v) for i in range(1, fan))
-    fine = sum(one(F.get(bounds, coarse * fan + F.lit(j - 1)) < v) for j in range(1, fan))
-    return coarse * fan + fine
+    b, x = F.col(bounds), F.col(v)
+    coarse = sum(one(F.get(b, F.lit(fan * i - 1)) < x) for i in range(1, fan))
+    df = df.withColumn("_bc", coarse)
+    fine = sum(one(F.get(b, F.col("_bc") * fan + F.lit(j - 1)) < x) for j in range(1, fan))
+    return df.withColumn(out, F.col("_bc") * fan + fine).drop("_bc")
+
+
+def auto_buckets(df: DataFrame, group_cols: list[str], value_col: str, target: int = 2_000_000,
+                 lo: int = 16, hi: int = 65536) -> int:
+    """Bucket count so that the largest group's buckets hold about ``target``
+    distinct values (a one-number planning aggregate, like range sampling)."""
+    m = (df.groupBy(*group_cols).agg(F.approx_count_distinct(value_col).alias("_d"))
+           .agg(F.max("_d")).first()[0]) or 0
+    return int(min(hi, max(lo, math.ceil(m / target))))
 
 
 def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str,
-                        weights: Mapping[str, Column], buckets: int = 256,
-                        accuracy: int = 10000) -> DataFrame:
+                        weights: Mapping[str, Column], buckets: int | None = None,
+                        accuracy: int | None = None) -> DataFrame:
     """For every distinct ``(group, value)``: the sum of each weight at that
     value (column ``name``) and over all smaller values of the group (column
     ``name_before``).  Null values are skipped."""
@@ -51,15 +65,16 @@ def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str
         x = x.withColumn(_G0, F.lit(0))
         g = [_G0]
     names = list(weights)
+    if buckets is None:
+        buckets = auto_buckets(x, g, value_col)
     agg = x.groupBy(*g, value_col).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
     if buckets > 1:
         fan = max(2, math.ceil(math.sqrt(buckets)))
         n_b = fan * fan
         splits = [i / n_b for i in range(1, n_b)]
-        bounds = agg.groupBy(*g).agg(F.percentile_approx(value_col, splits, accuracy).alias("_b"))
-        agg = (agg.join(bounds, g, "left")
-                  .withColumn("_bk", _bucket_of(F.col("_b"), F.col(value_col), fan))
-                  .drop("_b"))
+        acc = accuracy or max(10000, 4 * n_b)
+        bounds = agg.groupBy(*g).agg(F.percentile_approx(value_col, splits, acc).alias("_b"))
+        agg = _with_bucket(agg.join(bounds, g, "left"), "_b", value_col, fan).drop("_b")
     else:
         agg = agg.withColumn("_bk", F.lit(0))
     prev = Window.unboundedPreceding
@@ -75,7 +90,7 @@ def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str
 
 
 def exact_quantiles(df: DataFrame, group_cols: Iterable[str], value_col: str,
-                    qs: Mapping[str, float], buckets: int = 256) -> DataFrame:
+                    qs: Mapping[str, float], buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (as pandas / numpy
     ``linear``): one row per group, one column per name in ``qs``."""
     g = list(group_cols)
@@ -110,7 +125,7 @@ def unpivot(df: DataFrame, id_cols: Iterable[str], value_cols: Iterable[str],
 
 
 def column_stats(df: DataFrame, cols: Iterable[str], by: Iterable[str] = ("site_id",),
-                 buckets: int = 256) -> DataFrame:
+                 buckets: int | None = None) -> DataFrame:
     """A2: mean and exact median of each column per group, long form
     ``by..., column, mean, median``."""
     by = list(by)
@@ -143,7 +158,7 @@ def observed_count(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observ
 
 
 def iqr_outliers(df: DataFrame, value_col: str, k: float = 1.5,
-                 by: Iterable[str] = (), buckets: int = 256) -> DataFrame:
+                 by: Iterable[str] = (), buckets: int | None = None) -> DataFrame:
     """Q1: flag values strictly outside ``[Q1 - k IQR, Q3 + k IQR]`` of their
     group; nulls are not outliers.  Adds ``q1, q3, lower, upper, is_outlier``."""
     by = list(by)

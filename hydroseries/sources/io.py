@@ -26,7 +26,7 @@ SERIES_SCHEMA = T.StructType([
 FORECAST_ITEM = T.StructType([
     T.StructField("dt", T.LongType()),
     T.StructField("main", T.StructType([T.StructField(c, T.DoubleType()) for c in
-                                        ("temp", "humidity", "pressure", "temp_min", "temp_max")])),
+                                        ("temp", "humidity", "pressure", "temp_min", "temp_max", "dew_point")])),
     T.StructField("wind", T.StructType([T.StructField("speed", T.DoubleType()),
                                         T.StructField("deg", T.DoubleType())])),
     T.StructField("clouds", T.StructType([T.StructField("all", T.DoubleType())])),
@@ -60,12 +60,22 @@ def read_series(spark: SparkSession, path: str, schema: T.StructType = SERIES_SC
     return nan_to_null(out)
 
 
-def flatten_forecast(docs: DataFrame, keys: Sequence[str] = ("site_id",), list_col: str = "list") -> DataFrame:
+def flatten_forecast(docs: DataFrame, keys: Sequence[str] = ("site_id",), list_col: str = "list",
+                     extras: bool = False) -> DataFrame:
     """S2 + C7: one row per list item; rain 1h / 3h default to 0.0; the first
-    weather entry or null; epoch seconds become UTC time."""
+    weather entry or null; epoch seconds become UTC time.  ``extras`` (D6)
+    also keeps the optional ``temp_min, temp_max, dew_point, visibility,
+    cloud_cover`` fields (null where a document lacks them)."""
     it = docs.select(*keys, F.explode(list_col).alias("i"))
     i = F.col("i")
     w0 = F.get(i.getField("weather"), 0)
+    more = []
+    if extras:
+        more = [i.getField("main").getField("temp_min").alias("temp_min"),
+                i.getField("main").getField("temp_max").alias("temp_max"),
+                i.getField("main").getField("dew_point").alias("dew_point"),
+                i.getField("visibility").alias("visibility"),
+                i.getField("clouds").getField("all").alias("cloud_cover")]
     return it.select(
         *keys,
         from_epoch(i.getField("dt")).alias("ts"),
@@ -79,6 +89,7 @@ def flatten_forecast(docs: DataFrame, keys: Sequence[str] = ("site_id",), list_c
         w0.getField("description").alias("weather_description"),
         F.coalesce(i.getField("rain").getField("1h"), F.lit(0.0)).alias("rain_1h"),
         F.coalesce(i.getField("rain").getField("3h"), F.lit(0.0)).alias("rain_3h"),
+        *more,
     )
 
 
@@ -88,10 +99,10 @@ def parse_forecast(df: DataFrame, text: str | Column = "doc", keys: Sequence[str
     return flatten_forecast(df.select(*keys, doc.alias("_d")).select(*keys, "_d.list"), keys)
 
 
-def read_forecast(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+def read_forecast(spark: SparkSession, path: str, multiline: bool = True, extras: bool = False) -> DataFrame:
     """S2 for landed files: one document per file (``multiLine``) or per line."""
     docs = spark.read.schema(FORECAST_SCHEMA).option("multiLine", multiline).json(path)
-    return flatten_forecast(docs)
+    return flatten_forecast(docs, extras=extras)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),

@@ -47,6 +47,12 @@ def test_read_forecast(spark, forecast_dir):
     assert (b0["rain_1h"], b0["rain_3h"], b0["weather_main"], b0["weather_description"]) == (0.0, 0.0, None, None)
 
 
+def test_forecast_extras(spark, forecast_dir):
+    rows = io.read_forecast(spark, forecast_dir, extras=True).collect()
+    assert {"temp_min", "temp_max", "dew_point", "visibility", "cloud_cover"} <= set(rows[0].asDict())
+    assert all(r["cloud_cover"] == 40.0 and r["temp_min"] is None for r in rows)
+
+
 def test_forecast_hourly_fill(spark, forecast_dir):
     flat = io.read_forecast(spark, forecast_dir).filter("site_id = 'a'")
     hourly = timegrid.densify(timegrid.resample_mean(flat, ["temperature", "rain_1h", "rain_3h"]))

@@ -17,7 +17,7 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, v double"), rows
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64])
+@pytest.mark.parametrize("buckets", [None, 1, 3, 64, 1000])
 def test_exact_quantiles(skewed, buckets):
     df, rows = skewed
     qs = {"q1": 0.25, "med": 0.5, "q3": 0.75, "p9": 0.9}
