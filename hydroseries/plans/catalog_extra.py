@@ -81,14 +81,19 @@ _RT = (f"recent AS (SELECT * FROM obs WHERE ts BETWEEN TIMESTAMP '{_START}' AND
        "rdense AS (SELECT g.site_id, g.ts, r.local_water_level_m, r.rain_1h, r.humidity FROM rgrid g "
        "LEFT JOIN recent r ON g.site_id = r.site_id AND g.ts = r.ts)")
 
+def _recent(spark, d):
+    raw = staging.events_as_series(staging.table(spark, d, "events"))
+    return pipeline.recent_hourly(raw, staging.obs_aggs(), AS_OF, WIN, SPEC)
+
+
 register("realtime_window", S.with_(S.OBS, _RT, S.imputed_cte("rimp", "rdense")) + S.final(COLS, BASE, "rimp"))(
-    lambda spark, d: finish(pipeline.build_realtime_window(obs(spark, d), COLS, AS_OF, WIN, SPEC)[0]
+    lambda spark, d: finish(pipeline.build_realtime_window(_recent(spark, d), COLS, AS_OF, WIN, SPEC)[0]
                             .select(*BASE, *COLS)))
 
 register("realtime_sufficiency", S.with_(S.OBS, _RT) + (
     "SELECT site_id, count(*) AS n_rows, CAST(25 AS BIGINT) AS needed, count(*) >= 25 AS sufficient "
     "FROM recent GROUP BY 1"))(
-    lambda spark, d: pipeline.build_realtime_window(obs(spark, d), COLS, AS_OF, WIN, SPEC)[1])
+    lambda spark, d: pipeline.build_realtime_window(_recent(spark, d), COLS, AS_OF, WIN, SPEC)[1])
 
 
 # --- S1 + S4, S7 round trips ------------------------------------------------

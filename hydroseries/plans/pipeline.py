@@ -49,14 +49,31 @@ def feature_table(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), spec
     return features.build_features(history, cfg, spec, sites)
 
 
+def window_bounds(as_of: dt.datetime, window_hours: int) -> tuple[dt.datetime, dt.datetime]:
+    """First and last hour of the realtime window ending at ``as_of``."""
+    end = dt.datetime(as_of.year, as_of.month, as_of.day, as_of.hour)
+    return end - dt.timedelta(hours=window_hours - 1), end
+
+
+def recent_hourly(raw: DataFrame, aggs: dict, as_of: dt.datetime, window_hours: int,
+                  spec: SeriesSpec = _SPEC, ts: str | None = None) -> DataFrame:
+    """Hourly table of the realtime window from RAW readings: the time range is
+    applied to the raw timestamp first, so it reaches the parquet scan as a
+    pushed filter (row groups outside the window are skipped) instead of
+    filtering after aggregating all history."""
+    start, end = window_bounds(as_of, window_hours)
+    t = F.col(ts or spec.ts)
+    raw = raw.filter((t >= F.lit(start)) & (t < F.lit(end + dt.timedelta(hours=1))))
+    return timegrid.resample(raw, aggs, spec, ts=ts)
+
+
 def build_realtime_window(hourly: DataFrame, cols: Sequence[str], as_of: dt.datetime, window_hours: int,
                           spec: SeriesSpec = _SPEC, rows_needed: int = FeatureConfig().history_rows_needed
                           ) -> tuple[DataFrame, DataFrame]:
     """``build_realtime_window``: the last ``window_hours`` hours up to
     ``as_of`` (floored to the hour) for every site, on a dense grid, absent
     columns added as null, imputed; plus the sufficiency report (Z4)."""
-    end = dt.datetime(as_of.year, as_of.month, as_of.day, as_of.hour)
-    start = end - dt.timedelta(hours=window_hours - 1)
+    start, end = window_bounds(as_of, window_hours)
     recent = timegrid.time_range(hourly, start, end, spec.ts)
     recent = scaling.ensure_columns(recent, cols)
     window = build_history(recent, cols, spec, start=start, end=end, cut=None)
