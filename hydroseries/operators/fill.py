@@ -18,7 +18,7 @@ from hydroseries import config as C
 from hydroseries.config import SeriesSpec
 from hydroseries.functions.time import to_epoch
 from hydroseries.operators import windows
-from hydroseries.operators.stats import exact_quantiles
+from hydroseries.operators.stats import group_quantiles
 
 _SPEC = SeriesSpec()
 
@@ -153,10 +153,10 @@ def fill_missing(df: DataFrame, strategy: str = "ffill", cols: Iterable[str] | N
     if strategy == "mean":
         stats = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_f_{c}") for c in cols])
     elif strategy == "median":
-        parts = [exact_quantiles(df, keys, c, {f"_f_{c}": 0.5}, buckets=buckets) for c in cols]
-        stats = parts[0]
-        for p in parts[1:]:
-            stats = stats.join(p, keys, "full")
+        # All columns in one distributed-rank pass, pivoted back to one row per series.
+        med = group_quantiles(df, cols, keys, {"m": 0.5}, buckets=buckets)
+        stats = med.groupBy(*keys).pivot("column", cols).agg(F.first("m"))
+        stats = stats.select(*keys, *[F.col(c).alias(f"_f_{c}") for c in cols])
     else:
         raise ValueError(f"unknown fill strategy {strategy!r}")
     x = df.join(stats, keys, "left")

@@ -26,6 +26,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from hydroseries.session import materialize
+
 _G0 = "_g0"
 
 
@@ -54,10 +56,15 @@ def auto_buckets(df: DataFrame, group_cols: list[str], value_col: str, target: i
 
 def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str,
                         weights: Mapping[str, Column], buckets: int | None = None,
-                        accuracy: int | None = None) -> DataFrame:
+                        accuracy: int | None = None, cut: str | None = "checkpoint") -> DataFrame:
     """For every distinct ``(group, value)``: the sum of each weight at that
-    value (column ``name``) and over all smaller values of the group (column
-    ``name_before``).  Null values are skipped."""
+    value (column ``name``), over all smaller values of the group (column
+    ``name_before``) and over the whole group (``name_total``).  Null values
+    are skipped.
+
+    The distinct-value table feeds the bounds, the bucket totals and the
+    ordered window; it is cut once (``cut``, a reliable checkpoint) so the
+    input plan is not recomputed for each branch."""
     g = list(group_cols)
     x = df.where(F.col(value_col).isNotNull())
     added = not g
@@ -67,7 +74,7 @@ def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str
     names = list(weights)
     if buckets is None:
         buckets = auto_buckets(x, g, value_col)
-    agg = x.groupBy(*g, value_col).agg(*[F.sum(w).alias(n) for n, w in weights.items()])
+    agg = materialize(x.groupBy(*g, value_col).agg(*[F.sum(w).alias(n) for n, w in weights.items()]), cut)
     if buckets > 1:
         fan = max(2, math.ceil(math.sqrt(buckets)))
         n_b = fan * fan
@@ -80,12 +87,15 @@ def cumulative_by_value(df: DataFrame, group_cols: Iterable[str], value_col: str
     prev = Window.unboundedPreceding
     bk = agg.groupBy(*g, "_bk").agg(*[F.sum(n).alias(n) for n in names])
     wb = Window.partitionBy(*g).orderBy("_bk").rowsBetween(prev, -1)
-    bk = bk.select(*g, "_bk", *[F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(f"_pb_{n}") for n in names])
+    wt = Window.partitionBy(*g)
+    bk = bk.select(*g, "_bk", *[F.coalesce(F.sum(n).over(wb), F.lit(0)).alias(f"_pb_{n}") for n in names],
+                   *[F.sum(n).over(wt).alias(f"{n}_total") for n in names])
     wi = Window.partitionBy(*g, "_bk").orderBy(value_col).rowsBetween(prev, -1)
     agg = agg.withColumns({f"_in_{n}": F.coalesce(F.sum(n).over(wi), F.lit(0)) for n in names})
     out = agg.join(bk, [*g, "_bk"], "inner").select(
         *g, value_col, *names,
-        *[(F.col(f"_pb_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before") for n in names])
+        *[(F.col(f"_pb_{n}") + F.col(f"_in_{n}")).alias(f"{n}_before") for n in names],
+        *[F.col(f"{n}_total") for n in names])
     return out.drop(_G0) if added else out
 
 
@@ -99,8 +109,7 @@ def exact_quantiles(df: DataFrame, group_cols: Iterable[str], value_col: str,
         df = df.withColumn(_G0, F.lit(0))
         g = [_G0]
     cum = cumulative_by_value(df, g, value_col, {"_n": F.lit(1)}, buckets=buckets)
-    tot = cum.groupBy(*g).agg(F.sum("_n").alias("_tot"))
-    x = cum.join(tot, g, "inner")
+    x = cum.withColumnRenamed("_n_total", "_tot")
     lo_hi = []
     for name, q in qs.items():
         h = (F.col("_tot") - 1) * F.lit(float(q))
@@ -124,14 +133,24 @@ def unpivot(df: DataFrame, id_cols: Iterable[str], value_cols: Iterable[str],
     return df.unpivot(list(id_cols), cols, name_col, value_col)
 
 
+def group_quantiles(df: DataFrame, cols: Iterable[str], by: Iterable[str], qs: Mapping[str, float],
+                    buckets: int | None = None) -> DataFrame:
+    """Exact quantiles of several columns per group in ONE pass: long form
+    ``by..., column, <q names>``."""
+    by, cols = list(by), list(cols)
+    long = unpivot(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]), by, cols)
+    return exact_quantiles(long, [*by, "column"], "value", qs, buckets=buckets)
+
+
 def column_stats(df: DataFrame, cols: Iterable[str], by: Iterable[str] = ("site_id",),
                  buckets: int | None = None) -> DataFrame:
     """A2: mean and exact median of each column per group, long form
     ``by..., column, mean, median``."""
     by = list(by)
+    cols = list(cols)
     long = unpivot(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]), by, cols)
     means = long.groupBy(*by, "column").agg(F.avg("value").alias("mean"))
-    med = exact_quantiles(long, [*by, "column"], "value", {"median": 0.5}, buckets=buckets)
+    med = group_quantiles(df, cols, by, {"median": 0.5}, buckets=buckets)
     return means.join(med, [*by, "column"], "left")
 
 

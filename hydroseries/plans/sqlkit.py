@@ -15,7 +15,7 @@ DOWN = f"({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
 OBS_SELECT = """SELECT event_type AS site_id, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS ts,
   avg(value) / 40.0 AS local_water_level_m,
   sum(greatest(value - 100.0, 0.0)) / 10.0 AS rain_1h,
-  avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS humidity
+  avg(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS humidity
 FROM {src} GROUP BY 1, 2"""
 
 OBS = "obs AS (" + OBS_SELECT.format(src="events") + ")"

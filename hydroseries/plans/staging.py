@@ -38,7 +38,7 @@ def obs_aggs(value: str = "value", props: str = "props") -> dict:
     return {
         "local_water_level_m": F.avg(v) / F.lit(40.0),
         "rain_1h": F.sum(F.greatest(v - F.lit(100.0), F.lit(0.0))) / F.lit(10.0),
-        "humidity": F.avg(F.get_json_object(F.col(props), "$.k").cast("double")),
+        "humidity": F.avg(F.get_json_object(F.col(props), "$.k").try_cast("double")),
     }
 
 
