@@ -169,10 +169,19 @@ def impute_forecast(df: DataFrame, spec: SeriesSpec = _SPEC,
                                                  "wind_speed", "wind_deg", "clouds_all"),
                     rain: Iterable[str] = ("rain_1h", "rain_3h")) -> DataFrame:
     """forecast rows on an hourly grid: sensors by W8, rain by forward
-    fill then 0.0."""
+    fill then 0.0 — all in one forward + backward pass."""
     cont = [c for c in continuous if c in df.columns]
     rain = [c for c in rain if c in df.columns]
-    x = interpolate_linear(df, cont, spec) if cont else df
-    if rain:
-        x = ffill(x, rain, spec).fillna(0.0, subset=rain)
-    return x
+    t = to_epoch(spec.ts).cast("double")
+    fwd, bwd = {}, {}
+    for c in cont:
+        tc, vc = F.when(F.col(c).isNotNull(), t), F.col(c).cast("double")
+        fwd[f"_pt_{c}"], fwd[f"_pv_{c}"] = tc, vc
+        bwd[f"_nt_{c}"], bwd[f"_nv_{c}"] = tc, vc
+    for c in rain:
+        fwd[f"_ff_{c}"] = F.col(c)
+    x = windows.carry_both(df, spec, fwd, bwd)
+    out = {c: F.coalesce(F.col(c).cast("double"), _interp(c, spec), F.col(f"_pv_{c}"), F.col(f"_nv_{c}"))
+           for c in cont}
+    out.update({c: F.coalesce(F.col(f"_ff_{c}"), F.lit(0.0)) for c in rain})
+    return x.withColumns(out).drop(*_tmp(cont), *[f"_ff_{c}" for c in rain])

@@ -12,6 +12,7 @@ from hydroseries.plans import sqlkit as S
 from hydroseries.plans import staging
 from hydroseries.plans.catalog_series import BASE, DI, SPEC, imputed, obs
 from hydroseries.plans.registry import finish, register
+from hydroseries.session import materialize
 from hydroseries.sources import io
 
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
@@ -236,7 +237,8 @@ _FC_CONT = _FC_NUM[:6]
 
 def _impute_forecast(spark, d):
     flat = io.parse_forecast(forecast_docs(spark, d), "doc")
-    hourly = timegrid.resample_mean(flat, _FC_NUM, SPEC)
+    # The hourly table feeds the grid bounds, the join and both carries: cut once.
+    hourly = materialize(timegrid.resample_mean(flat, _FC_NUM, SPEC), "checkpoint")
     return finish(fill.impute_forecast(timegrid.densify(hourly, SPEC), SPEC).select(*BASE, *_FC_NUM))
 
 
