@@ -139,7 +139,7 @@ def fill_missing(df: DataFrame, strategy: str = "ffill", cols: Iterable[str] | N
     """one strategy for the listed columns (all non-key columns if None):
     ``ffill``, ``bfill``, ``mean``, ``median`` (per series) or ``zero``.
     Unknown columns are skipped, as the reference does."""
-    skip = set(spec.keys) | {spec.ts}
+    skip = set(spec.keys) | {spec.ts, windows.CHUNK}
     cols = [c for c in (cols if cols is not None else df.columns) if c in df.columns and c not in skip]
     if not cols:
         return df

@@ -11,6 +11,11 @@ from hydroseries.config import SeriesSpec
 from hydroseries.functions.time import floor_hour, from_hour_index, hour_index
 
 _SPEC = SeriesSpec()
+CHUNK = "_chunk"  # same name as windows.CHUNK
+
+
+def chunk_of(ts, chunk_hours: int) -> Column:
+    return F.floor(hour_index(ts) / F.lit(chunk_hours)).cast("bigint")
 
 
 def resample_mean(df: DataFrame, value_cols: Iterable[str], spec: SeriesSpec = _SPEC,
@@ -39,7 +44,7 @@ def series_spans(df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFrame:
 
 
 def hourly_grid(spans: DataFrame, spec: SeriesSpec = _SPEC, start: str | Column = "start",
-                end: str | Column = "end") -> DataFrame:
+                end: str | Column = "end", keep_chunk: bool = False) -> DataFrame:
     """Every hour between ``start`` and ``end`` (inclusive, floored to the
     hour) for each row of ``spans`` (``keys`` plus the two bounds).
 
@@ -57,10 +62,11 @@ def hourly_grid(spans: DataFrame, spec: SeriesSpec = _SPEC, start: str | Column
         x = x.repartition(*spec.keys, "_c")
         lo = F.greatest(F.col("_s"), F.col("_c") * n)
         hi = F.least(F.col("_e"), F.col("_c") * n + n - 1)
-        x = x.select(*spec.keys, F.explode(F.sequence(lo, hi)).alias("_h"))
+        x = x.select(*spec.keys, F.col("_c").alias(CHUNK), F.explode(F.sequence(lo, hi)).alias("_h"))
     else:
         x = x.select(*spec.keys, F.explode(F.sequence(F.col("_s"), F.col("_e"))).alias("_h"))
-    return x.select(*spec.keys, from_hour_index("_h").alias(spec.ts))
+    out = x.select(*spec.keys, from_hour_index("_h").alias(spec.ts), *([CHUNK] if CHUNK in x.columns else []))
+    return out if keep_chunk else out.drop(CHUNK)
 
 
 def reindex(grid: DataFrame, df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFrame:
@@ -69,9 +75,30 @@ def reindex(grid: DataFrame, df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFra
     return grid.join(df, [*spec.keys, spec.ts], "left")
 
 
-def densify(df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFrame:
-    """J1 + J2 over each series' own first..last hour."""
-    return reindex(hourly_grid(series_spans(df, spec), spec), df, spec)
+def densify(df: DataFrame, spec: SeriesSpec = _SPEC, keep_chunk: bool = False) -> DataFrame:
+    """J1 + J2 over each series' own first..last hour.
+
+    With chunking on, the grid rows and the data rows (unique per series and
+    hour) are unioned, shuffled ONCE on ``(keys, chunk)`` and merged per hour
+    by an aggregate that this partitioning already satisfies.  With
+    ``keep_chunk`` the ``_chunk`` column stays, and the fill passes
+    (``windows.carry_both``) reuse the partitioning: grid, reindex and both
+    carries then cost one shuffle of the hourly table instead of three.
+    """
+    if not spec.chunk_hours:
+        return reindex(hourly_grid(series_spans(df, spec), spec), df, spec)
+    vals = [c for c in df.columns if c not in spec.keys and c != spec.ts]
+    types = dict(df.dtypes)
+    grid = hourly_grid(series_spans(df, spec), spec, keep_chunk=True).select(
+        *spec.keys, spec.ts, CHUNK, F.lit(1).alias("_g"), *[F.lit(None).cast(types[c]).alias(c) for c in vals])
+    data = df.select(*spec.keys, spec.ts, chunk_of(spec.ts, spec.chunk_hours).alias(CHUNK), F.lit(0).alias("_g"),
+                     *vals)
+    u = grid.unionByName(data).repartition(*spec.keys, CHUNK)
+    out = (u.groupBy(*spec.keys, CHUNK, spec.ts)
+             .agg(F.max("_g").alias("_g"), *[F.max(c).alias(c) for c in vals])
+             .filter(F.col("_g") == 1)
+             .select(*spec.keys, spec.ts, *vals, CHUNK))
+    return out if keep_chunk else out.drop(CHUNK)
 
 
 def time_range(df: DataFrame, start, end, ts: str = "ts") -> DataFrame:

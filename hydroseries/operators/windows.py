@@ -42,6 +42,14 @@ def chunk_id(spec: SeriesSpec) -> Column:
     return F.floor(hour_index(spec.ts) / F.lit(spec.chunk_hours)).cast("bigint")
 
 
+def with_chunk(df: DataFrame, spec: SeriesSpec) -> tuple[DataFrame, bool]:
+    """Add the chunk column unless the input already carries it (then its
+    partitioning, e.g. from ``timegrid.densify(keep_chunk=True)``, is reused)."""
+    if CHUNK in df.columns:
+        return df, True
+    return df.withColumn(CHUNK, chunk_id(spec)), False
+
+
 def bounded(df: DataFrame, spec: SeriesSpec, before: int, after: int,
             build: Callable[[DataFrame, Window], DataFrame]) -> DataFrame:
     """Run ``build(df, w)`` with ``w`` ordered by time over each series.
@@ -110,7 +118,7 @@ def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
         wb = Window.partitionBy(*spec.keys).orderBy(F.col(spec.ts).desc()).rowsBetween(*asc)
         return (x.withColumns({n: F.last(tmp[(d, n)], True).over(wf if d == "f" else wb) for d, n, _ in names})
                  .drop(*tmp.values()))
-    x = x.withColumn(CHUNK, chunk_id(spec))
+    x, had_chunk = with_chunk(x, spec)
     wf = Window.partitionBy(*spec.keys, CHUNK).orderBy(F.col(spec.ts).asc()).rowsBetween(*asc)
     wb = Window.partitionBy(*spec.keys, CHUNK).orderBy(F.col(spec.ts).desc()).rowsBetween(*asc)
     loc = {k: f"_cl_{i}" for i, k in enumerate(tmp)}
@@ -129,5 +137,6 @@ def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
         F.last(F.col(tmp[(d, n)]), True).over(cf if d == "f" else cb).alias(cc[(d, n)])
         for d, n, _ in names])
     out = local.join(carried, [*spec.keys, CHUNK], "left")
-    return (out.withColumns({n: F.coalesce(F.col(loc[(d, n)]), F.col(cc[(d, n)])) for d, n, _ in names})
-               .drop(CHUNK, *tmp.values(), *loc.values(), *cc.values()))
+    out = (out.withColumns({n: F.coalesce(F.col(loc[(d, n)]), F.col(cc[(d, n)])) for d, n, _ in names})
+              .drop(*tmp.values(), *loc.values(), *cc.values()))
+    return out if had_chunk else out.drop(CHUNK)

@@ -35,13 +35,15 @@ def grid(spark, d):
 
 
 def dense(spark, d):
-    """Hourly table cut once (reliable checkpoint): the grid bounds, the join
-    and both fill passes read it, and none of them rescans ``events``."""
-    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), SPEC)
+    """Hourly table cut once (reliable checkpoint) so the grid bounds and the
+    union do not rescan ``events``; densified with one shuffle on
+    ``(site, chunk)``, keeping ``_chunk`` so the fill passes reuse it (every
+    query selects its output columns explicitly)."""
+    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), SPEC, keep_chunk=True)
 
 
 def imputed(spark, d):
-    return fill.impute_series(dense(spark, d), COLS, SPEC)
+    return fill.impute_series(dense(spark, d), COLS, SPEC).drop(timegrid.CHUNK)
 
 
 def history(spark, d):

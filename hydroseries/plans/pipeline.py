@@ -35,12 +35,15 @@ def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SP
         spans = hourly.select(*spec.keys).distinct().withColumns(
             {"start": F.lit(start).cast("timestamp_ntz"), "end": F.lit(end).cast("timestamp_ntz")})
         hourly = timegrid.time_range(hourly, start, end, spec.ts)
+        grid = timegrid.reindex(timegrid.hourly_grid(spans, spec), hourly, spec)
     else:
-        spans = timegrid.series_spans(hourly, spec)
-    grid = timegrid.reindex(timegrid.hourly_grid(spans, spec), hourly, spec)
+        # One shuffle on (site, chunk) for grid + reindex + both fill passes
+        # when no source joins come in between.
+        grid = timegrid.densify(hourly, spec, keep_chunk=not sources)
     merged = combine.combine_sources(grid, list(sources), spec) if sources else grid
-    present = [c for c in merged.columns if c not in spec.keys and c != spec.ts]
-    return fill.impute_series(merged, [c for c in present if c in cols or not cols], spec)
+    present = [c for c in merged.columns if c not in spec.keys and c not in (spec.ts, timegrid.CHUNK)]
+    out = fill.impute_series(merged, [c for c in present if c in cols or not cols], spec)
+    return out.drop(timegrid.CHUNK)
 
 
 def feature_table(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), spec: SeriesSpec = _SPEC,

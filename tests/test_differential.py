@@ -99,3 +99,17 @@ def test_build_features_chunked_equals_unchunked(data):
     b = features.build_features(x, cfg, SeriesSpec(chunk_hours=None)).orderBy("site_id", "ts").toPandas()
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-12)
     assert len(a) > 0
+
+
+@pytest.mark.parametrize("keep", [False, True])
+def test_densify_union_equals_join(data, keep):
+    from hydroseries.operators import timegrid
+    df, sites = data
+    sparse = df.dropna(subset=["x"])  # missing hours, unique per (site, hour)
+    a = timegrid.densify(sparse, SeriesSpec(chunk_hours=48), keep_chunk=keep).drop("_chunk")
+    b = timegrid.densify(sparse, SeriesSpec(chunk_hours=None))
+    pa = a.orderBy("site_id", "ts").toPandas()
+    pb = b.select(*a.columns).orderBy("site_id", "ts").toPandas()
+    pd.testing.assert_frame_equal(pa, pb)
+    spans = {s: (v.dropna().index.min(), v.dropna().index.max()) for s, v in sites.items()}
+    assert len(pa) == sum(int((e - s) / pd.Timedelta(hours=1)) + 1 for s, e in spans.values())
