@@ -45,3 +45,14 @@ register("stream_score", S.with_(S.OBS, _SEALED, "last AS (SELECT * FROM sealed
     "local_water_level_m > 1.5 AS threshold_exceeded, CASE WHEN local_water_level_m > 1.5 THEN "
     "'High water level predicted for next hour.' ELSE 'Normal water level predicted for next hour.' END AS message, "
     "'regression' AS model_type FROM last)"))(stream_score)
+
+
+def stream_hourly_stateful(spark, d):
+    base = H.scratch(spark, "hourly-state")
+    out = H.hourly_stream_stateful(_events_stream(spark, d), F.col("event_type"))
+    H.run_available_now(out, f"{base}/sink", f"{base}/checkpoint")
+    return finish(spark.read.parquet(f"{base}/sink"))
+
+
+register("stream_hourly_stateful", S.with_(S.OBS, _SEALED) + S.final(list(staging.OBS_COLS), ["site_id", "ts"],
+                                                                     "sealed"))(stream_hourly_stateful)

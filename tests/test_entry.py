@@ -55,3 +55,15 @@ def test_realtime_score_all_sites(spark, tmp_path):
     out = preds.collect()
     assert len(out) == window.select("site_id").distinct().count()
     assert all(r["ts"] == as_of for r in out) and all(0.0 <= r["prediction_score"] <= 1.0 for r in out)
+
+
+def test_stateful_stream_equals_windowed_stream(spark):
+    qs = E.queries()
+    a = qs["stream_hourly"](spark, SMALL)
+    b = qs["stream_hourly_stateful"](spark, SMALL)
+    key = ["site_id", "ts"]
+    pa = a.orderBy(*key).toPandas()
+    pb = b.select(*a.columns).orderBy(*key).toPandas()
+    assert len(pa) > 0
+    import pandas as pd
+    pd.testing.assert_frame_equal(pa, pb, check_exact=False, rtol=1e-9)
