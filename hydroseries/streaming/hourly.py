@@ -71,6 +71,15 @@ def scoring_batch(spark: SparkSession, hourly_path: str, pred_path: str, cols: l
                   scorer: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function."""
     def run(batch: DataFrame, batch_id: int) -> None:
+        # The batch is used several times below; keep it so the stateful
+        # upstream is not re-executed for each use.
+        batch = batch.persist()
+        try:
+            _score_batch(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def _score_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         # Overwrite only this batch's partitions: a retried batch replaces its
