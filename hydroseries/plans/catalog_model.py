@@ -205,7 +205,7 @@ def forecast_docs(spark, d):
     """One forecast JSON document per event, written by Spark (``to_json``)."""
     ev = staging.events_as_series(staging.table(spark, d, "events"))
     v = F.col("value")
-    k = F.get_json_object("props", "$.k").cast("double")
+    k = staging.k_value("props")
     dbl = lambda x: F.lit(x).cast("double")
     weather_t = "array<struct<main:string,description:string>>"
     item = F.struct(
