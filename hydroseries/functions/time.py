@@ -53,6 +53,17 @@ def to_utc(ts, tz: str) -> Column:
     return F.convert_timezone(F.lit(tz), F.lit("UTC"), _c(ts).cast("timestamp_ntz"))
 
 
+def normalize_time(df, tz: str, col: str = "ts", naive_is_local: bool = True):
+    """C5 on a DataFrame: naive local wall time of ``tz`` -> UTC wall time
+    (``naive_is_local``), keeping ``TIMESTAMP_NTZ``; instants (``TIMESTAMP``)
+    are cast directly (session zone UTC)."""
+    from pyspark.sql import types as TT
+    dt_ = df.schema[col].dataType
+    if isinstance(dt_, TT.TimestampType):
+        return df.withColumn(col, F.col(col).cast("timestamp_ntz"))
+    return df.withColumn(col, to_utc(col, tz) if naive_is_local else F.col(col).cast("timestamp_ntz"))
+
+
 def parse_utc(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Parse timestamp text that is UTC."""
     return F.to_timestamp_ntz(_c(text), F.lit(fmt))

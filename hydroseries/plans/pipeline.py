@@ -90,12 +90,40 @@ def score_latest(window: DataFrame, model, model_type: str, scaler: DataFrame, o
     """M5 + Z1-Z3: features without the target requirement, newest row per
     site, align to the saved order (absent and null -> 0), scale, score and
     interpret."""
-    cfg = FeatureConfig(**{**cfg.__dict__, "require_target": False})
-    feats = features.build_features(window, cfg, spec, sites).drop(*C.ALL_TARGET_COLUMNS)
-    latest = split.latest(feats, spec)
-    x = scaling.apply_minmax(scaling.align_columns(latest, order, keep=[*spec.keys, spec.ts]), scaler,
-                             keep=[*spec.keys, spec.ts])
+    x = prepare_latest(window, scaler, order, cfg, spec, sites)
     scored = learn.score(x, model, model_type)
     if model_type == "classification":
         return score.interpret_class(scored, "prediction_score", threshold, as_of, cfg.tz)
     return score.interpret_level(scored, "predicted_water_level_m", cfg.flood_threshold_m, as_of, cfg.tz)
+
+
+def preprocess(df: DataFrame, mode: str, cfg: FeatureConfig = FeatureConfig(), spec: SeriesSpec = _SPEC,
+               scaler: DataFrame | None = None, order: Sequence[str] | None = None,
+               sites: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """M4: features, then min-max.  ``mode='train'`` fits the scaler on the
+    feature columns (targets kept aside); ``mode='predict'`` aligns to the saved
+    order (absent and null -> 0 in raw units) and applies the saved scaler.
+    Returns ``(scaled table with keys and targets, scaler table, order)``."""
+    feats = features.build_features(df, cfg, spec, sites)
+    keep = [*spec.keys, spec.ts, *[c for c in C.ALL_TARGET_COLUMNS if c in feats.columns]]
+    if mode == "train":
+        order = scaling.feature_columns(feats)
+        scaler = scaling.fit_minmax(feats, order)
+        return scaling.apply_minmax(feats, scaler, keep=keep), scaler, list(order)
+    if mode == "predict":
+        if scaler is None or order is None:
+            raise ValueError("predict mode needs the saved scaler and feature order")
+        aligned = scaling.align_columns(feats, order, keep=keep)
+        return scaling.apply_minmax(aligned, scaler, keep=keep), scaler, list(order)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
+def prepare_latest(window: DataFrame, scaler: DataFrame, order: Sequence[str], cfg: FeatureConfig,
+                   spec: SeriesSpec = _SPEC, sites: DataFrame | None = None) -> DataFrame:
+    """M5: features of a realtime window (target not required), drop the
+    targets, newest row per site, align to the saved order, scale."""
+    cfg = FeatureConfig(**{**cfg.__dict__, "require_target": False})
+    feats = features.build_features(window, cfg, spec, sites).drop(*C.ALL_TARGET_COLUMNS)
+    latest = split.latest(feats, spec)
+    keys = [*spec.keys, spec.ts]
+    return scaling.apply_minmax(scaling.align_columns(latest, order, keep=keys), scaler, keep=keys)

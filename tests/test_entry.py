@@ -67,3 +67,31 @@ def test_stateful_stream_equals_windowed_stream(spark):
     assert len(pa) > 0
     import pandas as pd
     pd.testing.assert_frame_equal(pa, pb, check_exact=False, rtol=1e-9)
+
+
+def test_preprocess_modes(spark):
+    cols = list(staging.OBS_COLS)
+    hist = pipeline.build_history(staging.obs(spark, SMALL), cols)
+    cfg = FeatureConfig(lag_features=("rain_1h", "local_water_level_m"))
+    x, scaler, order = pipeline.preprocess(hist, "train", cfg)
+    assert "is_flood_next_1h" in x.columns and len(order) == scaler.count()
+    mins = x.agg(*[F.min(c).alias(c) for c in order[:5]]).collect()[0]
+    assert all(v == 0.0 for v in mins)
+    y, _, _ = pipeline.preprocess(hist.drop("humidity"), "predict", cfg, scaler=scaler, order=order)
+    assert y.columns[-len(order):] == order
+    with pytest.raises(ValueError):
+        pipeline.preprocess(hist, "predict", cfg)
+
+
+def test_k_value_fast_path_equals_json(spark):
+    df = spark.createDataFrame([('{"k": 69}',), ('{"k": -3.5}',), ('{"k":7}',), ('{"k": "12"}',), ("junk",), (None,)],
+                               "props string")
+    got = [r[0] for r in df.select(staging.k_value("props")).collect()]
+    want = [r[0] for r in df.select(F.get_json_object("props", "$.k").try_cast("double")).collect()]
+    assert got == want == [69.0, -3.5, 7.0, 12.0, None, None]
+
+
+def test_normalize_time(spark):
+    from hydroseries.functions.time import normalize_time
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 7),)], "ts timestamp_ntz")
+    assert normalize_time(df, "Asia/Bangkok").collect()[0][0] == dt.datetime(2024, 1, 1, 0)
