@@ -17,8 +17,8 @@ operator of the engine therefore runs over ``(keys, chunk)`` partitions, where
 Row frames equal hours only on a dense grid, so callers reindex first.
 
 On a dense grid a site has one row per hour, so the chunk table of a site has
-``history_hours / chunk_hours`` rows (about 1,300 for a century at the default
-672 h) however much raw data fed it: the cross-chunk window is small by
+``history_hours / chunk_hours`` rows (about 330 for a century at the default
+2,688 h) however much raw data fed it: the cross-chunk window is small by
 construction.  Skew in the raw input (one site with a third of all events) is
 absorbed before that by the hourly partial aggregate keyed on (site, hour).
 """
