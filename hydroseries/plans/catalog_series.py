@@ -34,22 +34,22 @@ def grid(spark, d):
     return timegrid.hourly_grid(timegrid.series_spans(obs(spark, d), SPEC), SPEC)
 
 
-def dense(spark, d):
+def dense(spark, d, spec=SPEC):
     """Hourly table cut once (reliable checkpoint) so the grid bounds and the
     union do not rescan ``events``; densified with one shuffle on
     ``(site, chunk)``, keeping ``_chunk`` so the fill passes reuse it (every
     query selects its output columns explicitly)."""
-    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), SPEC, keep_chunk=True)
+    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), spec, keep_chunk=True)
 
 
-def imputed(spark, d):
-    return fill.impute_series(dense(spark, d), COLS, SPEC).drop(timegrid.CHUNK)
+def imputed(spark, d, spec=SPEC):
+    return fill.impute_series(dense(spark, d, spec), COLS, spec).drop(timegrid.CHUNK)
 
 
-def history(spark, d):
+def history(spark, d, spec=SPEC):
     """Imputed series plus the tide baseline as ``sea_level_m``."""
     per, amp, off = C.TIDE_HARMONIC
-    return imputed(spark, d).withColumn("sea_level_m", T.harmonic(T.hour_index("ts"), per, amp, off))
+    return imputed(spark, d, spec).withColumn("sea_level_m", T.harmonic(T.hour_index("ts"), per, amp, off))
 
 
 def _sel(df: DataFrame, cols) -> DataFrame:
@@ -411,10 +411,10 @@ register("align_columns", D + S.final(_ORDER, BASE, "(SELECT site_id, ts, coales
 FEATURES_CFG = FeatureConfig()
 
 
-def features_full(spark: SparkSession, d: str) -> DataFrame:
+def features_full(spark: SparkSession, d: str, spec=SPEC) -> DataFrame:
     """obs -> dense grid -> F1 imputation -> tide baseline -> one-pass
     features and labels -> drop incomplete rows."""
-    out = features.build_features(history(spark, d), FEATURES_CFG, SPEC, sites=staging.sites(spark, d))
+    out = features.build_features(history(spark, d, spec), FEATURES_CFG, spec, sites=staging.sites(spark, d))
     return finish(out)
 
 
@@ -449,3 +449,8 @@ def features_full_sql(cfg: FeatureConfig = FEATURES_CFG) -> str:
 
 
 register("features_full", features_full_sql())(features_full)
+
+# The same pipeline cut into 48-hour chunks (15 chunk boundaries inside the
+# month of data): halos and cross-chunk carries checked against the same SQL.
+register("features_full_chunk48", features_full_sql())(
+    lambda spark, d: features_full(spark, d, SPEC.with_chunk(48)))
