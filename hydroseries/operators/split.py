@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.config import SeriesSpec
-from hydroseries.operators.stats import cumulative_by_value
+from hydroseries.operators.stats import cumulative_by_value, with_sufficiency
 
 _SPEC = SeriesSpec()
 _G0 = "_g0"
@@ -68,6 +68,4 @@ def require_history(df: DataFrame, rows_needed: int, window_hours: int,
     end = df.groupBy(*spec.keys).agg(F.max(spec.ts).alias("_end"))
     x = df.join(end, list(spec.keys), "inner").filter(
         F.col(spec.ts) > F.col("_end") - F.make_dt_interval(hours=F.lit(window_hours)))
-    return (x.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n_rows"))
-              .withColumn("needed", F.lit(rows_needed).cast("bigint"))
-              .withColumn("sufficient", F.col("n_rows") >= F.col("needed")))
+    return with_sufficiency(x.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("n_rows")), rows_needed)

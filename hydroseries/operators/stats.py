@@ -165,9 +165,16 @@ def null_profile(df: DataFrame, cols: Iterable[str], by: Iterable[str] = ("site_
 def require_rows(df: DataFrame, n: int, by: Iterable[str] = ("site_id",)) -> DataFrame:
     """A6 per group: ``by..., n_rows, needed, sufficient``."""
     by = list(by)
-    return (df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
-              .withColumn("needed", F.lit(n).cast("bigint"))
-              .withColumn("sufficient", F.col("n_rows") >= F.col("needed")))
+    return with_sufficiency(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")), n)
+
+
+def with_sufficiency(counts: DataFrame, n: int) -> DataFrame:
+    """``needed``, ``sufficient`` and, for short series, the error message."""
+    x = counts.withColumn("needed", F.lit(n).cast("bigint")).withColumn(
+        "sufficient", F.col("n_rows") >= F.col("needed"))
+    msg = F.format_string("Not enough real-time data in window. Need at least %d hours, got %d.",
+                          F.col("needed"), F.col("n_rows"))
+    return x.withColumn("message", F.when(~F.col("sufficient"), msg))
 
 
 def observed_count(df: DataFrame, name: str = "rows") -> tuple[DataFrame, Observation]:

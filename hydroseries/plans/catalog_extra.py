@@ -20,6 +20,8 @@ from hydroseries.session import scratch_path
 from hydroseries.sources import io
 
 AS_OF = dt.datetime(2024, 1, 30, 12, 0, 0)
+_MSG = ("CASE WHEN count(*) < 25 THEN 'Not enough real-time data in window. Need at least 25 hours, got ' "
+        "|| CAST(count(*) AS VARCHAR) || '.' END AS message")
 WIN = 30
 
 # --- D4, D5 -----------------------------------------------------------------
@@ -91,8 +93,8 @@ register("realtime_window", S.with_(S.OBS, _RT, S.imputed_cte("rimp", "rdense"))
                             .select(*BASE, *COLS)))
 
 register("realtime_sufficiency", S.with_(S.OBS, _RT) + (
-    "SELECT site_id, count(*) AS n_rows, CAST(25 AS BIGINT) AS needed, count(*) >= 25 AS sufficient "
-    "FROM recent GROUP BY 1"))(
+    "SELECT site_id, count(*) AS n_rows, CAST(25 AS BIGINT) AS needed, count(*) >= 25 AS sufficient, "
+    + _MSG + " FROM recent GROUP BY 1"))(
     lambda spark, d: pipeline.build_realtime_window(_recent(spark, d), COLS, AS_OF, WIN, SPEC)[1])
 
 

@@ -17,6 +17,8 @@ from hydroseries.sources import io
 
 AS_OF = dt.datetime(2024, 1, 31, 0, 0, 0)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
+_MSG = ("CASE WHEN count(*) < 25 THEN 'Not enough real-time data in window. Need at least 25 hours, got ' "
+        "|| CAST(count(*) AS VARCHAR) || '.' END AS message")
 D8 = "CAST(0.8 AS DOUBLE)"
 
 # --- M1, M2 (lineitem) ------------------------------------------------------
@@ -71,8 +73,8 @@ register("latest_row", S.with_(S.OBS) + S.final(list(staging.OBS_COLS), BASE,
     lambda spark, d: finish(split.latest(obs(spark, d), SPEC)))
 
 register("require_history", S.with_(S.OBS, "e AS (SELECT site_id, max(ts) AS e FROM obs GROUP BY 1)")
-         + "SELECT o.site_id, count(*) AS n_rows, CAST(25 AS BIGINT) AS needed, count(*) >= 25 AS sufficient "
-           "FROM obs o JOIN e ON o.site_id = e.site_id WHERE o.ts > e.e - INTERVAL 30 HOUR GROUP BY 1")(
+         + "SELECT o.site_id, count(*) AS n_rows, CAST(25 AS BIGINT) AS needed, count(*) >= 25 AS sufficient, "
+           + _MSG + " FROM obs o JOIN e ON o.site_id = e.site_id WHERE o.ts > e.e - INTERVAL 30 HOUR GROUP BY 1")(
     lambda spark, d: split.require_history(obs(spark, d), 25, 30, SPEC))
 
 
