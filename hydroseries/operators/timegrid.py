@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,28 +44,32 @@ def series_spans(df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFrame:
 
 
 def hourly_grid(spans: DataFrame, spec: SeriesSpec = _SPEC, start: str | Column = "start",
-                end: str | Column = "end", keep_chunk: bool = False) -> DataFrame:
+                end: str | Column = "end", keep_chunk: bool = False,
+                carry: Sequence[str] = ()) -> DataFrame:
     """Every hour between ``start`` and ``end`` (inclusive, floored to the
     hour) for each row of ``spans`` (``keys`` plus the two bounds).
 
     Generated in two levels, chunks then hours, so no single row explodes into
     a whole history; the chunk rows are hash-partitioned on ``(keys, chunk)``
     first, so hours are generated in parallel and already sit where the
-    chunked window operators want them.
+    chunked window operators want them.  ``carry`` columns of ``spans`` (per
+    series constants) are copied onto every hour.
     """
     s = hour_index(F.col(start) if isinstance(start, str) else start)
     e = hour_index(F.col(end) if isinstance(end, str) else end)
-    x = spans.select(*spec.keys, s.alias("_s"), e.alias("_e")).filter(F.col("_s") <= F.col("_e"))
+    carry = list(carry)
+    x = spans.select(*spec.keys, s.alias("_s"), e.alias("_e"), *carry).filter(F.col("_s") <= F.col("_e"))
     if spec.chunk_hours:
         n = F.lit(spec.chunk_hours)
         x = x.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_s") / n), F.floor(F.col("_e") / n))))
         x = x.repartition(*spec.keys, "_c")
         lo = F.greatest(F.col("_s"), F.col("_c") * n)
         hi = F.least(F.col("_e"), F.col("_c") * n + n - 1)
-        x = x.select(*spec.keys, F.col("_c").alias(CHUNK), F.explode(F.sequence(lo, hi)).alias("_h"))
+        x = x.select(*spec.keys, *carry, F.col("_c").alias(CHUNK), F.explode(F.sequence(lo, hi)).alias("_h"))
     else:
-        x = x.select(*spec.keys, F.explode(F.sequence(F.col("_s"), F.col("_e"))).alias("_h"))
-    out = x.select(*spec.keys, from_hour_index("_h").alias(spec.ts), *([CHUNK] if CHUNK in x.columns else []))
+        x = x.select(*spec.keys, *carry, F.explode(F.sequence(F.col("_s"), F.col("_e"))).alias("_h"))
+    out = x.select(*spec.keys, from_hour_index("_h").alias(spec.ts), *carry,
+                   *([CHUNK] if CHUNK in x.columns else []))
     return out if keep_chunk else out.drop(CHUNK)
 
 
@@ -75,7 +79,8 @@ def reindex(grid: DataFrame, df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFra
     return grid.join(df, [*spec.keys, spec.ts], "left")
 
 
-def densify(df: DataFrame, spec: SeriesSpec = _SPEC, keep_chunk: bool = False) -> DataFrame:
+def densify(df: DataFrame, spec: SeriesSpec = _SPEC, keep_chunk: bool = False,
+            static: DataFrame | None = None) -> DataFrame:
     """J1 + J2 over each series' own first..last hour.
 
     With chunking on, the grid rows and the data rows (unique per series and
@@ -84,20 +89,30 @@ def densify(df: DataFrame, spec: SeriesSpec = _SPEC, keep_chunk: bool = False) -
     ``keep_chunk`` the ``_chunk`` column stays, and the fill passes
     (``windows.carry_both``) reuse the partitioning: grid, reindex and both
     carries then cost one shuffle of the hourly table instead of three.
+
+    ``static``: per-series constants (e.g. the site table, P10), joined to the
+    one-row-per-series spans and copied onto every hour by the grid generator,
+    so the big table is never joined with it.
     """
+    spans = series_spans(df, spec)
+    st_cols = []
+    if static is not None:
+        st_cols = [c for c in static.columns if c not in spec.keys and c not in df.columns]
+        spans = spans.join(static.select(*spec.keys, *st_cols), list(spec.keys), "left")
     if not spec.chunk_hours:
-        return reindex(hourly_grid(series_spans(df, spec), spec), df, spec)
+        return reindex(hourly_grid(spans, spec, carry=st_cols), df, spec)
     vals = [c for c in df.columns if c not in spec.keys and c != spec.ts]
     types = dict(df.dtypes)
-    grid = hourly_grid(series_spans(df, spec), spec, keep_chunk=True).select(
-        *spec.keys, spec.ts, CHUNK, F.lit(1).alias("_g"), *[F.lit(None).cast(types[c]).alias(c) for c in vals])
+    grid = hourly_grid(spans, spec, keep_chunk=True, carry=st_cols).select(
+        *spec.keys, spec.ts, CHUNK, F.lit(1).alias("_g"), *[F.lit(None).cast(types[c]).alias(c) for c in vals],
+        *st_cols)
     data = df.select(*spec.keys, spec.ts, chunk_of(spec.ts, spec.chunk_hours).alias(CHUNK), F.lit(0).alias("_g"),
-                     *vals)
+                     *vals, *[F.lit(None).cast(t).alias(c) for c, t in grid.select(*st_cols).dtypes])
     u = grid.unionByName(data).repartition(*spec.keys, CHUNK)
     out = (u.groupBy(*spec.keys, CHUNK, spec.ts)
-             .agg(F.max("_g").alias("_g"), *[F.max(c).alias(c) for c in vals])
+             .agg(F.max("_g").alias("_g"), *[F.max(c).alias(c) for c in vals + st_cols])
              .filter(F.col("_g") == 1)
-             .select(*spec.keys, spec.ts, *vals, CHUNK))
+             .select(*spec.keys, spec.ts, *vals, *st_cols, CHUNK))
     return out if keep_chunk else out.drop(CHUNK)
 
 

@@ -34,22 +34,23 @@ def grid(spark, d):
     return timegrid.hourly_grid(timegrid.series_spans(obs(spark, d), SPEC), SPEC)
 
 
-def dense(spark, d, spec=SPEC):
+def dense(spark, d, spec=SPEC, static=None):
     """Hourly table cut once (reliable checkpoint) so the grid bounds and the
     union do not rescan ``events``; densified with one shuffle on
     ``(site, chunk)``, keeping ``_chunk`` so the fill passes reuse it (every
     query selects its output columns explicitly)."""
-    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), spec, keep_chunk=True)
+    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), spec, keep_chunk=True, static=static)
 
 
-def imputed(spark, d, spec=SPEC):
-    return fill.impute_series(dense(spark, d, spec), COLS, spec).drop(timegrid.CHUNK)
+def imputed(spark, d, spec=SPEC, static=None):
+    return fill.impute_series(dense(spark, d, spec, static), COLS, spec).drop(timegrid.CHUNK)
 
 
-def history(spark, d, spec=SPEC):
-    """Imputed series plus the tide baseline as ``sea_level_m``."""
+def history(spark, d, spec=SPEC, static=None):
+    """Imputed series plus the tide baseline as ``sea_level_m`` (and the
+    static site columns when ``static`` is given, carried by the grid)."""
     per, amp, off = C.TIDE_HARMONIC
-    return imputed(spark, d, spec).withColumn("sea_level_m", T.harmonic(T.hour_index("ts"), per, amp, off))
+    return imputed(spark, d, spec, static).withColumn("sea_level_m", T.harmonic(T.hour_index("ts"), per, amp, off))
 
 
 def _sel(df: DataFrame, cols) -> DataFrame:
@@ -414,7 +415,8 @@ FEATURES_CFG = FeatureConfig()
 def features_full(spark: SparkSession, d: str, spec=SPEC) -> DataFrame:
     """obs -> dense grid -> F1 imputation -> tide baseline -> one-pass
     features and labels -> drop incomplete rows."""
-    out = features.build_features(history(spark, d, spec), FEATURES_CFG, spec, sites=staging.sites(spark, d))
+    sites = staging.sites(spark, d).select("site_id", "elevation_m")
+    out = features.build_features(history(spark, d, spec, static=sites), FEATURES_CFG, spec)
     return finish(out)
 
 

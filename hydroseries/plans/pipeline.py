@@ -22,10 +22,11 @@ _SPEC = SeriesSpec()
 
 def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SPEC,
                   sources: Sequence[tuple[str, DataFrame, dict]] = (), start=None, end=None,
-                  cut: str | None = "checkpoint") -> DataFrame:
+                  cut: str | None = "checkpoint", static: DataFrame | None = None) -> DataFrame:
     """``build_history``: base hourly table on a dense grid per site (each
     site's own first..last hour, or ``[start, end]``), merged with the sources
-    in order, imputed by the column policy.
+    in order, imputed by the column policy.  ``static`` per-site columns
+    (e.g. elevation) ride on the grid, not on a join with the big table.
 
     The hourly table is read several times (grid bounds, join, both fill
     passes), so it is cut once (``cut``) to avoid rescanning the raw input.
@@ -35,13 +36,19 @@ def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SP
         spans = hourly.select(*spec.keys).distinct().withColumns(
             {"start": F.lit(start).cast("timestamp_ntz"), "end": F.lit(end).cast("timestamp_ntz")})
         hourly = timegrid.time_range(hourly, start, end, spec.ts)
-        grid = timegrid.reindex(timegrid.hourly_grid(spans, spec), hourly, spec)
+        carry = []
+        if static is not None:
+            carry = [c for c in static.columns if c not in spec.keys and c not in hourly.columns]
+            spans = spans.join(static.select(*spec.keys, *carry), list(spec.keys), "left")
+        grid = timegrid.reindex(timegrid.hourly_grid(spans, spec, carry=carry), hourly, spec)
     else:
         # One shuffle on (site, chunk) for grid + reindex + both fill passes
         # when no source joins come in between.
-        grid = timegrid.densify(hourly, spec, keep_chunk=not sources)
+        grid = timegrid.densify(hourly, spec, keep_chunk=not sources, static=static)
     merged = combine.combine_sources(grid, list(sources), spec) if sources else grid
-    present = [c for c in merged.columns if c not in spec.keys and c not in (spec.ts, timegrid.CHUNK)]
+    st = set(static.columns) if static is not None else set()
+    present = [c for c in merged.columns
+               if c not in spec.keys and c not in (spec.ts, timegrid.CHUNK) and c not in st]
     out = fill.impute_series(merged, [c for c in present if c in cols or not cols], spec)
     return out.drop(timegrid.CHUNK)
 
