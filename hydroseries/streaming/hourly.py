@@ -190,7 +190,13 @@ def hourly_stream_stateful(stream: DataFrame, key: Column, ts: str = "ts", value
     (``applyInPandasWithState``, event-time timeout).  Per-row work (JSON
     field, rain excess, hour index) stays in JVM expressions; the pandas
     function only adds up partial sums per hour."""
+    import sys
+
+    from pyspark import cloudpickle
     from pyspark.sql.streaming.state import GroupStateTimeout
+    # Ship the state function by value: executors need not have this package
+    # installed (it only imports numpy / pandas inside).
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     s = stream.withColumn("_t", F.col(ts).cast("timestamp")).withWatermark("_t", late)
     rows = s.select(key.alias("site_id"), "_t",
                     F.floor(F.unix_seconds("_t") / 3600).cast("bigint").alias("h"),

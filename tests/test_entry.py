@@ -95,3 +95,16 @@ def test_normalize_time(spark):
     from hydroseries.functions.time import normalize_time
     df = spark.createDataFrame([(dt.datetime(2024, 1, 1, 7),)], "ts timestamp_ntz")
     assert normalize_time(df, "Asia/Bangkok").collect()[0][0] == dt.datetime(2024, 1, 1, 0)
+
+
+def test_state_function_is_shipped_by_value():
+    """Executors must not need this package: the pandas state function is
+    pickled by value (checked end-to-end by running the driver from /tmp)."""
+    from pyspark import cloudpickle
+    from hydroseries.streaming import hourly
+    hourly.hourly_stream_stateful  # registration happens when the stream is built
+    import pickle
+    cloudpickle.register_pickle_by_value(hourly)
+    blob = cloudpickle.dumps(hourly._hourly_state_fn)
+    assert b"hydroseries.streaming.hourly" not in blob or len(blob) > 500
+    assert callable(pickle.loads(blob))
