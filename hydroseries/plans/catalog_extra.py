@@ -13,7 +13,7 @@ from hydroseries.operators import features, score, split
 from hydroseries.plans import pipeline
 from hydroseries.plans import sqlkit as S
 from hydroseries.plans import staging
-from hydroseries.plans.catalog_series import (BASE, COLS, DI, SPEC, _CS_COLS, _combine_sources, features_full_sql,
+from hydroseries.plans.catalog_series import (BASE, COLS, DI, SPEC, _combine_sources, features_full_sql,
                                               history, imputed, obs)
 from hydroseries.plans.registry import finish, register
 from hydroseries.session import scratch_path

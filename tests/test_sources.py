@@ -6,7 +6,6 @@ import os
 
 import pytest
 
-from hydroseries.config import SeriesSpec
 from hydroseries.operators import timegrid
 from hydroseries.operators.fill import impute_forecast
 from hydroseries.sources import io
