@@ -109,7 +109,9 @@ register("iqr_outliers_level", DI[:-1] + ",\n" + _q + "\n" + _f)(
 
 def eval_base(spark, d):
     """Labels of the imputed series and a score = min-max scaled current level."""
-    x = features.label_level(imputed(spark, d), spec=SPEC).withColumn("score", F.col("local_water_level_m"))
+    # The labelled table feeds the scaler fit and the metrics: cut it once.
+    x = materialize(features.label_level(imputed(spark, d), spec=SPEC)
+                    .withColumn("score", F.col("local_water_level_m")), "checkpoint")
     keep = BASE + ["local_water_level_m", "water_level_next_1h", "is_flood_next_1h"]
     x = scaling.apply_minmax(x, scaling.fit_minmax(x, ["score"]), keep=keep)
     x = x.withColumnRenamed("is_flood_next_1h", "label")
