@@ -50,6 +50,12 @@ CONTINUOUS_NAME_PARTS = (
 RAIN_NAME_PARTS = ("rain", "satellite_rainfall")
 # Substrings of the columns whose nulls drop a feature row.
 INCOMPLETE_NAME_PARTS = ("_lag_", "_sum_", "_avg_", "_std_")
+# Prediction messages and the short-history message (two integers: needed, got).
+MSG_FLOOD = "Flood predicted for next hour."
+MSG_NO_FLOOD = "No flood predicted for next hour."
+MSG_HIGH_LEVEL = "High water level predicted for next hour."
+MSG_NORMAL_LEVEL = "Normal water level predicted for next hour."
+MSG_SHORT_HISTORY = "Not enough real-time data in window. Need at least %d hours, got %d."
 # ---------------------------------------------------------------------------
 
 TARGET_REGRESSION = "water_level_next_1h"

@@ -28,8 +28,7 @@ def interpret_class(df: DataFrame, score: str = "prediction_score", threshold: f
         "predicted_is_flood": flood,
         "prediction_score": p,
         "certainty": F.when(flood, p).otherwise(F.lit(1.0) - p),
-        "message": F.when(flood, F.lit("Flood predicted for next hour."))
-                    .otherwise(F.lit("No flood predicted for next hour.")),
+        "message": F.when(flood, F.lit(C.MSG_FLOOD)).otherwise(F.lit(C.MSG_NO_FLOOD)),
         "model_type": F.lit("classification"),
     }
     if as_of is not None:
@@ -47,8 +46,7 @@ def interpret_level(df: DataFrame, pred: str = "predicted_water_level_m",
         "predicted_water_level_m": p,
         "flood_threshold_m": F.lit(float(threshold)),
         "threshold_exceeded": hit,
-        "message": F.when(hit, F.lit("High water level predicted for next hour."))
-                    .otherwise(F.lit("Normal water level predicted for next hour.")),
+        "message": F.when(hit, F.lit(C.MSG_HIGH_LEVEL)).otherwise(F.lit(C.MSG_NORMAL_LEVEL)),
         "model_type": F.lit("regression"),
     }
     if as_of is not None:

@@ -26,6 +26,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from hydroseries import config as C
 from hydroseries.session import materialize
 
 _G0 = "_g0"
@@ -172,8 +173,7 @@ def with_sufficiency(counts: DataFrame, n: int) -> DataFrame:
     """``needed``, ``sufficient`` and, for short series, the error message."""
     x = counts.withColumn("needed", F.lit(n).cast("bigint")).withColumn(
         "sufficient", F.col("n_rows") >= F.col("needed"))
-    msg = F.format_string("Not enough real-time data in window. Need at least %d hours, got %d.",
-                          F.col("needed"), F.col("n_rows"))
+    msg = F.format_string(C.MSG_SHORT_HISTORY, F.col("needed"), F.col("n_rows"))
     return x.withColumn("message", F.when(~F.col("sufficient"), msg))
 
 
