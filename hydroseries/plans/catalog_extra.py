@@ -129,7 +129,7 @@ register("predictions_json_roundtrip", S.with_(S.OBS, "last AS (SELECT * FROM ob
                                                       "(PARTITION BY site_id ORDER BY ts DESC) = 1)") + S.final(
     ["predicted_water_level_m", "flood_threshold_m"],
     BASE + ["threshold_exceeded", "message", "model_type", "prediction_time_utc", "prediction_time_local"],
-    "(SELECT site_id, ts, local_water_level_m AS predicted_water_level_m, 1.5 AS flood_threshold_m, "
+    "(SELECT site_id, ts, local_water_level_m AS predicted_water_level_m, CAST(1.5 AS DOUBLE) AS flood_threshold_m, "
     "local_water_level_m > 1.5 AS threshold_exceeded, CASE WHEN local_water_level_m > 1.5 THEN "
     "'High water level predicted for next hour.' ELSE 'Normal water level predicted for next hour.' END AS message, "
     f"'regression' AS model_type, TIMESTAMP '{AS_OF}' AS prediction_time_utc, "

@@ -366,7 +366,7 @@ _PAIRS = (("rain_1h", "humidity", "rain_x_humidity"),
 register("interactions", DI + S.final(["rain_x_humidity", "level_x_rain", "humidity_x_temperature"], BASE,
                                       "(SELECT site_id, ts, rain_1h * humidity AS rain_x_humidity, "
                                       "local_water_level_m * rain_1h AS level_x_rain, "
-                                      "0.0 AS humidity_x_temperature FROM imputed)"))(
+                                      "CAST(0.0 AS DOUBLE) AS humidity_x_temperature FROM imputed)"))(
     lambda spark, d: _sel(features.interactions(imputed(spark, d), _PAIRS),
                           BASE + [p[2] for p in _PAIRS]))
 
@@ -402,9 +402,9 @@ def _align(spark, d):
 
 
 register("align_columns", D + S.final(_ORDER, BASE, "(SELECT site_id, ts, coalesce(rain_1h, 0.0) AS rain_1h, "
-                                                    "coalesce(humidity, 0.0) AS humidity, 0.0 AS temperature, "
+                                                    "coalesce(humidity, 0.0) AS humidity, CAST(0.0 AS DOUBLE) AS temperature, "
                                                     "coalesce(local_water_level_m, 0.0) AS local_water_level_m, "
-                                                    "0.0 AS pressure FROM dense)"))(_align)
+                                                    "CAST(0.0 AS DOUBLE) AS pressure FROM dense)"))(_align)
 
 
 # --- M3: the flagship -------------------------------------------------------
@@ -435,13 +435,13 @@ def features_full_sql(cfg: FeatureConfig = FEATURES_CFG) -> str:
         for c in cols:
             for n in cfg.rolling_windows:
                 dbl[f"{c}_{how}_{n}h"] = (f"{fn}({c}) OVER ({S.W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-                                          if c in base_cols else "0.0")
+                                          if c in base_cols else "CAST(0.0 AS DOUBLE)")
     lead = f"lead({cfg.target_level_column}, {cfg.horizon_hours}) OVER ({S.W})"
     dbl["water_level_next_1h"] = lead
     ints["is_flood_next_1h"] = f"coalesce(CAST({lead} > {cfg.flood_threshold_m!r} AS INTEGER), 0)"
     dbl["elevation_m"] = "elevation_m"
     for a, b, name in cfg.interaction_pairs:
-        dbl[name] = f"{a} * {b}" if a in base_cols and b in base_cols else "0.0"
+        dbl[name] = f"{a} * {b}" if a in base_cols and b in base_cols else "CAST(0.0 AS DOUBLE)"
     inner = ("(SELECT site_id, ts, " + ", ".join(base_cols) + ", "
              + ", ".join(f"{e} AS {c}" for c, e in {**ints, **dbl}.items()) + " FROM hist)")
     need = [c for c in dbl if any(p in c for p in C.INCOMPLETE_NAME_PARTS)] + ["water_level_next_1h", "is_flood_next_1h"]

@@ -41,7 +41,7 @@ def stream_score(spark, d):
 register("stream_score", S.with_(S.OBS, _SEALED, "last AS (SELECT * FROM sealed QUALIFY row_number() OVER "
                                                  "(PARTITION BY site_id ORDER BY ts DESC) = 1)") + S.final(
     ["predicted_water_level_m", "flood_threshold_m"], ["site_id", "ts", "threshold_exceeded", "message", "model_type"],
-    "(SELECT site_id, ts, local_water_level_m AS predicted_water_level_m, 1.5 AS flood_threshold_m, "
+    "(SELECT site_id, ts, local_water_level_m AS predicted_water_level_m, CAST(1.5 AS DOUBLE) AS flood_threshold_m, "
     "local_water_level_m > 1.5 AS threshold_exceeded, CASE WHEN local_water_level_m > 1.5 THEN "
     "'High water level predicted for next hour.' ELSE 'Normal water level predicted for next hour.' END AS message, "
     "'regression' AS model_type FROM last)"))(stream_score)

@@ -25,8 +25,9 @@ SPANS = "spans AS (SELECT site_id, min(ts) AS s, max(ts) AS e FROM obs GROUP BY
 GRID = "grid AS (SELECT site_id, unnest(generate_series(s, e, INTERVAL 1 HOUR)) AS ts FROM spans)"
 DENSE = ("dense AS (SELECT g.site_id, g.ts, o.local_water_level_m, o.rain_1h, o.humidity "
          "FROM grid g LEFT JOIN obs o ON g.site_id = o.site_id AND g.ts = o.ts)")
-SITES = ("sites AS (SELECT e.site_id, n.n_name AS site_name, n.n_regionkey * 10.0 + n.n_nationkey * 0.5 AS elevation_m, "
-         "n.n_nationkey * 0.01 AS lon, n.n_regionkey * 0.01 AS lat "
+SITES = ("sites AS (SELECT e.site_id, n.n_name AS site_name, "
+         "CAST(n.n_regionkey AS DOUBLE) * 10.0 + CAST(n.n_nationkey AS DOUBLE) * 0.5 AS elevation_m, "
+         "CAST(n.n_nationkey AS DOUBLE) * 0.01 AS lon, CAST(n.n_regionkey AS DOUBLE) * 0.01 AS lat "
          "FROM (SELECT DISTINCT event_type AS site_id FROM events) e JOIN nation n ON length(e.site_id) = n.n_nationkey)")
 COLS = ("local_water_level_m", "rain_1h", "humidity")
 RAIN = ("rain_1h",)

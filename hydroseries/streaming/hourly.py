@@ -160,7 +160,7 @@ def _hourly_state_fn(key, batches, state):
             n=("value", "size"), v_sum=("value", "sum"), r_sum=("rain", "sum"), k_sum=("k", "sum"),
             k_n=("k_n", "sum")).reset_index()
         g = g[g["h"] > emitted]
-        acc = pd.concat([acc, g]).groupby("h", as_index=False)[cols].sum()
+        acc = g if acc.empty else pd.concat([acc, g]).groupby("h", as_index=False)[cols].sum()
     wm_h = state.getCurrentWatermarkMs() // 3_600_000  # hours fully before the watermark
     sealed = acc[acc["h"] + 1 <= wm_h].sort_values("h")
     rest = acc[acc["h"] + 1 > wm_h]
