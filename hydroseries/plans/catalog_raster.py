@@ -13,13 +13,16 @@ from hydroseries.plans.registry import finish, register
 RADIUS_M = 20000.0
 WINDOW = ("2024-01-02 00:00:00", "2024-01-12 00:00:00")
 
-_SCENES = ("scenes AS (SELECT label AS scene_id, TIMESTAMP '2024-01-01' + to_seconds(label * 36 * 3600) AS ts, "
-           "CASE WHEN label % 3 = 0 THEN ['VH'] ELSE ['VV', 'VH'] END AS polarisations, "
-           "CASE WHEN label % 4 = 1 THEN 'EW' ELSE 'IW' END AS instrument_mode, "
-           "CAST((label * 7) % 50 AS DOUBLE) AS cloud_pct FROM (SELECT DISTINCT label FROM embeddings))")
 _PIXELS = ("pixels AS (SELECT vec_id AS pixel_id, label AS scene_id, CAST(embedding[3] AS DOUBLE) AS lon, "
            "CAST(embedding[4] AS DOUBLE) AS lat, CAST(embedding[1] AS DOUBLE) AS B3, CAST(embedding[2] AS DOUBLE) AS B8, "
-           "CAST(embedding[5] AS DOUBLE) AS VV, CAST((vec_id % 4) * 1024 AS INTEGER) AS QA60 FROM embeddings)")
+           "CAST(embedding[5] AS DOUBLE) AS VV, CAST((CASE WHEN CAST(embedding[6] AS DOUBLE) > 0.15 THEN 1024 ELSE 0 END) + "
+           "(CASE WHEN CAST(embedding[7] AS DOUBLE) > 0.15 THEN 2048 ELSE 0 END) AS INTEGER) AS QA60, "
+           "CAST(embedding[8] AS DOUBLE) AS _pol, CAST(embedding[9] AS DOUBLE) AS _mode FROM embeddings)")
+_SCENES = ("scenes AS (SELECT scene_id, TIMESTAMP '2024-01-01' + to_seconds(scene_id * 36 * 3600) AS ts, "
+           "CASE WHEN avg(_pol) > 0 THEN ['VV', 'VH'] ELSE ['VH'] END AS polarisations, "
+           "CASE WHEN avg(_mode) > 0.01 THEN 'EW' ELSE 'IW' END AS instrument_mode, "
+           "avg(CASE WHEN (QA60 & 3072) <> 0 THEN 1.0 ELSE 0.0 END) * 100.0 AS cloud_pct "
+           "FROM pixels GROUP BY scene_id)")
 _R = 6371008.8
 
 
@@ -33,14 +36,14 @@ def _near_sql(src: str = "pixels") -> str:
             f"FROM {src} p JOIN sites s ON {_hav('p.lon', 'p.lat', 's.lon', 's.lat')} <= {RADIUS_M!r})")
 
 
-register("scene_filter", S.with_(_SCENES) + S.final(
+register("scene_filter", S.with_(_PIXELS, _SCENES) + S.final(
     ["cloud_pct"], ["scene_id", "ts", "instrument_mode"], "scenes",
     f"ts >= TIMESTAMP '{WINDOW[0]}' AND ts < TIMESTAMP '{WINDOW[1]}' AND list_contains(polarisations, 'VV') "
     "AND instrument_mode = 'IW'"))(
     lambda spark, d: finish(raster.scene_filter(staging.scenes(spark, d), WINDOW[0], WINDOW[1], "VV", "IW")
                             .select("scene_id", "ts", "instrument_mode", "cloud_pct")))
 
-register("cloud_mask", S.with_(_SCENES, _PIXELS) + (
+register("cloud_mask", S.with_(_PIXELS, _SCENES) + (
     "SELECT pixel_id, scene_id, QA60 FROM pixels WHERE (QA60 & 3072) = 0 "
     "AND scene_id IN (SELECT scene_id FROM scenes WHERE cloud_pct < 20)"))(
     lambda spark, d: raster.cloud_mask(staging.pixels(spark, d), staging.scenes(spark, d))
@@ -79,12 +82,12 @@ _S1 = ("s1 AS (SELECT n.site_id, sc.ts, 'satellite_water_index_s1_vv' AS band, a
        "FROM near1 n JOIN scenes sc ON n.scene_id = sc.scene_id GROUP BY n.site_id, n.scene_id, sc.ts)")
 _S2 = ("s2 AS (SELECT n.site_id, sc.ts, 'satellite_water_index_s2_ndwi' AS band, avg(n.NDWI) AS value "
        "FROM near2 n JOIN scenes sc ON n.scene_id = sc.scene_id GROUP BY n.site_id, n.scene_id, sc.ts)")
-_P1 = ("px1 AS (SELECT * FROM pixels WHERE scene_id IN (SELECT scene_id FROM scenes "
+_P1 = ("px1 AS (SELECT * EXCLUDE (_pol, _mode) FROM pixels WHERE scene_id IN (SELECT scene_id FROM scenes "
        "WHERE list_contains(polarisations, 'VV') AND instrument_mode = 'IW'))")
-_P2 = ("px2 AS (SELECT *, CASE WHEN B3 + B8 = 0 THEN NULL ELSE (B3 - B8) / (B3 + B8) END AS NDWI FROM pixels "
+_P2 = ("px2 AS (SELECT * EXCLUDE (_pol, _mode), CASE WHEN B3 + B8 = 0 THEN NULL ELSE (B3 - B8) / (B3 + B8) END AS NDWI FROM pixels "
        "WHERE (QA60 & 3072) = 0 AND scene_id IN (SELECT scene_id FROM scenes WHERE cloud_pct < 20))")
 
-register("water_extent", S.with_(_SCENES, _PIXELS, S.SITES, _P1, _P2,
+register("water_extent", S.with_(_PIXELS, _SCENES, S.SITES, _P1, _P2,
                                  _near_sql("px1").replace("near AS", "near1 AS"),
                                  _near_sql("px2").replace("near AS", "near2 AS"), _S1, _S2)
          + S.final(["value"], ["site_id", "ts", "band"],

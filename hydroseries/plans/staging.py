@@ -13,7 +13,8 @@ query's work grows with the tables:
 * sources for the merge operators: ``events`` split into two sensor feeds by
   reading time — minutes 0-29 and 30-59 of each hour (every row lands in
   exactly one feed, together they are the whole table).
-* raster stand-ins: ``embeddings`` rows as pixels, ``label`` as the scene.
+* raster stand-ins: ``embeddings`` rows as pixels, ``label`` as the scene;
+  QA bits and scene properties are computed from the embedding values.
 """
 
 from __future__ import annotations
@@ -98,28 +99,33 @@ __all__ = ["SPEC", "OBS_COLS", "table", "obs", "obs_from", "sites", "feed", "raw
 
 # --- raster stand-ins from ``embeddings`` -----------------------------------
 
-def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scene per embedding label: a time 36 h apart, a polarisation list
-    (VH only for every third label), a mode (EW for labels 1, 5, 9) and a
-    cloud percentage ``(7 * label) mod 50``."""
-    lab = table(spark, sf_dir, "embeddings").select(F.col("label").alias("scene_id")).distinct()
-    s = F.col("scene_id")
-    return lab.select(
-        s,
-        F.timestamp_seconds(F.lit(1704067200) + s * F.lit(36 * 3600)).cast("timestamp_ntz").alias("ts"),
-        F.when(F.pmod(s, F.lit(3)) == 0, F.array(F.lit("VH"))).otherwise(F.array(F.lit("VV"), F.lit("VH")))
-         .alias("polarisations"),
-        F.when(F.pmod(s, F.lit(4)) == 1, F.lit("EW")).otherwise(F.lit("IW")).alias("instrument_mode"),
-        F.pmod(s * F.lit(7), F.lit(50)).cast("double").alias("cloud_pct"))
-
-
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding row is a pixel of scene ``label``: green = element 0,
-    nir = element 1, lon / lat = elements 2 / 3 (degrees), VV = element 4,
-    QA60 = ``(vec_id mod 4) * 1024``."""
+    nir = element 1, lon / lat = elements 2 / 3 (degrees), VV = element 4; the
+    QA60 cloud bit (1024) is set where element 5 exceeds 0.15 and the cirrus
+    bit (2048) where element 6 does."""
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("pixel_id"), F.col("label").alias("scene_id"),
         e[2].cast("double").alias("lon"), e[3].cast("double").alias("lat"),
         e[0].cast("double").alias("B3"), e[1].cast("double").alias("B8"), e[4].cast("double").alias("VV"),
-        (F.pmod(F.col("vec_id"), F.lit(4)) * 1024).cast("int").alias("QA60"))
+        (F.when(e[5] > 0.15, 1024).otherwise(0) + F.when(e[6] > 0.15, 2048).otherwise(0)).cast("int").alias("QA60"),
+        e[7].cast("double").alias("_pol"), e[8].cast("double").alias("_mode"))
+
+
+def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scene properties aggregated from its pixels: acquisition time 36 h per
+    scene number, cloud percentage = share of pixels with a QA cloud or cirrus
+    bit, VV in the polarisation list when the mean of element 7 is positive,
+    mode EW when the mean of element 8 exceeds 0.01 (else IW)."""
+    px = pixels(spark, sf_dir)
+    s = F.col("scene_id")
+    return px.groupBy("scene_id").agg(
+        (F.avg(F.when((F.col("QA60").bitwiseAND(3072)) != 0, 1.0).otherwise(0.0)) * 100.0).alias("cloud_pct"),
+        F.avg("_pol").alias("_pol"), F.avg("_mode").alias("_mode")).select(
+        s,
+        F.timestamp_seconds(F.lit(1704067200) + s * F.lit(36 * 3600)).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("_pol") > 0, F.array(F.lit("VV"), F.lit("VH"))).otherwise(F.array(F.lit("VH")))
+         .alias("polarisations"),
+        F.when(F.col("_mode") > 0.01, F.lit("EW")).otherwise(F.lit("IW")).alias("instrument_mode"),
+        "cloud_pct")
