@@ -92,3 +92,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def recommended_settings(input_bytes: int, total_cores: int, target_partition_mb: int = 256,
+                         max_file_split_mb: int = 512) -> dict[str, str]:
+    """Shuffle and scan sizing for a run over ``input_bytes`` of parquet on
+    ``total_cores`` executor cores: enough shuffle partitions that each holds
+    about ``target_partition_mb`` (and at least two waves of tasks), file splits
+    no larger than ``max_file_split_mb``; AQE then coalesces small partitions
+    and splits skewed ones at run time."""
+    target = target_partition_mb * 1024 * 1024
+    parts = max(2 * total_cores, -(-int(input_bytes) // target))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.files.maxPartitionBytes": str(min(max_file_split_mb, target_partition_mb) * 1024 * 1024),
+    }
