@@ -175,7 +175,9 @@ def flood_flag(df: DataFrame, level: str = "local_water_level_m", rain: str = "r
 def build_features(df: DataFrame, cfg: FeatureConfig = _FC, spec: SeriesSpec = _SPEC,
                    sites: DataFrame | None = None, drop: bool = True) -> DataFrame:
     """M3: calendar, lunar, lags, rolling sums / means / stds, static,
-    interactions, both labels, then P8 — one window pass."""
+    interactions, both labels, then P8 — one window pass.  An input that still
+    carries ``_chunk`` (``densify(keep_chunk=True)`` + fills) is not shuffled
+    again: only the halo rows move (``windows.bounded``)."""
     cols = df.columns
     before = max([cfg.lag_depth, *cfg.rolling_windows])
     after = cfg.horizon_hours
@@ -198,4 +200,4 @@ def build_features(df: DataFrame, cfg: FeatureConfig = _FC, spec: SeriesSpec = _
     out = interactions(out, cfg.interaction_pairs)
     if drop:
         out = drop_incomplete(out, require_target=cfg.require_target)
-    return out
+    return out.drop(windows.CHUNK)

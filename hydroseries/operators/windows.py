@@ -56,6 +56,12 @@ def bounded(df: DataFrame, spec: SeriesSpec, before: int, after: int,
 
     ``build`` may use row frames reaching at most ``before`` rows back and
     ``after`` rows ahead; it must keep all input columns (``select('*', ...)``).
+
+    If the input still carries ``_chunk`` (hash-partitioned on ``(keys,
+    chunk)`` by ``timegrid.densify(keep_chunk=True)``), only the halo copies
+    (about ``(before + after) / chunk_hours`` of the rows) are shuffled; the
+    own rows keep their partitioning through the union, so the table itself
+    is not shuffled again.
     """
     if not spec.chunk_hours:
         return build(df, Window.partitionBy(*spec.keys).orderBy(spec.ts))
@@ -63,8 +69,25 @@ def bounded(df: DataFrame, spec: SeriesSpec, before: int, after: int,
     if before >= n or after >= n:
         raise ValueError(f"frame ({before}, {after}) must be shorter than chunk_hours={n}")
     h = hour_index(spec.ts)
+    pos = h - F.floor(h / F.lit(n)) * F.lit(n)
+    if CHUNK in df.columns:
+        # Own rows: the chunk column is renamed (not copied), so the existing
+        # hash partitioning is exactly (keys, _part) and survives the union.
+        own = df.withColumnRenamed(CHUNK, PART).withColumn("_is_own", F.lit(True))
+        copies = []
+        if before > 0:
+            copies.append(F.when(pos >= n - before, F.col(CHUNK) + 1))
+        if after > 0:
+            copies.append(F.when(pos < after, F.col(CHUNK) - 1))
+        x = own
+        if copies:
+            arr = F.array_compact(F.array(*copies))
+            halo = (df.filter(F.size(arr) > 0).withColumn(PART, F.explode(arr)).drop(CHUNK)
+                      .withColumn("_is_own", F.lit(False)).repartition(*spec.keys, PART))
+            x = own.unionByName(halo)
+        out = build(x, Window.partitionBy(*spec.keys, PART).orderBy(spec.ts))
+        return out.filter(F.col("_is_own")).drop("_is_own").withColumnRenamed(PART, CHUNK)
     own = F.floor(h / F.lit(n)).cast("bigint")
-    pos = h - own * F.lit(n)
     x = df.withColumn(OWN, own)
     parts = [F.col(OWN)]
     if before > 0:

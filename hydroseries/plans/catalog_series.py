@@ -42,15 +42,18 @@ def dense(spark, d, spec=SPEC, static=None):
     return timegrid.densify(materialize(obs(spark, d), "checkpoint"), spec, keep_chunk=True, static=static)
 
 
-def imputed(spark, d, spec=SPEC, static=None):
-    return fill.impute_series(dense(spark, d, spec, static), COLS, spec).drop(timegrid.CHUNK)
+def imputed(spark, d, spec=SPEC, static=None, keep_chunk=False):
+    out = fill.impute_series(dense(spark, d, spec, static), COLS, spec)
+    return out if keep_chunk else out.drop(timegrid.CHUNK)
 
 
-def history(spark, d, spec=SPEC, static=None):
+def history(spark, d, spec=SPEC, static=None, keep_chunk=False):
     """Imputed series plus the tide baseline as ``sea_level_m`` (and the
-    static site columns when ``static`` is given, carried by the grid)."""
+    static site columns when ``static`` is given, carried by the grid).
+    ``keep_chunk`` keeps the (site, chunk) partitioning for the feature pass."""
     per, amp, off = C.TIDE_HARMONIC
-    return imputed(spark, d, spec, static).withColumn("sea_level_m", T.harmonic(T.hour_index("ts"), per, amp, off))
+    return imputed(spark, d, spec, static, keep_chunk).withColumn(
+        "sea_level_m", T.harmonic(T.hour_index("ts"), per, amp, off))
 
 
 def _sel(df: DataFrame, cols) -> DataFrame:
@@ -416,8 +419,8 @@ def features_full(spark: SparkSession, d: str, spec=SPEC) -> DataFrame:
     """obs -> dense grid -> F1 imputation -> tide baseline -> one-pass
     features and labels -> drop incomplete rows."""
     sites = staging.sites(spark, d).select("site_id", "elevation_m")
-    out = features.build_features(history(spark, d, spec, static=sites), FEATURES_CFG, spec)
-    return finish(out)
+    out = features.build_features(history(spark, d, spec, static=sites, keep_chunk=True), FEATURES_CFG, spec)
+    return finish(out.drop(timegrid.CHUNK))
 
 
 def features_full_sql(cfg: FeatureConfig = FEATURES_CFG) -> str:

@@ -22,11 +22,14 @@ _SPEC = SeriesSpec()
 
 def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SPEC,
                   sources: Sequence[tuple[str, DataFrame, dict]] = (), start=None, end=None,
-                  cut: str | None = "checkpoint", static: DataFrame | None = None) -> DataFrame:
+                  cut: str | None = "checkpoint", static: DataFrame | None = None,
+                  keep_chunk: bool = False) -> DataFrame:
     """``build_history``: base hourly table on a dense grid per site (each
     site's own first..last hour, or ``[start, end]``), merged with the sources
     in order, imputed by the column policy.  ``static`` per-site columns
     (e.g. elevation) ride on the grid, not on a join with the big table.
+    ``keep_chunk`` keeps the (site, chunk) partitioning column, so a following
+    ``feature_table`` shuffles only its halo rows.
 
     The hourly table is read several times (grid bounds, join, both fill
     passes), so it is cut once (``cut``) to avoid rescanning the raw input.
@@ -50,7 +53,7 @@ def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SP
     present = [c for c in merged.columns
                if c not in spec.keys and c not in (spec.ts, timegrid.CHUNK) and c not in st]
     out = fill.impute_series(merged, [c for c in present if c in cols or not cols], spec)
-    return out.drop(timegrid.CHUNK)
+    return out if keep_chunk else out.drop(timegrid.CHUNK)
 
 
 def feature_table(history: DataFrame, cfg: FeatureConfig = FeatureConfig(), spec: SeriesSpec = _SPEC,

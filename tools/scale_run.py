@@ -85,7 +85,7 @@ def hourly_run(spark, a) -> None:
     t0 = time.perf_counter()
     hist = pipeline.build_history(x, list(staging.OBS_COLS), spec)   # checkpoints the hourly input
     t1 = time.perf_counter()
-    hist = pipeline.materialize(hist, "checkpoint")
+    hist = pipeline.materialize(hist, "checkpoint")   # timed separately from the feature pass
     t2 = time.perf_counter()
     feats = pipeline.feature_table(hist, cfg, spec)
     feats.write.format("noop").mode("overwrite").save()
