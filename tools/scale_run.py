@@ -29,7 +29,7 @@ def main() -> None:
     ap.add_argument("--mode", choices=["sites", "history", "hourly"], default="history")
     ap.add_argument("--site-copies", type=int, default=200, help="hourly mode: copies of the 5 sites")
     ap.add_argument("--time-copies", type=int, default=24, help="hourly mode: 30-day shifts per site")
-    ap.add_argument("--chunk", type=int, default=672, help="hourly mode: chunk hours (0 = per-site windows)")
+    ap.add_argument("--chunk", type=int, default=2688, help="hourly mode: chunk hours (0 = per-site windows)")
     ap.add_argument("--cpus", default="8")
     a = ap.parse_args()
     from pyspark.sql import functions as F
@@ -83,7 +83,7 @@ def hourly_run(spark, a) -> None:
             .drop("_s", "_t"))
     cfg = FeatureConfig(lag_features=("rain_1h", "local_water_level_m"))
     t0 = time.perf_counter()
-    hist = pipeline.build_history(x, list(staging.OBS_COLS), spec)   # checkpoints the hourly input
+    hist = pipeline.build_history(x, list(staging.OBS_COLS), spec, keep_chunk=spec.chunk_hours is not None)
     t1 = time.perf_counter()
     hist = pipeline.materialize(hist, "checkpoint")   # timed separately from the feature pass
     t2 = time.perf_counter()
