@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from hydroseries.llm import secrets
 from hydroseries.llm.common import read_table
 from hydroseries.llm.mix import mix
 
@@ -12,5 +13,11 @@ def op1_mix(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"))
 
 
-QUERIES = {"op1_mix": op1_mix}
+def op3_secrets(spark, sf_dir):
+    """Base and model spans of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    return secrets.digest(secrets.scan(docs.select("doc_id", "text"), secrets.train(docs)))
+
+
+QUERIES = {"op1_mix": op1_mix, "op3_secrets": op3_secrets}
 ORACLE: dict[str, str] = {}
