@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from hydroseries.llm import secrets
-from hydroseries.llm.common import read_table
+from hydroseries.llm import cnn, secrets
+from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 
+ship_by_value(cnn)
+
 
 def op1_mix(spark, sf_dir):
     """All documents, sources weighed 5, 2, 1, repeating, 150 % of all sizes, at most 2 copies."""
@@ -19,5 +21,12 @@ def op3_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan(docs.select("doc_id", "text"), secrets.train(docs)))
 
 
-QUERIES = {"op1_mix": op1_mix, "op3_secrets": op3_secrets}
+def op5_quality(spark, sf_dir):
+    """Probability of quality 1 of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = cnn.fit(docs, read_table(spark, sf_dir, "labels"))
+    return cnn.classify(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op1_mix": op1_mix, "op3_secrets": op3_secrets, "op5_quality": op5_quality}
 ORACLE: dict[str, str] = {}

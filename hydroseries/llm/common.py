@@ -26,6 +26,11 @@ def ship_by_value(*modules) -> None:
         cloudpickle.register_pickle_by_value(m)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of texts to Python workers; a batch of long texts must fit in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
