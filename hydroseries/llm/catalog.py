@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from hydroseries.llm import cnn, secrets
+from hydroseries.llm import cnn, secrets, toxic
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 
-ship_by_value(cnn)
+ship_by_value(cnn, toxic)
 
 
 def op1_mix(spark, sf_dir):
@@ -28,5 +28,13 @@ def op5_quality(spark, sf_dir):
     return cnn.classify(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_mix": op1_mix, "op3_secrets": op3_secrets, "op5_quality": op5_quality}
+def op8_toxicity(spark, sf_dir):
+    """Probability of toxic 1 of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    grammar = toxic.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxic.classify(docs.select("doc_id", "text"), grammar).select("doc_id", "held_out", "score", "predicted")
+
+
+QUERIES = {"op1_mix": op1_mix, "op3_secrets": op3_secrets, "op5_quality": op5_quality,
+           "op8_toxicity": op8_toxicity}
 ORACLE: dict[str, str] = {}
