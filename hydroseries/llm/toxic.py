@@ -137,33 +137,30 @@ def learn_forms(sample: list[tuple[str, int]], risk: float = 0.01, ratio: float
     and in ``d0`` of the other texts is kept if
     its rate among toxic texts is ``ratio`` times the other rate and drawing d1
     toxic texts by chance, corrected for the number of forms, is less likely than ``risk``."""
-    seen, clean = {}, Counter()
-    n1 = n0 = 0
+    counts, n = (Counter(), Counter()), [0, 0]
     for text, y in sample:
-        words = WORDS.findall(text.lower())
-        if not y:
-            distinct = set(words)
-            clean.update(distinct | {w[:n] + "*" for w in distinct for n in STEMS if len(w) > n})
-            n0 += 1
-            continue
-        n1 += 1
+        words = set(WORDS.findall(text.lower()))
+        counts[y].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
+        n[y] += 1
+    if not all(n):
+        return {}
+    need = max(3.0, math.log(max(len(counts[1]), 1) / risk) / -math.log(n[1] / sum(n)))
+    seen = {f: set() for f, d in counts[1].items() if d >= need and d / n[1] >= ratio * (counts[0].get(f, 0) / n[0])}
+    for text, y in sample:
+        words = WORDS.findall(text.lower()) if y else []
         for before, w, after in zip(["", *words], words, [*words[1:], ""]):
             # copies of one text repeat the neighbours too: each pair of neighbours supports a form once
-            for f in [w, *(w[:n] + "*" for n in STEMS if len(w) > n)]:
-                seen.setdefault(f, set()).add(hash((before, after)))
-    toxic = {f: min(len(c), n1) for f, c in seen.items()}
-    if not n1 or not n0:
-        return {w: 1.0 for w in SEED_INSULTS} if n0 or not n1 else {}
-    chance = math.log(n1 / (n1 + n0))
-    need = max(3.0, math.log(max(len(toxic), 1) / risk) / -chance)
+            for f in (w, *(w[:k] + "*" for k in STEMS if len(w) > k)):
+                if f in seen:
+                    seen[f].add(hash((before, after)))
     kept = {}
-    for f, d1 in toxic.items():
-        d0 = clean.get(f, 0)
-        if d1 >= need and (d1 / n1) >= ratio * (d0 / n0):
-            kept[f] = min(1.0, (math.log((d1 + 0.5) / (n1 + 1)) - math.log((d0 + 0.5) / (n0 + 1))) / 5)
+    for f, places in seen.items():
+        d1, d0 = min(len(places), n[1]), counts[0].get(f, 0)
+        if d1 >= need and d1 / n[1] >= ratio * (d0 / n[0]):
+            kept[f] = min(1.0, (math.log((d1 + 0.5) / (n[1] + 1)) - math.log((d0 + 0.5) / (n[0] + 1))) / 5)
     # a form inside a kept stem adds nothing
     return {f: w for f, w in kept.items()
-            if not any(f.rstrip("*") != s and f.startswith(s) and f"{s}*" in kept for s in (f[:n] for n in STEMS if len(f.rstrip("*")) > n))}
+            if not any(f"{f[:k]}*" in kept for k in STEMS if len(f.rstrip("*")) > k)}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, sample_rate: np.ndarray, strength: float = 0.05, steps: int = 30):
@@ -195,7 +192,7 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int]) -> Grammar:
     return g
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Grammar:
     """Grammar from at most ``per_class`` labelled rows of each class of the training folds."""
     sample, counts = labelled_sample(docs, labels, "toxic", 5, 0, per_class)
     return train(sample, counts)
