@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from hydroseries.llm import cnn, secrets, toxic
+from hydroseries.llm import cnn, common, html, pagetree, secrets, toxic
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 
-ship_by_value(cnn, toxic)
+ship_by_value(cnn, common, html, pagetree, toxic)
 
 
 def op1_mix(spark, sf_dir):
@@ -15,6 +15,11 @@ def op1_mix(spark, sf_dir):
             .select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies"))
 
 
+def op2_html(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_secrets(spark, sf_dir):
     """Base and model spans of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -35,6 +40,6 @@ def op8_toxicity(spark, sf_dir):
     return toxic.classify(docs.select("doc_id", "text"), grammar).select("doc_id", "held_out", "score", "predicted")
 
 
-QUERIES = {"op1_mix": op1_mix, "op3_secrets": op3_secrets, "op5_quality": op5_quality,
+QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op5_quality": op5_quality,
            "op8_toxicity": op8_toxicity}
 ORACLE: dict[str, str] = {}

@@ -9,7 +9,7 @@ byte's class (letter case, digit, space, ...) and one for the byte itself.
 
 Training takes a bounded sample of labelled rows (``per_class`` of each class,
 balanced, the intercept corrected to the classes' counts among all training
-rows) on the driver; scoring is one pass of ``mapInPandas`` without a shuffle.
+rows) on the driver; scoring is one pass of ``mapInArrow`` without a shuffle.
 
 Defined results: a null or empty text has features 0; repeated rows get equal
 scores; an empty table gives an empty table; a long text is worked on in blocks,
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydroseries.llm.common import fold, labelled_sample, small_batches, text_or_empty
+from hydroseries.llm.common import fold, labelled_sample, text_or_empty, with_column
 
 WIDTH, FILTERS, HALF, CLASSES = 6, 16, 256, 8
 BLOCK = 1 << 18  # bytes worked on at a time
@@ -213,13 +213,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> dict:
 
 def classify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted per row; other columns of docs stay."""
-    def run(batches):
-        for pdf in batches:
-            pdf["score"] = score([(t or "").encode("utf-8", "replace") for t in pdf["_text"]], model)
-            yield pdf
-
-    small_batches(docs.sparkSession)
-    base = docs.drop("_text", "score", "held_out", "predicted")
-    got = base.withColumn("_text", text_or_empty())
-    got = got.mapInPandas(run, T.StructType(got.schema.fields + [T.StructField("score", T.DoubleType())]))
-    return got.drop("_text").withColumn("held_out", fold("doc_id", 3) == 1).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    def start():
+        return lambda texts: score([t.encode("utf-8", "replace") for t in texts], model).tolist()
+
+    got = docs.drop("_text", "held_out", "predicted").withColumn("_text", text_or_empty())
+    got = with_column(got, "score", T.DoubleType(), start, ["_text"], [c for c in got.columns if c not in ("_text", "score")])
+    return got.withColumn("held_out", fold("doc_id", 3) == 1).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hydroseries.session import checkpoint_dir
 
@@ -31,6 +33,28 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def with_column(df: DataFrame, name: str, kind: T.DataType, start, inputs: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Adds a column computed in Python from the ``inputs`` of each row.
+
+    ``start()`` runs once per task and returns a function from lists of values
+    to a list of results.  Columns pass as Arrow, so integers with nulls stay
+    exact; only ``keep`` (all by default) is returned."""
+    df = df.drop(name)
+    keep = list(keep) if keep is not None else df.columns
+    small_batches(df.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        fn = start()
+        for b in batches:
+            got = pa.array(fn(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs]), type=arrow)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], got], [*keep, name])
+
+    arrow = to_arrow_type(kind)
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, kind)])
+    return df.mapInArrow(run, schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydroseries.llm.common import fold, labelled_sample, small_batches, text_or_empty
+from hydroseries.llm.common import fold, labelled_sample, text_or_empty, with_column
 
 # Words of the grammar's closed classes.
 SEED_INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "worthless", "pathetic",
@@ -200,14 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Grammar:
 
 def classify(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """Adds held_out, score, predicted; other columns of docs stay."""
-    small_batches(docs.sparkSession)
-
-    def run(batches):
+    def start():
         finder = grammar.automaton()
-        for pdf in batches:
-            pdf["score"] = [grammar.score(t or "", finder) for t in pdf["_text"]]
-            yield pdf
+        return lambda texts: [grammar.score(t, finder) for t in texts]
 
-    got = docs.drop("_text", "score", "held_out", "predicted").withColumn("_text", text_or_empty())
-    got = got.mapInPandas(run, T.StructType(got.schema.fields + [T.StructField("score", T.DoubleType())]))
-    return got.drop("_text").withColumn("held_out", fold("doc_id", 5) == 0).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    got = docs.drop("_text", "held_out", "predicted").withColumn("_text", text_or_empty())
+    got = with_column(got, "score", T.DoubleType(), start, ["_text"], [c for c in got.columns if c not in ("_text", "score")])
+    return got.withColumn("held_out", fold("doc_id", 5) == 0).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
