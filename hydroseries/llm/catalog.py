@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from hydroseries.llm import cnn, common, html, pagetree, secrets, toxic
+import uuid
+
+from hydroseries.llm import cnn, common, html, pagetree, secrets, toxic, warc
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
+from hydroseries.session import scratch_path
 
-ship_by_value(cnn, common, html, pagetree, toxic)
+ship_by_value(cnn, common, html, pagetree, toxic, warc)
 
 
 def op1_mix(spark, sf_dir):
@@ -40,6 +43,22 @@ def op8_toxicity(spark, sf_dir):
     return toxic.classify(docs.select("doc_id", "text"), grammar).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_warc(spark, sf_dir):
+    """Archives of all pages, read back record by record."""
+    back = warc.round_trip(read_table(spark, sf_dir, "pages"), scratch_path(spark, f"warc-{uuid.uuid4().hex}"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op5_quality": op5_quality,
-           "op8_toxicity": op8_toxicity}
-ORACLE: dict[str, str] = {}
+           "op8_toxicity": op8_toxicity, "op10_warc": op10_warc}
+ORACLE: dict[str, str] = {
+    "op10_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS best FROM q)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM r
+""",
+}
