@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from hydroseries.llm import cnn, common, html, pagetree, secrets, toxic, warc
+from hydroseries.llm import ann, cnn, common, graph, html, pagetree, secrets, toxic, warc
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 from hydroseries.session import scratch_path
 
-ship_by_value(cnn, common, html, pagetree, toxic, warc)
+ship_by_value(ann, cnn, common, graph, html, pagetree, toxic, warc)
 
 
 def op1_mix(spark, sf_dir):
@@ -29,6 +29,11 @@ def op3_secrets(spark, sf_dir):
     return secrets.digest(secrets.scan(docs.select("doc_id", "text"), secrets.train(docs)))
 
 
+def op4_ann(spark, sf_dir):
+    """The 5 nearest of every query row among all embeddings."""
+    return ann.search_all(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark, sf_dir):
     """Probability of quality 1 of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -49,7 +54,7 @@ def op10_warc(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op5_quality": op5_quality,
+QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op4_ann": op4_ann, "op5_quality": op5_quality,
            "op8_toxicity": op8_toxicity, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {
     "op10_warc": """
