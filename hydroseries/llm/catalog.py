@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from hydroseries.llm import ann, cnn, common, graph, html, pagetree, secrets, toxic, warc
+from hydroseries.llm import ann, bagminhash, cnn, common, graph, html, neardup, pagetree, secrets, shingle, toxic, warc
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 from hydroseries.session import scratch_path
 
-ship_by_value(ann, cnn, common, graph, html, pagetree, toxic, warc)
+ship_by_value(ann, bagminhash, cnn, common, graph, html, neardup, pagetree, shingle, toxic, warc)
 
 
 def op1_mix(spark, sf_dir):
@@ -41,6 +41,12 @@ def op5_quality(spark, sf_dir):
     return cnn.classify(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_neardup(spark, sf_dir):
+    """Near-duplicate class of every document (five words, 0.8)."""
+    return (neardup.classes(read_table(spark, sf_dir, "documents"))
+            .select("doc_id", "class_id", "class_size", "copies"))
+
+
 def op8_toxicity(spark, sf_dir):
     """Probability of toxic 1 of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -55,7 +61,7 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op4_ann": op4_ann, "op5_quality": op5_quality,
-           "op8_toxicity": op8_toxicity, "op10_warc": op10_warc}
+           "op6_neardup": op6_neardup, "op8_toxicity": op8_toxicity, "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hydroseries.session import checkpoint_dir
+from hydroseries.session import scratch_path
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +18,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the plan with a reliable checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the plan: write the rows as a table in the shared folder and read it.
+
+    A checkpoint() would keep the size estimate and constraints of its whole
+    plan, and both grow exponentially in a loop of joins; a table starts anew."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._cut_path = path
+    return got
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``cut`` that nothing reads any more."""
+    remove_folder(df.sparkSession, df._cut_path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a scratch folder of our own through the cluster's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship_by_value(*modules) -> None:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroseries.llm.common import cut, text_or_empty
+from hydroseries.llm.common import cut, discard, text_or_empty
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,9 +86,11 @@ def solve_dual(cells: DataFrame, targets: DataFrame, cap: float, tol: float = 1e
         # outside the bracket: halve it, or double outwards while one side is open
         other = (F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2)
                  .when(F.col("lo").isNotNull(), F.abs(F.col("lam")) * 2 + 1).otherwise(-F.abs(F.col("lam")) * 2 - 1))
-        state = cut(s.select("sid", "target",
-                             F.when(F.col("ok"), F.col("lam")).when(inside, F.col("step")).otherwise(other).alias("lam"),
-                             "lo", "hi", F.col("ok").alias("done")))
+        new = cut(s.select("sid", "target",
+                           F.when(F.col("ok"), F.col("lam")).when(inside, F.col("step")).otherwise(other).alias("lam"),
+                           "lo", "hi", F.col("ok").alias("done")))
+        discard(state)
+        state = new
     return state.select("sid", "lam")
 
 

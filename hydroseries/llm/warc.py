@@ -8,7 +8,7 @@ index.  Files lie in the folder given (shared by the cluster) and are written
 through ``pyarrow.fs``, so its URI may name any store that library knows.
 
 Each task writes under names of its own (uuid) and returns them; the lists of
-names are checkpointed, so a lost executor repeats only its tasks, and files of
+names are cut, so a lost executor repeats only its tasks, and files of
 failed attempts are never read.  Streams keep memory bounded by one record.
 
 Defined results: a null html is an empty payload; a null url leaves out the target header;
@@ -25,10 +25,10 @@ import re
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.llm.common import cut, small_batches
+from hydroseries.llm.common import cut, remove_folder, small_batches
 
 PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"  # the pages carry no date of their own
@@ -222,12 +222,6 @@ def read_archives(archives: DataFrame, folder: str, rows: int = 256, payloads: b
     return archives.select("archive").mapInArrow(run, schema)
 
 
-def remove_folder(spark: SparkSession, folder: str) -> None:
-    """Deletes a scratch folder of our own through the cluster's file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def round_trip(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20) -> DataFrame:
     """Archives of all pages in ``folder``/records, read back; the one-stream archives are removed once rewritten."""
     one_stream = write_archives(with_revisits(pages), f"{folder}/streams", archive_bytes)
