@@ -4,11 +4,12 @@ Texts are bags of ``k``-word shingles; two texts are linked if the weighted
 Jaccard similarity of their bags is at least ``threshold``; a class is a
 connected component of links.  Texts with equal word sequences are collapsed
 first.  Signatures are cut into bands; rows that share a band's key meet in a
-bucket.  A bucket never emits all its pairs: in each round it names leaders,
-one for as many of its yet unlinked classes as the round allows, and every other member is
-compared with the leaders of other classes.  Leaders of later rounds are chosen anew among the
-classes that remain, until a round links nothing more and every bucket has had
-each of its classes lead.  Pairs are verified on the texts.
+bucket.  A bucket never emits all its pairs, unless it has at most ``small``
+members.  First every member is compared with the bucket's most central one
+(which meets most others over all bands: the original of a group of copies).
+Then small buckets compare all members of different classes; large ones
+compare, for ``rounds`` rounds, members of different classes that agree in one more band drawn anew each round.
+Pairs are verified on the exact bags.
 
 With bands of 5 of 125 registers a pair at similarity 0.8 shares no band with
 a probability of 5e-5, at 0.9 of less than 1e-9.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroseries.llm import bagminhash, shingle
-from hydroseries.llm.common import cut, text_or_empty, with_column
+from hydroseries.llm.common import cut, discard, text_or_empty, with_column
 from hydroseries.llm.components import components
 
 BANDS, ROWS = 25, 5
@@ -104,9 +105,37 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return with_column(both, "similar", T.BooleanType(), start, ["bag_a", "bag_b"], ["a", "b"]).where("similar").select("a", "b")
 
 
-def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders: int = 16, max_rounds: int = 8) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of the class), class_size, rows of the class
-    with equal words (copies); one row per input row."""
+def _small_pairs(open_: DataFrame) -> DataFrame:
+    """All pairs of different classes inside small buckets."""
+    left, right = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("ca")), open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    return left.join(right, "key").where("a < b AND ca <> cb").select("a", "b")
+
+
+def _large_pairs(open_: DataFrame, keys: DataFrame, r: int, reps: int = 8) -> DataFrame:
+    """Candidates of one round inside large buckets, at most ``reps`` + 1 per member.
+
+    A bucket is split into runs by one more band of its members (drawn by the bucket and the round), where
+    similar members meet again.  Members outside the run's largest class are compared with ``reps`` of its
+    members, and with the member before them."""
+    band = F.element_at("keys", (F.pmod(F.xxhash64("key", F.lit(r)), F.lit(BANDS)) + 1).cast("int"))
+    run = open_.join(keys, "node").select("key", band.alias("run"), "comp", "node", F.xxhash64("node", "key", F.lit(r)).alias("h"))
+    sizes = run.groupBy("key", "run", "comp").agg(F.count("*").alias("n"))
+    largest = (sizes.groupBy("key", "run").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes"))
+               .where("classes > 1").select("key", "run", F.col("top.comp").alias("lead_comp")))
+    rank = F.row_number().over(Window.partitionBy("key", "run", "comp").orderBy("h", "node"))
+    some = (run.withColumn("o", rank).where(F.col("o") <= reps).join(largest, ["key", "run"]).where("comp = lead_comp")
+            .select("key", "run", F.col("node").alias("lead")))
+    rest = run.join(largest, ["key", "run"]).where("comp <> lead_comp").select("key", "run", "comp", "node", "h")
+    w = Window.partitionBy("key", "run").orderBy("h", "node")
+    before = (rest.withColumn("lead", F.lag("node").over(w)).withColumn("lead_comp", F.lag("comp").over(w))
+              .where("lead_comp <> comp").select("lead", "node"))
+    return (rest.join(some, ["key", "run"]).select("lead", "node").union(before)
+            .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
+
+
+def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16, rounds: int = 3) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of the class), class_size, copies (rows of
+    equal words); one row per input row."""
     s = cut(signed(docs, k))
     exact = s.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"),
                                       F.first("keys").alias("keys"))
@@ -124,27 +153,23 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, leaders: int =
     tried = cut(pairs)
     links = cut(verify(tried, bags, threshold))
     label = components(links)
-    for r in range(max_rounds):
-        known = members.join(label, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+    keys = exact.select("node", "keys")
+    for r in range(rounds):
+        known = members.join(label, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
         split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         open_ = cut(known.join(split, "key", "left_semi"))
-        pick = F.xxhash64("key", "node", F.lit(r))
-        # one candidate per class of a bucket, then the round's leaders among the classes
-        by_class = open_.groupBy("key", "comp").agg(F.min(F.struct(pick.alias("h"), F.col("node").alias("node"))).alias("best"))
-        order = F.row_number().over(Window.partitionBy("key").orderBy("best.h", "comp"))
-        lead = (by_class.withColumn("o", order).where(F.col("o") <= leaders)
-                .select("key", F.col("comp").alias("lead_comp"), F.col("best.node").alias("lead")))
-        new = (open_.join(lead, "key").where("comp <> lead_comp")
-               .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct())
-        new = cut(new.join(tried, ["a", "b"], "left_anti"))
+        new = _large_pairs(open_.where(F.col("n") > small), keys, r)
+        if r == 0:
+            new = new.union(_small_pairs(open_.where(F.col("n") <= small)))
+        new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
         if not new.limit(1).count():
             break
         found = cut(verify(new, bags, threshold))
-        if not found.limit(1).count():
-            break
+        discard(open_)
         tried = cut(tried.union(new))
-        links = cut(links.union(found))
-        label = components(links)
+        if found.limit(1).count():
+            links = cut(links.union(found))
+            label = components(links)
     named = (exact.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     total = (named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")))
     final = named.join(total, "comp").select("k1", "k2", "class_id", "class_size", "copies")
