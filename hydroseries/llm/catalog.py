@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from hydroseries.llm import ann, bagminhash, cnn, common, graph, html, neardup, pagetree, secrets, shingle, toxic, warc
+from hydroseries.llm import ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, secrets, shingle, toxic, warc
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 from hydroseries.session import scratch_path
 
-ship_by_value(ann, bagminhash, cnn, common, graph, html, neardup, pagetree, shingle, toxic, warc)
+ship_by_value(ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, shingle, toxic, warc)
 
 
 def op1_mix(spark, sf_dir):
@@ -54,6 +54,11 @@ def op8_toxicity(spark, sf_dir):
     return toxic.classify(docs.select("doc_id", "text"), grammar).select("doc_id", "held_out", "score", "predicted")
 
 
+def op9_decontamination(spark, sf_dir):
+    """Passages of benchmark items in documents: doc_id, item_id, similarity, first word, word after the last."""
+    return decon.matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark, sf_dir):
     """Archives of all pages, read back record by record."""
     back = warc.round_trip(read_table(spark, sf_dir, "pages"), scratch_path(spark, f"warc-{uuid.uuid4().hex}"))
@@ -61,7 +66,8 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op4_ann": op4_ann, "op5_quality": op5_quality,
-           "op6_neardup": op6_neardup, "op8_toxicity": op8_toxicity, "op10_warc": op10_warc}
+           "op6_neardup": op6_neardup, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination,
+           "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
