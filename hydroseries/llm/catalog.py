@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from hydroseries.llm import ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, secrets, shingle, toxic, warc
+from hydroseries.llm import ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, passages, secrets, shingle, toxic, warc
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 from hydroseries.session import scratch_path
 
-ship_by_value(ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, shingle, toxic, warc)
+ship_by_value(ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, passages, shingle, toxic, warc)
 
 
 def op1_mix(spark, sf_dir):
@@ -47,6 +47,11 @@ def op6_neardup(spark, sf_dir):
             .select("doc_id", "class_id", "class_size", "copies"))
 
 
+def op7_passages(spark, sf_dir):
+    """Documents with passages of 50 or more words that repeat in other documents."""
+    return passages.repeated(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     """Probability of toxic 1 of every document."""
     docs = read_table(spark, sf_dir, "documents")
@@ -66,7 +71,7 @@ def op10_warc(spark, sf_dir):
 
 
 QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op4_ann": op4_ann, "op5_quality": op5_quality,
-           "op6_neardup": op6_neardup, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination,
+           "op6_neardup": op6_neardup, "op7_passages": op7_passages, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination,
            "op10_warc": op10_warc}
 ORACLE: dict[str, str] = {
     "op10_warc": """
