@@ -118,7 +118,7 @@ def _large_pairs(open_: DataFrame, keys: DataFrame, r: int, reps: int = 8) -> Da
     similar members meet again.  Members outside the run's largest class are compared with ``reps`` of its
     members, and with the member before them."""
     band = F.element_at("keys", (F.pmod(F.xxhash64("key", F.lit(r)), F.lit(BANDS)) + 1).cast("int"))
-    run = open_.join(keys, "node").select("key", band.alias("run"), "comp", "node", F.xxhash64("node", "key", F.lit(r)).alias("h"))
+    run = cut(open_.join(keys, "node").select("key", band.alias("run"), "comp", "node", F.xxhash64("node", "key", F.lit(r)).alias("h")))
     sizes = run.groupBy("key", "run", "comp").agg(F.count("*").alias("n"))
     largest = (sizes.groupBy("key", "run").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("classes"))
                .where("classes > 1").select("key", "run", F.col("top.comp").alias("lead_comp")))
