@@ -114,9 +114,11 @@ def train(docs: DataFrame, max_docs: int = 4000) -> list[float] | None:
     k = OTHER + 1
 
     def model(counts):
-        # each row is smoothed towards the uniform distribution over the alphabet
+        # each row is smoothed towards the single characters, these towards the uniform distribution
         rows = [sum(counts.get(i * k + j, 0) for j in range(k)) for i in range(k)]
-        return [math.log((counts.get(i * k + j, 0) + 0.5) / (rows[i] + 0.5 * k)) for i in range(k) for j in range(k)]
+        ends = [sum(counts.get(i * k + j, 0) for i in range(k)) for j in range(k)]
+        single = [(e + 0.5) / (sum(ends) + 0.5 * k) for e in ends]
+        return [math.log((counts.get(i * k + j, 0) + 8 * single[j]) / (rows[i] + 8)) for i in range(k) for j in range(k)]
 
     return [round(x - y, 4) for x, y in zip(model(a), model(b))]
 
