@@ -9,10 +9,12 @@ carry of a struct, for all columns at once.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hydroseries import config as C
 from hydroseries.config import SeriesSpec
@@ -116,7 +118,8 @@ def impute_series(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC,
     fallbacks are null there as well, so only a constant fallback changes it.
     ``zero``: nulls become 0.
     """
-    cols = [c for c in cols if c in df.columns]
+    # text has no policy: such a column stays as it is
+    cols = [c for c in cols if c in df.columns and isinstance(df.schema[c].dataType, T.NumericType)]
     pol = {c: (policy or {}).get(c) or default_policy(c) for c in cols}
     cont = [c for c in cols if pol[c][0] == "continuous"]
     x = _neighbours(df, cont, spec) if cont else df
@@ -135,10 +138,11 @@ def impute_series(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC,
 
 
 def fill_missing(df: DataFrame, strategy: str = "ffill", cols: Iterable[str] | None = None,
-                 spec: SeriesSpec = _SPEC, buckets: int | None = None) -> DataFrame:
+                 spec: SeriesSpec = _SPEC, buckets: int | None = None, strict: bool = False) -> DataFrame:
     """one strategy for the listed columns (all non-key columns if None):
     ``ffill``, ``bfill``, ``mean``, ``median`` (per series) or ``zero``.
-    Unknown columns are skipped, as the reference does."""
+    Unknown columns are skipped; an unknown strategy warns and leaves the table
+    as it is, or raises if ``strict``."""
     skip = set(spec.keys) | {spec.ts, windows.CHUNK}
     cols = [c for c in (cols if cols is not None else df.columns) if c in df.columns and c not in skip]
     if not cols:
@@ -158,7 +162,10 @@ def fill_missing(df: DataFrame, strategy: str = "ffill", cols: Iterable[str] | N
         stats = med.groupBy(*keys).pivot("column", cols).agg(F.first("m"))
         stats = stats.select(*keys, *[F.col(c).alias(f"_f_{c}") for c in cols])
     else:
-        raise ValueError(f"unknown fill strategy {strategy!r}")
+        if strict:
+            raise ValueError(f"unknown fill strategy {strategy!r}")
+        warnings.warn(f"unknown fill strategy {strategy!r}: nothing filled", stacklevel=2)
+        return df
     x = df.join(stats, keys, "left")
     return x.withColumns({c: F.coalesce(F.col(c), F.col(f"_f_{c}")) for c in cols}).drop(
         *[f"_f_{c}" for c in cols])

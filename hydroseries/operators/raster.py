@@ -10,7 +10,7 @@ pair within the radius is missed and no site is compared with all pixels.
 
 from __future__ import annotations
 
-import math
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from hydroseries import config as C
 
 EARTH_RADIUS_M = 6371008.8
-M_PER_DEG = EARTH_RADIUS_M * math.pi / 180.0
 
 
 def scene_filter(scenes: DataFrame, start=None, end=None, polarisation: str | None = None,
@@ -66,25 +65,33 @@ def haversine_m(lon1, lat1, lon2, lat2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
 
 
+def _cell(lon: Column, lat: Column, side: float) -> list[Column]:
+    """Cell of a point of the sphere in a grid of cubes of ``side`` metres."""
+    east, north = F.radians(lon), F.radians(lat)
+    xyz = F.cos(north) * F.cos(east), F.cos(north) * F.sin(east), F.sin(north)
+    return [F.floor(c * F.lit(EARTH_RADIUS_M / side)) for c in xyz]
+
+
 def near_sites(pixels: DataFrame, sites: DataFrame, radius_m: float = 2 * C.PIXEL_SCALE_M,
-               max_abs_lat: float = 60.0, site_cols: Sequence[str] = ("site_id",)) -> DataFrame:
+               site_cols: Sequence[str] = ("site_id",)) -> DataFrame:
     """Pixels within ``radius_m`` of each site, with ``dist_m``.
 
-    Cell height ``radius / m_per_deg``; cell width divided by
-    ``cos(max_abs_lat)`` so it also covers the radius up to that latitude.
+    Points are placed in cubes in space, a little larger than the radius (a
+    chord is never longer than its arc), so the pixels near a site lie in its cube and
+    the 26 around it, at the poles and the date line too.
     """
-    dy = radius_m / M_PER_DEG
-    dx = dy / math.cos(math.radians(max_abs_lat))
-    px = pixels.withColumns({"_cx": F.floor(F.col("lon") / dx), "_cy": F.floor(F.col("lat") / dy)})
-    offs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    side = radius_m * (1 + 1e-9) + 1e-3
+    cell = ["_cx", "_cy", "_cz"]
+    px = pixels.withColumns(dict(zip(cell, _cell(F.col("lon"), F.col("lat"), side))))
+    offs = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, "ijk")])
+                     for o in itertools.product((-1, 0, 1), repeat=3)])
     st = (sites.select(*site_cols, F.col("lon").alias("_slon"), F.col("lat").alias("_slat"))
-               .withColumn("_o", F.explode(offs))
-               .select(*site_cols, "_slon", "_slat",
-                       (F.floor(F.col("_slon") / dx) + F.col("_o.i")).alias("_cx"),
-                       (F.floor(F.col("_slat") / dy) + F.col("_o.j")).alias("_cy")))
-    j = px.join(st, ["_cx", "_cy"], "inner")
+               .withColumn("_o", F.explode(offs)))
+    st = st.select(*site_cols, "_slon", "_slat",
+                   *[(c + F.col(f"_o.{n}")).alias(k) for c, n, k in zip(_cell(F.col("_slon"), F.col("_slat"), side), "ijk", cell)])
+    j = px.join(st, cell, "inner")
     j = j.withColumn("dist_m", haversine_m(F.col("lon"), F.col("lat"), F.col("_slon"), F.col("_slat")))
-    return j.filter(F.col("dist_m") <= F.lit(float(radius_m))).drop("_cx", "_cy", "_slon", "_slat")
+    return j.filter(F.col("dist_m") <= F.lit(float(radius_m))).drop(*cell, "_slon", "_slat")
 
 
 def zonal_mean(pixels: DataFrame, band: str, by: Sequence[str] = ("site_id", "scene_id"),
@@ -95,7 +102,7 @@ def zonal_mean(pixels: DataFrame, band: str, by: Sequence[str] = ("site_id", "sc
     name = name or band
     aggs = [F.avg(band).alias(name), F.count(band).alias("n_pixels")]
     if "dist_m" in pixels.columns:
-        aggs.append(F.min_by(band, "dist_m").alias(f"{name}_nearest"))
+        aggs.append(F.min_by(band, F.struct("dist_m", band)).alias(f"{name}_nearest"))
     return pixels.groupBy(*by).agg(*aggs)
 
 

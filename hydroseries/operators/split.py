@@ -20,11 +20,12 @@ _G0 = "_g0"
 
 
 def latest(df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFrame:
-    """The row with the greatest time per series."""
+    """The row with the greatest time per series (rows are unique per
+    series and time).  The maxima are one small row per series, joined back, so the table is not sorted."""
     rest = [c for c in df.columns if c not in spec.keys]
-    return (df.groupBy(*spec.keys)
-              .agg(F.max_by(F.struct(*rest), F.col(spec.ts)).alias("_r"))
-              .select(*spec.keys, "_r.*"))
+    newest = df.groupBy(*spec.keys).agg(F.max(spec.ts).alias("_newest"))
+    return (df.join(newest, list(spec.keys)).filter(F.col(spec.ts) == F.col("_newest"))
+              .select(*spec.keys, *rest))
 
 
 def time_split(df: DataFrame, ts: str = "ts", by: Iterable[str] = ("site_id",),

@@ -62,7 +62,10 @@ def hourly_grid(spans: DataFrame, spec: SeriesSpec = _SPEC, start: str | Column
     if spec.chunk_hours:
         n = F.lit(spec.chunk_hours)
         x = x.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_s") / n), F.floor(F.col("_e") / n))))
-        x = x.repartition(*spec.keys, "_c")
+        # an explicit count: the chunk rows are tiny, and AQE would coalesce them into one task
+        # before each becomes a chunk of hours
+        n_parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        x = x.repartition(n_parts, *spec.keys, "_c")
         lo = F.greatest(F.col("_s"), F.col("_c") * n)
         hi = F.least(F.col("_e"), F.col("_c") * n + n - 1)
         x = x.select(*spec.keys, *carry, F.col("_c").alias(CHUNK), F.explode(F.sequence(lo, hi)).alias("_h"))

@@ -83,6 +83,12 @@ _RT = (f"recent AS (SELECT * FROM obs WHERE ts BETWEEN TIMESTAMP '{_START}' AND
        "rdense AS (SELECT g.site_id, g.ts, r.local_water_level_m, r.rain_1h, r.humidity FROM rgrid g "
        "LEFT JOIN recent r ON g.site_id = r.site_id AND g.ts = r.ts)")
 
+def _known(spark, d):
+    """Known sites: those with readings, and the nations, which have none in the window."""
+    ev = staging.table(spark, d, "events").select(F.col("event_type").alias("site_id"))
+    return ev.union(staging.table(spark, d, "nation").select("n_name")).distinct()
+
+
 def _recent(spark, d):
     raw = staging.events_as_series(staging.table(spark, d, "events"))
     return pipeline.recent_hourly(raw, staging.obs_aggs(), AS_OF, WIN, SPEC)
@@ -93,9 +99,10 @@ register("realtime_window", S.with_(S.OBS, _RT, S.imputed_cte("rimp", "rdense"))
                             .select(*BASE, *COLS)))
 
 register("realtime_sufficiency", S.with_(S.OBS, _RT) + (
-    "SELECT site_id, count(*) AS n_rows, CAST(25 AS BIGINT) AS needed, count(*) >= 25 AS sufficient, "
-    + _MSG + " FROM recent GROUP BY 1"))(
-    lambda spark, d: pipeline.build_realtime_window(_recent(spark, d), COLS, AS_OF, WIN, SPEC)[1])
+    "SELECT s.site_id, count(r.ts) AS n_rows, CAST(25 AS BIGINT) AS needed, count(r.ts) >= 25 AS sufficient, "
+    + _MSG.replace("count(*)", "count(r.ts)") + " FROM (SELECT DISTINCT event_type AS site_id FROM events UNION SELECT n_name FROM nation) s "
+    "LEFT JOIN recent r ON r.site_id = s.site_id GROUP BY 1"))(
+    lambda spark, d: pipeline.build_realtime_window(_recent(spark, d), COLS, AS_OF, WIN, SPEC, sites=_known(spark, d))[1])
 
 
 # --- S1 + S4, S7 round trips ------------------------------------------------

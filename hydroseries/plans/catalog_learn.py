@@ -3,6 +3,8 @@ scores have no SQL oracle; the driver checks their rows only."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hydroseries import config as C
@@ -14,7 +16,7 @@ from hydroseries.plans.registry import finish, register
 from hydroseries.session import scratch_path
 from hydroseries.sources import io
 
-CFG = TrainConfig(max_iter=10, max_depth=4)
+CFG = TrainConfig()
 
 
 def feature_table(spark, d):
@@ -25,7 +27,7 @@ def _train_score(model_type: str):
     def run(spark, d):
         res = learn.train_and_evaluate(feature_table(spark, d), model_type, CFG)
         # Round trip through storage: the stored model and scaler must score alike.
-        base = scratch_path(spark, f"models-{model_type}")
+        base = scratch_path(spark, f"models-{model_type}-{uuid.uuid4().hex[:12]}")
         learn.save_model(res.model, base, model_type)
         io.save_scaler(res.scaler, f"{base}/scaler")
         model = learn.load_model(base, model_type)

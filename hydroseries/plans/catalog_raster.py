@@ -10,7 +10,8 @@ from hydroseries.plans import sqlkit as S
 from hydroseries.plans import staging
 from hydroseries.plans.registry import finish, register
 
-RADIUS_M = 20000.0
+RADIUS_M = 4500.0
+GLOBAL_RADIUS_M = 900000.0
 WINDOW = ("2024-01-02 00:00:00", "2024-01-12 00:00:00")
 
 _PIXELS = ("pixels AS (SELECT vec_id AS pixel_id, label AS scene_id, CAST(embedding[3] AS DOUBLE) AS lon, "
@@ -59,6 +60,32 @@ register("near_sites", S.with_(_PIXELS, S.SITES, _near_sql()) + S.final(
     lambda spark, d: finish(raster.near_sites(staging.pixels(spark, d), staging.sites(spark, d), RADIUS_M)
                             .select("pixel_id", "scene_id", "site_id", "dist_m")))
 
+def _global_pixels(spark, d):
+    """The pixels spread over the whole sphere, many at the poles and the date line."""
+    e = F.col("embedding")
+    at = lambda c, bound: F.greatest(F.lit(-bound), F.least(F.lit(bound), c))
+    return staging.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("pixel_id"), at(e[2].cast("double") * F.lit(900.0), 180.0).alias("lon"),
+        at(e[3].cast("double") * F.lit(400.0), 90.0).alias("lat"))
+
+
+def _global_sites(spark, d):
+    """The nations on a diagonal from one pole and the date line to near the others."""
+    k = F.col("n_nationkey").cast("double")
+    return staging.table(spark, d, "nation").select(F.col("n_name").alias("site_id"), (k * F.lit(15.0) - F.lit(180.0)).alias("lon"),
+                                                    (k * F.lit(7.5) - F.lit(90.0)).alias("lat"))
+
+
+register("near_sites_global", (
+    "WITH p AS (SELECT vec_id AS pixel_id, greatest(-180.0, least(180.0, CAST(embedding[3] AS DOUBLE) * 900.0)) AS lon, "
+    "greatest(-90.0, least(90.0, CAST(embedding[4] AS DOUBLE) * 400.0)) AS lat FROM embeddings), "
+    "s AS (SELECT n_name AS site_id, CAST(n_nationkey AS DOUBLE) * 15.0 - 180.0 AS lon, "
+    "CAST(n_nationkey AS DOUBLE) * 7.5 - 90.0 AS lat FROM nation), "
+    f"j AS (SELECT pixel_id, site_id, {_hav('p.lon', 'p.lat', 's.lon', 's.lat')} AS dist_m FROM p, s) "
+    f"SELECT pixel_id, site_id, round(dist_m, 3) AS dist_m FROM j WHERE dist_m <= {GLOBAL_RADIUS_M!r}"))(
+    lambda spark, d: raster.near_sites(_global_pixels(spark, d), _global_sites(spark, d), GLOBAL_RADIUS_M)
+    .select("pixel_id", "site_id", F.round("dist_m", 3).alias("dist_m")))
+
 register("zonal_mean", S.with_(_PIXELS, S.SITES, _near_sql()) + S.final(
     ["VV", "VV_nearest"], ["site_id", "scene_id", "n_pixels"],
     "(SELECT site_id, scene_id, avg(VV) AS VV, count(VV) AS n_pixels, arg_min(VV, dist_m) AS VV_nearest "

@@ -81,16 +81,23 @@ def recent_hourly(raw: DataFrame, aggs: dict, as_of: dt.datetime, window_hours:
 
 
 def build_realtime_window(hourly: DataFrame, cols: Sequence[str], as_of: dt.datetime, window_hours: int,
-                          spec: SeriesSpec = _SPEC, rows_needed: int = FeatureConfig().history_rows_needed
-                          ) -> tuple[DataFrame, DataFrame]:
+                          spec: SeriesSpec = _SPEC, rows_needed: int = FeatureConfig().history_rows_needed,
+                          sites: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """``build_realtime_window``: the last ``window_hours`` hours up to
     ``as_of`` (floored to the hour) for every site, on a dense grid, absent
-    columns added as null, imputed; plus the sufficiency report (Z4)."""
+    columns added as null, imputed; plus the sufficiency report (Z4).
+
+    The report has a row for every known site, with 0 rows for one that is
+    absent from the window: the keys of ``sites``, or else of all of ``hourly``
+    (give ``sites`` if ``hourly`` is already cut to the window)."""
     start, end = window_bounds(as_of, window_hours)
     recent = timegrid.time_range(hourly, start, end, spec.ts)
     recent = scaling.ensure_columns(recent, cols)
     window = build_history(recent, cols, spec, start=start, end=end, cut=None)
-    report = stats.require_rows(recent, rows_needed, spec.keys)
+    known = (hourly if sites is None else sites).select(*spec.keys).distinct()
+    counts = recent.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = known.join(counts, list(spec.keys), "left").select(*spec.keys, F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_rows"))
+    report = stats.with_sufficiency(counts, rows_needed)
     return window, report
 
 

@@ -34,15 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# The ``props`` documents are ``{"k": <number>}``: an anchored pattern reads
-# that exact shape (several times cheaper than a JSON parse per row); any other
-# shape falls back to the JSON path, so the value is always the JSON value.
-_K_SHAPE = r'^\{"k": (-?[0-9]+(?:\.[0-9]+)?)\}$'
-
-
 def k_value(props: str = "props"):
-    fast = F.regexp_extract(F.col(props), _K_SHAPE, 1)
-    return F.when(fast != "", fast).otherwise(F.get_json_object(F.col(props), "$.k")).try_cast("double")
+    """The number under ``k`` of a JSON document, null if there is none."""
+    return F.get_json_object(F.col(props), "$.k").try_cast("double")
 
 
 def obs_aggs(value: str = "value", props: str = "props") -> dict:

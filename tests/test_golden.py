@@ -38,8 +38,16 @@ def test_mean_fill_one_column(three):
 
 def test_unknown_strategy_and_column(three):
     assert fill.fill_missing(three, "zero", ["nope"]).count() == 5
+    with pytest.warns(UserWarning, match="unknown fill strategy"):
+        assert fill.fill_missing(three, "mode", ["col1"]).collect() == three.collect()
     with pytest.raises(ValueError):
-        fill.fill_missing(three, "mode", ["col1"])
+        fill.fill_missing(three, "mode", ["col1"], strict=True)
+
+
+def test_text_columns_are_not_imputed(three):
+    df = three.withColumn("weather_main", F.lit("Rain"))
+    out = fill.impute_series(df, ["col1", "weather_main"])
+    assert {r["weather_main"] for r in out.collect()} == {"Rain"}
 
 
 @pytest.mark.parametrize("buckets", [1, 4, 256])

@@ -30,6 +30,21 @@ def test_near_sites_equals_brute_force(spark, radius):
     assert got == want and len(want) > 0
 
 
+@pytest.mark.parametrize("lon,lat", [(10.0, 75.0), (10.0, 85.0), (180.0, 0.0), (0.0, 90.0), (-180.0, -89.9)])
+def test_near_sites_at_poles_and_date_line(spark, lon, lat):
+    rng = np.random.default_rng(7)
+    radius, n = 500.0, 1500
+    wide = min(180.0, 0.02 / max(math.cos(math.radians(lat)), 1e-4))
+    wrap = lambda x: (x + 180.0) % 360.0 - 180.0
+    clip = lambda y: max(-90.0, min(90.0, y))
+    px = [(i, wrap(lon + float(x)), clip(lat + float(y))) for i, (x, y) in enumerate(zip(rng.uniform(-wide, wide, n), rng.uniform(-0.02, 0.02, n)))]
+    sites = [(f"s{j}", *px[j][1:]) for j in range(6)]
+    got = {(r["pixel_id"], r["site_id"]) for r in raster.near_sites(
+        spark.createDataFrame(px, "pixel_id int, lon double, lat double"),
+        spark.createDataFrame(sites, "site_id string, lon double, lat double"), radius).collect()}
+    assert got == {(p[0], s[0]) for p in px for s in sites if hav(p[1], p[2], s[1], s[2]) <= radius} and len(got) > 6
+
+
 def test_cloud_mask_and_ndwi(spark):
     import datetime as dt
     scenes = spark.createDataFrame([
