@@ -29,3 +29,13 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     discard(both)
     return labels
+
+
+def merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after more links: only the components that the links touch are solved anew."""
+    ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    known = cut(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("comp"))))
+    near = (links.join(known.toDF("a", "ca"), "a").join(known.toDF("b", "cb"), "b")
+            .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = components(near).toDF("comp", "next")
+    return cut(known.join(new, "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))

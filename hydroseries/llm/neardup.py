@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from hydroseries.llm import bagminhash, shingle
 from hydroseries.llm.common import cut, discard, text_or_empty, with_column
-from hydroseries.llm.components import components
+from hydroseries.llm.components import components, merge
 
 BANDS, ROWS = 25, 5
 SIGNED = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("size", T.IntegerType()),
@@ -97,11 +97,9 @@ def verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             return [shingle.similarity(shingle.unpack(x), shingle.unpack(y)) >= threshold - 1e-12 for x, y in zip(xs, ys)]
         return check
 
-    size = bags.select("node", "size")
-    fit = (pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-           .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-12)).select("a", "b"))
-    bag = bags.select("node", "bag")
-    both = fit.join(bag.toDF("b", "bag_b"), "b").join(bag.toDF("a", "bag_a"), "a").select("a", "b", "bag_a", "bag_b")
+    bag = bags.select("node", "size", "bag")
+    both = (pairs.join(bag.toDF("b", "nb", "bag_b"), "b").join(bag.toDF("a", "na", "bag_a"), "a")
+            .where(F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold - 1e-12)).select("a", "b", "bag_a", "bag_b"))
     return with_column(both, "similar", T.BooleanType(), start, ["bag_a", "bag_b"], ["a", "b"]).where("similar").select("a", "b")
 
 
@@ -151,8 +149,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16
     pairs = (members.join(best.select("key", (-F.col("best.minus")).alias("lead")), "key").where("node <> lead")
              .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct())
     tried = cut(pairs)
-    links = cut(verify(tried, bags, threshold))
-    label = components(links)
+    label = components(cut(verify(tried, bags, threshold)))
     keys = exact.select("node", "keys")
     for r in range(rounds):
         known = members.join(label, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
@@ -168,8 +165,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16
         discard(open_)
         tried = cut(tried.union(new))
         if found.limit(1).count():
-            links = cut(links.union(found))
-            label = components(links)
+            label = merge(label, found)
     named = (exact.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     total = (named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")))
     final = named.join(total, "comp").select("k1", "k2", "class_id", "class_size", "copies")

@@ -232,6 +232,9 @@ def test_bagminhash_is_unbiased():
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5), (1, 2)] + [(100, i) for i in range(101, 140)], "a long, b long")
     got = {r["node"]: r["comp"] for r in components.components(links).collect()}
+    more = spark.createDataFrame([(4, 9), (500, 501), (501, 120)], "a long, b long")
+    later = {r["node"]: r["comp"] for r in components.merge(components.components(links), more).collect()}
+    assert {later[i] for i in (1, 2, 3, 4, 8, 9)} == {1} and {later[i] for i in (100, 139, 500, 501)} == {100}
     assert {got[i] for i in (1, 2, 3, 4)} == {1} and got[9] == 8 and {got[i] for i in range(100, 140)} == {100} and 5 not in got
 
 
