@@ -95,7 +95,9 @@ def train_and_evaluate(feats: DataFrame, model_type: str = "classification", cfg
                        by: Sequence[str] = ("site_id",), learner: str = "gbt",
                        cut: str | None = "checkpoint") -> TrainResult:
     """M8: chronological split, min-max scaler (fit on the training rows, or
-    on all rows for parity), train with validation, evaluate on test."""
+    on all rows for parity), train with validation, evaluate on test.  Empty
+    features, training or validation rows raise ``ValueError``; without test
+    rows the evaluation is skipped (no metrics)."""
     if model_type not in ("classification", "regression"):
         raise ValueError(model_type)
     label = C.TARGET_CLASSIFICATION if model_type == "classification" else C.TARGET_REGRESSION
@@ -103,6 +105,12 @@ def train_and_evaluate(feats: DataFrame, model_type: str = "classification", cfg
     # The split table feeds the scaler fit, the learner (several passes) and
     # the test scoring: cut it once so the feature pipeline runs only once.
     x = materialize(time_split(feats, "ts", by, cfg.test_ratio, cfg.validation_ratio), cut)
+    n = x.agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "val", "test")]).first()
+    if not any(n):
+        raise ValueError("feature table is empty")
+    for part, title in (("train", "training"), ("val", "validation")):
+        if not n[part]:
+            raise ValueError(f"{title} split is empty; adjust the ratios or give more rows")
     fit_rows = x if cfg.scaler_fit_on == "all" else x.filter(F.col("split") == "train")
     scaler = scaling.fit_minmax(fit_rows, names)
     keep = [*by, "ts", "split", *C.ALL_TARGET_COLUMNS]
@@ -111,6 +119,8 @@ def train_and_evaluate(feats: DataFrame, model_type: str = "classification", cfg
     trainer = train_classifier if model_type == "classification" else train_regressor
     model = trainer(tv, names, label, cfg, learner)
     test = score(xs.filter(F.col("split") == "test"), model, model_type)
+    if not n["test"]:
+        return TrainResult(model, scaler, names, test, {})
     if model_type == "classification":
         t = evaluate.to_class(test.withColumnRenamed(label, "label"), "prediction_score", cfg.classification_threshold)
         metrics = {"confusion_matrix": evaluate.confusion_matrix(t), "report": evaluate.classification_report(t),

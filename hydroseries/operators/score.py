@@ -6,6 +6,7 @@ The scoring time ``as_of`` is an argument; no operator reads the clock.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,15 @@ def _times(as_of: dt.datetime, tz: str) -> dict:
     return {"prediction_time_utc": t, "prediction_time_local": to_local(t, tz)}
 
 
+def with_errors(preds: DataFrame, report: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """A6 + Z4 at scoring: predictions plus one row for every insufficient
+    series of ``report``, whose ``error`` is the message of the report and
+    whose other columns are null (those the report shares with ``preds`` are kept)."""
+    kept = [c for c in report.columns if c in preds.columns and c not in keys and c not in ("message", "error")]
+    short = report.filter(~F.col("sufficient")).select(*keys, *kept, F.col("message").alias("error"))
+    return preds.withColumn("error", F.lit(None).cast("string")).unionByName(short, allowMissingColumns=True)
+
+
 def interpret_class(df: DataFrame, score: str = "prediction_score", threshold: float = 0.5,
                     as_of: dt.datetime | None = None, tz: str = "Asia/Bangkok") -> DataFrame:
     """Flag ``p > threshold``, certainty ``p`` or ``1 - p``, message."""

@@ -38,13 +38,19 @@ def stream_score(spark, d):
     return finish(spark.read.schema(H.PREDICTION_SCHEMA).parquet(path).drop("batch_id"))
 
 
-register("stream_score", S.with_(S.OBS, _SEALED, "last AS (SELECT * FROM sealed QUALIFY row_number() OVER "
-                                                 "(PARTITION BY site_id ORDER BY ts DESC) = 1)") + S.final(
-    ["predicted_water_level_m", "flood_threshold_m"], ["site_id", "ts", "threshold_exceeded", "message", "model_type"],
-    "(SELECT site_id, ts, local_water_level_m AS predicted_water_level_m, CAST(1.5 AS DOUBLE) AS flood_threshold_m, "
-    "local_water_level_m > 1.5 AS threshold_exceeded, CASE WHEN local_water_level_m > 1.5 THEN "
+_HOURS = ("hours AS (SELECT *, max(ts) OVER (PARTITION BY site_id) AS newest FROM sealed), "
+          "last AS (SELECT site_id, ts, local_water_level_m AS level, "
+          "(SELECT count(*) FROM hours h WHERE h.site_id = hours.site_id AND h.ts > h.newest - INTERVAL 30 HOUR) AS n "
+          "FROM hours WHERE ts = newest)")
+
+register("stream_score", S.with_(S.OBS, _SEALED, _HOURS) + S.final(
+    ["predicted_water_level_m", "flood_threshold_m"], ["site_id", "ts", "threshold_exceeded", "message", "model_type", "error"],
+    "(SELECT site_id, ts, level AS predicted_water_level_m, CAST(1.5 AS DOUBLE) AS flood_threshold_m, "
+    "level > 1.5 AS threshold_exceeded, CASE WHEN level > 1.5 THEN "
     "'High water level predicted for next hour.' ELSE 'Normal water level predicted for next hour.' END AS message, "
-    "'regression' AS model_type FROM last)"))(stream_score)
+    "'regression' AS model_type, CAST(NULL AS VARCHAR) AS error FROM last WHERE n >= 25 UNION ALL "
+    "SELECT site_id, ts, NULL, NULL, NULL, NULL, NULL, 'Not enough real-time data in window. Need at least 25 hours, got ' "
+    "|| CAST(n AS VARCHAR) || '.' FROM last WHERE n < 25)"))(stream_score)
 
 
 def stream_hourly_stateful(spark, d):

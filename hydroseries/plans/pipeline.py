@@ -103,15 +103,22 @@ def build_realtime_window(hourly: DataFrame, cols: Sequence[str], as_of: dt.date
 
 def score_latest(window: DataFrame, model, model_type: str, scaler: DataFrame, order: Sequence[str],
                  cfg: FeatureConfig, as_of: dt.datetime, spec: SeriesSpec = _SPEC,
-                 sites: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+                 sites: DataFrame | None = None, threshold: float = 0.5,
+                 report: DataFrame | None = None) -> DataFrame:
     """M5 + Z1-Z3: features without the target requirement, newest row per
     site, align to the saved order (absent and null -> 0), scale, score and
-    interpret."""
+    interpret.  With the sufficiency ``report`` of the window only sufficient
+    sites are scored; the others, dead ones too, come out as error rows."""
+    if report is not None:
+        enough = report.filter("sufficient").select(*spec.keys)
+        window = window.join(enough, list(spec.keys), "left_semi")
     x = prepare_latest(window, scaler, order, cfg, spec, sites)
     scored = learn.score(x, model, model_type)
     if model_type == "classification":
-        return score.interpret_class(scored, "prediction_score", threshold, as_of, cfg.tz)
-    return score.interpret_level(scored, "predicted_water_level_m", cfg.flood_threshold_m, as_of, cfg.tz)
+        out = score.interpret_class(scored, "prediction_score", threshold, as_of, cfg.tz)
+    else:
+        out = score.interpret_level(scored, "predicted_water_level_m", cfg.flood_threshold_m, as_of, cfg.tz)
+    return out if report is None else score.with_errors(out, report, spec.keys)
 
 
 def preprocess(df: DataFrame, mode: str, cfg: FeatureConfig = FeatureConfig(), spec: SeriesSpec = _SPEC,
@@ -120,8 +127,13 @@ def preprocess(df: DataFrame, mode: str, cfg: FeatureConfig = FeatureConfig(), s
     """M4: features, then min-max.  ``mode='train'`` fits the scaler on the
     feature columns (targets kept aside); ``mode='predict'`` aligns to the saved
     order (absent and null -> 0 in raw units) and applies the saved scaler.
-    Returns ``(scaled table with keys and targets, scaler table, order)``."""
+    Returns ``(scaled table with keys and targets, scaler table, order)``.
+    An empty input, or one without a complete feature row, raises ``ValueError``."""
+    if df.isEmpty():
+        raise ValueError("input table is empty")
     feats = features.build_features(df, cfg, spec, sites)
+    if feats.isEmpty():
+        raise ValueError("no row has complete features")
     keep = [*spec.keys, spec.ts, *[c for c in C.ALL_TARGET_COLUMNS if c in feats.columns]]
     if mode == "train":
         order = scaling.feature_columns(feats)

@@ -7,7 +7,7 @@ T2: realtime scoring per micro-batch (``foreachBatch``): the sealed hours of the
 batch are appended to the hourly table (partitioned by date), then for the
 sites touched by the batch the last ``window_hours`` hours are densified,
 imputed and turned into features, the newest row per site is scored, and the
-predictions are appended.  Both sinks are idempotent per batch id, so a
+predictions are appended; a site with too few hours in the window gets an error row.  Both sinks are idempotent per batch id, so a
 restarted batch does not duplicate rows.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroseries.config import FeatureConfig, SeriesSpec
-from hydroseries.operators import features, fill, score, split, timegrid
+from hydroseries.operators import features, fill, score, split, stats, timegrid
 from hydroseries.session import checkpoint_dir
 
 
@@ -53,17 +53,23 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, fmt: str = "par
 
 
 def latest_window_features(hourly: DataFrame, cols: list[str], window_hours: int,
-                           cfg: FeatureConfig, spec: SeriesSpec) -> DataFrame:
+                           cfg: FeatureConfig, spec: SeriesSpec) -> tuple[DataFrame, DataFrame]:
     """Last ``window_hours`` hours per site -> dense -> F1 -> features
-    (target not required) -> newest row per site."""
+    (target not required) -> newest row per site, for the sites with enough
+    hours; and the sufficiency report (A6) with the newest hour of each site."""
     end = hourly.groupBy(*spec.keys).agg(F.max(spec.ts).alias("end"))
     spans = end.withColumn("start", F.col("end") - F.make_dt_interval(hours=F.lit(window_hours - 1)))
     grid = timegrid.hourly_grid(spans, spec)
     recent = hourly.join(spans.select(*spec.keys, "start"), list(spec.keys)).filter(
         F.col(spec.ts) >= F.col("start")).drop("start")
+    counts = recent.groupBy(*spec.keys).agg(F.max(spec.ts).alias(spec.ts), F.count(F.lit(1)).alias("n_rows"))
+    report = stats.with_sufficiency(counts, cfg.history_rows_needed)
+    enough = report.filter("sufficient").select(*spec.keys)
+    grid = grid.join(enough, list(spec.keys), "left_semi")
+    recent = recent.join(enough, list(spec.keys), "left_semi")
     dense = fill.impute_series(timegrid.reindex(grid, recent, spec), cols, spec)
     feats = features.build_features(dense, cfg, spec)
-    return split.latest(feats, spec)
+    return split.latest(feats, spec), report
 
 
 def scoring_batch(spark: SparkSession, hourly_path: str, pred_path: str, cols: list[str],
@@ -92,8 +98,8 @@ def scoring_batch(spark: SparkSession, hourly_path: str, pred_path: str, cols: l
         lo = batch.agg(F.min(spec.ts)).first()[0] - dt.timedelta(hours=window_hours)
         hourly = (spark.read.parquet(hourly_path).filter(F.col("date") >= F.lit(lo.date()))
                   .drop("date", "batch_id").join(touched, list(spec.keys), "left_semi"))
-        latest = latest_window_features(hourly, cols, window_hours, cfg, spec)
-        preds = scorer(latest).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        latest, report = latest_window_features(hourly, cols, window_hours, cfg, spec)
+        preds = score.with_errors(scorer(latest), report, spec.keys).withColumn("batch_id", F.lit(batch_id).cast("long"))
         (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("batch_id").parquet(pred_path))
     return run
@@ -127,7 +133,7 @@ PREDICTION_SCHEMA = T.StructType([
     T.StructField("site_id", T.StringType()), T.StructField("ts", T.TimestampNTZType()),
     T.StructField("predicted_water_level_m", T.DoubleType()), T.StructField("flood_threshold_m", T.DoubleType()),
     T.StructField("threshold_exceeded", T.BooleanType()), T.StructField("message", T.StringType()),
-    T.StructField("model_type", T.StringType()), T.StructField("batch_id", T.LongType()),
+    T.StructField("model_type", T.StringType()), T.StructField("error", T.StringType()), T.StructField("batch_id", T.LongType()),
 ])
 
 
