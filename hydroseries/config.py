@@ -26,6 +26,8 @@ CLOUD_PCT_LIMIT = 20.0
 QA_CLOUD_BITS = (10, 11)
 # Pixel scale in metres; the reference clips to a buffer of 2 x scale.
 PIXEL_SCALE_M = 30.0
+RAINFALL_BAND = "precipitationCal"
+SOIL_MOISTURE_BAND = "sm_rootzone_depth"
 # Harmonic baselines: (period, amplitude, offset).
 TIDE_HARMONIC = (12.42, 0.5, 1.0)      # hours
 DAILY_HARMONIC = (24.0, 0.3, 0.8)      # hours

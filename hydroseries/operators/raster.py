@@ -114,11 +114,42 @@ def band_series(zonal: DataFrame, scenes: DataFrame, value: str, name: str,
                  .dropna(subset=[name]))
 
 
+def _reduced(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, band: str, name: str, radius_m: float,
+             reduce: str) -> DataFrame:
+    if reduce not in ("mean", "nearest"):
+        raise ValueError(f"unknown reduction {reduce!r}; use mean or nearest")
+    z = zonal_mean(near_sites(pixels, sites, radius_m), band)
+    return band_series(z, scenes, band if reduce == "mean" else f"{band}_nearest", name)
+
+
+def site_series(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, band: str, name: str,
+                start=None, end=None, radius_m: float = 2 * C.PIXEL_SCALE_M, reduce: str = "mean") -> DataFrame:
+    """S3: ``(site_id, ts, name)``, one value per site and scene in ``[start,
+    end)``: the mean of the band over the pixels within the radius, or
+    (``nearest``) the pixel nearest to the site; nulls dropped."""
+    sc = scene_filter(scenes, start, end)
+    px = pixels.join(sc.select("scene_id"), "scene_id", "left_semi")
+    return _reduced(px, sc, sites, band, name, radius_m, reduce)
+
+
+def satellite_rainfall(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, band: str = C.RAINFALL_BAND,
+                       **options) -> DataFrame:
+    """Rainfall series per site, ``satellite_rainfall_mm_hr`` (options of ``site_series``)."""
+    return site_series(pixels, scenes, sites, band, "satellite_rainfall_mm_hr", **options)
+
+
+def satellite_soil_moisture(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, band: str = C.SOIL_MOISTURE_BAND,
+                            **options) -> DataFrame:
+    """Soil moisture series per site, ``satellite_soil_moisture`` (options of ``site_series``)."""
+    return site_series(pixels, scenes, sites, band, "satellite_soil_moisture", **options)
+
+
 def water_extent(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, instrument: str,
                  start=None, end=None, radius_m: float = 2 * C.PIXEL_SCALE_M,
-                 max_cloud_pct: float = C.CLOUD_PCT_LIMIT) -> DataFrame:
-    """Water index series per site.  ``S1``: mean VV backscatter of
-    VV-polarised, IW-mode scenes.  ``S2``: mean NDWI of cloud-masked pixels."""
+                 max_cloud_pct: float = C.CLOUD_PCT_LIMIT, reduce: str = "mean") -> DataFrame:
+    """Water index series per site.  ``S1``: VV backscatter of
+    VV-polarised, IW-mode scenes.  ``S2``: NDWI of cloud-masked pixels.
+    ``reduce`` as in ``site_series``: the region's mean or its nearest pixel."""
     sc = scene_filter(scenes, start, end)
     if instrument in ("S1", "Sentinel-1"):
         sc = scene_filter(sc, polarisation="VV", mode="IW")
@@ -129,5 +160,4 @@ def water_extent(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, instrum
         band, name = "NDWI", "satellite_water_index_s2_ndwi"
     else:
         raise ValueError(f"unknown instrument {instrument!r}; use S1 or S2")
-    z = zonal_mean(near_sites(px, sites, radius_m), band)
-    return band_series(z, sc, band, name)
+    return _reduced(px, sc, sites, band, name, radius_m, reduce)

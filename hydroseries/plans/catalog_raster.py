@@ -9,6 +9,7 @@ from hydroseries.operators import raster
 from hydroseries.plans import sqlkit as S
 from hydroseries.plans import staging
 from hydroseries.plans.registry import finish, register
+from hydroseries.session import materialize
 
 RADIUS_M = 4500.0
 GLOBAL_RADIUS_M = 900000.0
@@ -18,7 +19,8 @@ _PIXELS = ("pixels AS (SELECT vec_id AS pixel_id, label AS scene_id, CAST(embedd
            "CAST(embedding[4] AS DOUBLE) AS lat, CAST(embedding[1] AS DOUBLE) AS B3, CAST(embedding[2] AS DOUBLE) AS B8, "
            "CAST(embedding[5] AS DOUBLE) AS VV, CAST((CASE WHEN CAST(embedding[6] AS DOUBLE) > 0.15 THEN 1024 ELSE 0 END) + "
            "(CASE WHEN CAST(embedding[7] AS DOUBLE) > 0.15 THEN 2048 ELSE 0 END) AS INTEGER) AS QA60, "
-           "CAST(embedding[8] AS DOUBLE) AS _pol, CAST(embedding[9] AS DOUBLE) AS _mode FROM embeddings)")
+           "CAST(embedding[8] AS DOUBLE) AS _pol, CAST(embedding[9] AS DOUBLE) AS _mode, CAST(CASE WHEN embedding[10] >= 0 THEN embedding[10] END AS DOUBLE) AS rain, "
+           "abs(CAST(embedding[11] AS DOUBLE)) AS soil FROM embeddings)")
 _SCENES = ("scenes AS (SELECT scene_id, TIMESTAMP '2024-01-01' + to_seconds(scene_id * 36 * 3600) AS ts, "
            "CASE WHEN avg(_pol) > 0 THEN ['VV', 'VH'] ELSE ['VH'] END AS polarisations, "
            "CASE WHEN avg(_mode) > 0.01 THEN 'EW' ELSE 'IW' END AS instrument_mode, "
@@ -94,10 +96,15 @@ register("zonal_mean", S.with_(_PIXELS, S.SITES, _near_sql()) + S.final(
         raster.near_sites(staging.pixels(spark, d), staging.sites(spark, d), RADIUS_M), "VV")))
 
 
-def _water_extent(spark, d):
-    px, sc, st = staging.pixels(spark, d), staging.scenes(spark, d), staging.sites(spark, d)
-    s1 = raster.water_extent(px, sc, st, "S1", radius_m=RADIUS_M)
-    s2 = raster.water_extent(px, sc, st, "S2", radius_m=RADIUS_M)
+def _inputs(spark, d):
+    """Pixels, scenes (one small row each, read several times: cut once) and sites."""
+    return staging.pixels(spark, d), materialize(staging.scenes(spark, d), "checkpoint"), staging.sites(spark, d)
+
+
+def _water_extent(spark, d, reduce="mean"):
+    px, sc, st = _inputs(spark, d)
+    s1 = raster.water_extent(px, sc, st, "S1", radius_m=RADIUS_M, reduce=reduce)
+    s2 = raster.water_extent(px, sc, st, "S2", radius_m=RADIUS_M, reduce=reduce)
     out = (s1.select("site_id", "ts", F.lit("satellite_water_index_s1_vv").alias("band"),
                      F.col("satellite_water_index_s1_vv").alias("value"))
            .unionByName(s2.select("site_id", "ts", F.lit("satellite_water_index_s2_ndwi").alias("band"),
@@ -120,3 +127,27 @@ register("water_extent", S.with_(_PIXELS, _SCENES, S.SITES, _P1, _P2,
          + S.final(["value"], ["site_id", "ts", "band"],
                    "(SELECT * FROM s1 WHERE value IS NOT NULL UNION ALL SELECT * FROM s2 WHERE value IS NOT NULL)"))(
     _water_extent)
+
+_NEAREST = ("(SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY site_id, scene_id ORDER BY dist_m, {v}) = 1)")
+
+register("water_extent_point", S.with_(_PIXELS, _SCENES, S.SITES, _P1, _P2,
+                                       _near_sql("px1").replace("near AS", "near1 AS"),
+                                       _near_sql("px2").replace("near AS", "near2 AS"),
+                                       _S1.replace("FROM near1", "FROM " + _NEAREST.format(src="near1", v="VV")),
+                                       _S2.replace("FROM near2", "FROM " + _NEAREST.format(src="near2", v="NDWI")))
+         + S.final(["value"], ["site_id", "ts", "band"],
+                   "(SELECT * FROM s1 WHERE value IS NOT NULL UNION ALL SELECT * FROM s2 WHERE value IS NOT NULL)"))(
+    lambda spark, d: _water_extent(spark, d, "nearest"))
+
+
+def _series_sql(v: str, name: str, src: str = "near") -> str:
+    return S.with_(_PIXELS, _SCENES, S.SITES, _near_sql()) + S.final(
+        [name], ["site_id", "ts"], f"(SELECT n.site_id, sc.ts, avg(n.{v}) AS {name} FROM {src} n JOIN scenes sc "
+        f"ON n.scene_id = sc.scene_id GROUP BY n.site_id, n.scene_id, sc.ts)", f"{name} IS NOT NULL")
+
+
+register("satellite_rainfall", _series_sql("rain", "satellite_rainfall_mm_hr"))(
+    lambda spark, d: finish(raster.satellite_rainfall(*_inputs(spark, d), radius_m=RADIUS_M)))
+
+register("satellite_soil_moisture", _series_sql("soil", "satellite_soil_moisture", _NEAREST.format(src="near", v="soil")))(
+    lambda spark, d: finish(raster.satellite_soil_moisture(*_inputs(spark, d), radius_m=RADIUS_M, reduce="nearest")))

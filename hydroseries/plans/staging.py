@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hydroseries import config as C
 from hydroseries.config import SeriesSpec
 from hydroseries.functions.time import floor_hour
 from hydroseries.operators.timegrid import resample
@@ -97,14 +98,16 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each embedding row is a pixel of scene ``label``: green = element 0,
     nir = element 1, lon / lat = elements 2 / 3 (degrees), VV = element 4; the
     QA60 cloud bit (1024) is set where element 5 exceeds 0.15 and the cirrus
-    bit (2048) where element 6 does."""
+    bit (2048) where element 6 does.  Rainfall is element 9 where it is not negative,
+    soil moisture the absolute value of element 10."""
     e = F.col("embedding")
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("pixel_id"), F.col("label").alias("scene_id"),
         e[2].cast("double").alias("lon"), e[3].cast("double").alias("lat"),
         e[0].cast("double").alias("B3"), e[1].cast("double").alias("B8"), e[4].cast("double").alias("VV"),
         (F.when(e[5] > 0.15, 1024).otherwise(0) + F.when(e[6] > 0.15, 2048).otherwise(0)).cast("int").alias("QA60"),
-        e[7].cast("double").alias("_pol"), e[8].cast("double").alias("_mode"))
+        e[7].cast("double").alias("_pol"), e[8].cast("double").alias("_mode"),
+        F.when(e[9] >= 0, e[9].cast("double")).alias(C.RAINFALL_BAND), F.abs(e[10].cast("double")).alias(C.SOIL_MOISTURE_BAND))
 
 
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
