@@ -243,7 +243,7 @@ def _impute_forecast(spark, d):
     flat = io.parse_forecast(forecast_docs(spark, d), "doc")
     # The hourly table feeds the grid bounds, the join and both carries: cut once.
     hourly = materialize(timegrid.resample_mean(flat, _FC_NUM, SPEC), "checkpoint")
-    return finish(fill.impute_forecast(timegrid.densify(hourly, SPEC), SPEC).select(*BASE, *_FC_NUM))
+    return finish(fill.impute_forecast(timegrid.densify(hourly, SPEC, keep_chunk=True), SPEC).select(*BASE, *_FC_NUM))
 
 
 register("impute_forecast", S.with_(

@@ -80,9 +80,20 @@ register("hourly_grid", S.with_(S.OBS, S.SPANS, S.GRID) + "SELECT site_id, ts FR
 register("reindex_gaps", D + S.final(COLS, BASE, "dense"))(
     lambda spark, d: _sel(dense(spark, d), BASE + COLS))
 
+def _time_range(spark, d):
+    """The range bounds the raw scan (a pushed filter); the spans of the series
+    come from a scan of key and time alone."""
+    raw = staging.events_as_series(staging.table(spark, d, "events"))
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in RANGE)
+    spans = timegrid.series_spans(raw.select("site_id", T.floor_hour("ts").alias("ts")), SPEC).select(
+        "site_id", F.greatest("start", lo).alias("start"), F.least("end", hi).alias("end")).filter("start <= end")
+    inside = raw.filter((F.col("ts") >= lo) & (F.col("ts") < hi + F.make_dt_interval(hours=F.lit(1))))
+    return timegrid.reindex(timegrid.hourly_grid(spans, SPEC), timegrid.resample(inside, staging.obs_aggs(), SPEC), SPEC)
+
+
 register("time_range", D + S.final(COLS, BASE, "dense",
                                    f"ts BETWEEN TIMESTAMP '{RANGE[0]}' AND TIMESTAMP '{RANGE[1]}'"))(
-    lambda spark, d: _sel(timegrid.time_range(dense(spark, d), *RANGE), BASE + COLS))
+    lambda spark, d: _sel(timegrid.time_range(_time_range(spark, d), *RANGE), BASE + COLS))
 
 register("null_profile", D + "SELECT site_id, count(*) AS n_rows, " + ", ".join(
     f"CAST(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS {c}_nulls" for c in COLS)
@@ -200,14 +211,34 @@ register("asof_attach_24h", S.with_(S.OBS, S.SPANS, S.GRID, _SAT_SQL) + S.final(
 _CS_COLS = COLS + ["satellite_rainfall_mm_hr", "satellite_soil_moisture"]
 
 
+def _hourly_sources(spark, d):
+    """All sources at hourly grain from ONE scan of ``events``, cut once: the
+    columns of either feed (suffixes 0 and 1) with its row count, and sum and
+    count of the values for the satellite stand-ins."""
+    raw = staging.events_as_series(staging.table(spark, d, "events"))
+    k, v = staging.k_value("props"), F.col("value")
+    aggs = {"v_sum": F.sum(v), "v_n": F.count(v)}
+    for i, here in enumerate((F.minute("ts") < 30, F.minute("ts") >= 30)):
+        aggs |= {f"n{i}": F.count_if(here),
+                 f"local_water_level_m{i}": F.avg(F.when(here, v)) / F.lit(40.0),
+                 f"rain_1h{i}": F.sum(F.when(here, F.greatest(v - F.lit(100.0), F.lit(0.0)))) / F.lit(10.0),
+                 f"humidity{i}": F.avg(F.when(here, k))}
+    return materialize(timegrid.resample(raw, aggs, SPEC), "checkpoint")
+
+
 def _combine_sources(spark, d):
-    f1 = staging.feed(spark, d, 1)
-    out = combine.combine_sources(grid(spark, d), [
-        ("attach", staging.feed(spark, d, 0), {}),
+    h = _hourly_sources(spark, d)
+    f0, f1 = (h.filter(F.col(f"n{i}") > 0).select(*BASE, *[F.col(f"{c}{i}").alias(c) for c in COLS]) for i in (0, 1))
+    sat = h.select(*BASE, (F.col("v_sum") / F.col("v_n") / F.lit(100.0)).alias("satellite_rainfall_mm_hr"))
+    soil = (h.groupBy("site_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"))
+             .agg((F.sum("v_sum") / F.sum("v_n") / F.lit(1000.0)).alias("satellite_soil_moisture")))
+    g = timegrid.hourly_grid(timegrid.series_spans(h, SPEC), SPEC)
+    out = combine.combine_sources(g, [
+        ("attach", f0, {}),
         ("upsert", f1.select("site_id", "ts", "humidity"), {}),
         ("fill", f1, {"cols": ["local_water_level_m", "rain_1h"]}),
-        ("asof", _sat_rain(spark, d), {"value_cols": ["satellite_rainfall_mm_hr"], "tolerance_hours": None}),
-        ("asof", _soil(spark, d), {"value_cols": ["satellite_soil_moisture"], "tolerance_hours": 24}),
+        ("asof", sat, {"value_cols": ["satellite_rainfall_mm_hr"], "tolerance_hours": None}),
+        ("asof", soil, {"value_cols": ["satellite_soil_moisture"], "tolerance_hours": 24}),
     ], SPEC)
     return _sel(out, BASE + _CS_COLS)
 
@@ -231,7 +262,7 @@ _LAGS = [f"{f}_lag_{i}h" for f in _LAGF for i in range(1, 25)]
 
 register("lags_24h", DI + _win_sql({**{c: c for c in COLS}, **{
     f"{f}_lag_{i}h": f"lag({f}, {i}) OVER ({S.W})" for f in _LAGF for i in range(1, 25)}}, "imputed"))(
-    lambda spark, d: _sel(features.lags(imputed(spark, d), _LAGF, 24, SPEC), BASE + COLS + _LAGS))
+    lambda spark, d: _sel(features.lags(imputed(spark, d, keep_chunk=True), _LAGF, 24, SPEC), BASE + COLS + _LAGS))
 
 _WINS = [3, 6, 12, 24]
 for _key, _col, _how, _fn in (("rolling_sum_rain", "rain_1h", "sum", "sum"),
@@ -241,7 +272,7 @@ for _key, _col, _how, _fn in (("rolling_sum_rain", "rain_1h", "sum", "sum"),
     register(_key, DI + _win_sql({_col: _col, **{
         f"{_col}_{_how}_{n}h": f"{_fn}({_col}) OVER ({S.W} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in _WINS}},
         "imputed"))(
-        (lambda c, h, names: lambda spark, d: _sel(features.rolling(imputed(spark, d), [c], _WINS, h, SPEC),
+        (lambda c, h, names: lambda spark, d: _sel(features.rolling(imputed(spark, d, keep_chunk=True), [c], _WINS, h, SPEC),
                                                    BASE + [c] + names))(_col, _how, _names))
 
 _LEAD = "lead(local_water_level_m, 1) OVER (PARTITION BY site_id ORDER BY ts)"
@@ -250,14 +281,14 @@ register("label_level", DI + S.final(
     ["local_water_level_m", "water_level_next_1h"], BASE + ["is_flood_next_1h"],
     f"(SELECT site_id, ts, local_water_level_m, {_LEAD} AS water_level_next_1h, "
     f"coalesce(CAST({_LEAD} > 1.5 AS INTEGER), 0) AS is_flood_next_1h FROM imputed)"))(
-    lambda spark, d: _sel(features.label_level(imputed(spark, d), spec=SPEC),
+    lambda spark, d: _sel(features.label_level(imputed(spark, d, keep_chunk=True), spec=SPEC),
                           BASE + ["local_water_level_m", "water_level_next_1h", "is_flood_next_1h"]))
 
 register("label_exceeds", DI + S.final(
     ["local_water_level_m"], BASE + ["is_flood_next_1h"],
     f"(SELECT site_id, ts, local_water_level_m, coalesce(CAST({_LEAD} > 1.5 AS INTEGER), 0) AS is_flood_next_1h "
     "FROM imputed)"))(
-    lambda spark, d: _sel(features.label_exceeds(imputed(spark, d), spec=SPEC),
+    lambda spark, d: _sel(features.label_exceeds(imputed(spark, d, keep_chunk=True), spec=SPEC),
                           BASE + ["local_water_level_m", "is_flood_next_1h"]))
 
 _DI_LAGS = [f"local_water_level_m_lag_{i}h" for i in (1, 2, 3)]

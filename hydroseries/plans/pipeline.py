@@ -7,7 +7,7 @@ and scoring of the newest hour for ALL sites in one job.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +23,10 @@ _SPEC = SeriesSpec()
 def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SPEC,
                   sources: Sequence[tuple[str, DataFrame, dict]] = (), start=None, end=None,
                   cut: str | None = "checkpoint", static: DataFrame | None = None,
-                  keep_chunk: bool = False) -> DataFrame:
+                  keep_chunk: bool = False, policy: Mapping[str, tuple[str, float | None]] | None = None) -> DataFrame:
     """``build_history``: base hourly table on a dense grid per site (each
     site's own first..last hour, or ``[start, end]``), merged with the sources
-    in order, imputed by the column policy.  ``static`` per-site columns
+    in order, imputed by the column policy (by name, or as ``policy`` says).  ``static`` per-site columns
     (e.g. elevation) ride on the grid, not on a join with the big table.
     ``keep_chunk`` keeps the (site, chunk) partitioning column, so a following
     ``feature_table`` shuffles only its halo rows.
@@ -52,7 +52,7 @@ def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SP
     st = set(static.columns) if static is not None else set()
     present = [c for c in merged.columns
                if c not in spec.keys and c not in (spec.ts, timegrid.CHUNK) and c not in st]
-    out = fill.impute_series(merged, [c for c in present if c in cols or not cols], spec)
+    out = fill.impute_series(merged, [c for c in present if c in cols or not cols], spec, policy)
     return out if keep_chunk else out.drop(timegrid.CHUNK)
 
 
@@ -93,7 +93,9 @@ def build_realtime_window(hourly: DataFrame, cols: Sequence[str], as_of: dt.date
     start, end = window_bounds(as_of, window_hours)
     recent = timegrid.time_range(hourly, start, end, spec.ts)
     recent = scaling.ensure_columns(recent, cols)
-    window = build_history(recent, cols, spec, start=start, end=end, cut=None)
+    # here every listed column is interpolated and carried, whatever its name
+    policy = {c: ("continuous", 0.0 if any(p in c for p in C.RAIN_NAME_PARTS) else None) for c in cols}
+    window = build_history(recent, cols, spec, start=start, end=end, cut=None, policy=policy)
     known = (hourly if sites is None else sites).select(*spec.keys).distinct()
     counts = recent.groupBy(*spec.keys).agg(F.count(F.lit(1)).alias("_n"))
     counts = known.join(counts, list(spec.keys), "left").select(*spec.keys, F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_rows"))
