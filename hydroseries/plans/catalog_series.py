@@ -34,26 +34,24 @@ def grid(spark, d):
     return timegrid.hourly_grid(timegrid.series_spans(obs(spark, d), SPEC), SPEC)
 
 
-def dense(spark, d, spec=SPEC, static=None):
+def dense(spark, d, spec=SPEC, static=None, sea=False):
     """Hourly table cut once (reliable checkpoint) so the grid bounds and the
     union do not rescan ``events``; densified with one shuffle on
     ``(site, chunk)``, keeping ``_chunk`` so the fill passes reuse it (every
     query selects its output columns explicitly)."""
-    return timegrid.densify(materialize(obs(spark, d), "checkpoint"), spec, keep_chunk=True, static=static)
+    return timegrid.densify(materialize(staging.obs(spark, d, sea), "checkpoint"), spec, keep_chunk=True, static=static)
 
 
-def imputed(spark, d, spec=SPEC, static=None, keep_chunk=False):
-    out = fill.impute_series(dense(spark, d, spec, static), COLS, spec)
+def imputed(spark, d, spec=SPEC, static=None, keep_chunk=False, sea=False):
+    out = fill.impute_series(dense(spark, d, spec, static, sea), COLS + ["sea_level_m"] * sea, spec)
     return out if keep_chunk else out.drop(timegrid.CHUNK)
 
 
 def history(spark, d, spec=SPEC, static=None, keep_chunk=False):
-    """Imputed series plus the tide baseline as ``sea_level_m`` (and the
-    static site columns when ``static`` is given, carried by the grid).
+    """Imputed series of all four sensors (and the static site columns when
+    ``static`` is given, carried by the grid).
     ``keep_chunk`` keeps the (site, chunk) partitioning for the feature pass."""
-    per, amp, off = C.TIDE_HARMONIC
-    return imputed(spark, d, spec, static, keep_chunk).withColumn(
-        "sea_level_m", T.harmonic(T.hour_index("ts"), per, amp, off))
+    return imputed(spark, d, spec, static, keep_chunk, sea=True)
 
 
 def _sel(df: DataFrame, cols) -> DataFrame:
@@ -208,6 +206,33 @@ register("asof_attach_24h", S.with_(S.OBS, S.SPANS, S.GRID, _SAT_SQL) + S.final(
                                               ["satellite_rainfall_mm_hr"], SPEC, 24),
                           BASE + ["satellite_rainfall_mm_hr"]))
 
+# The same operators on series with long gaps, where the limits bind.
+_USER = S.OBS_SELECT.format(src="(SELECT * EXCLUDE (event_type), event_type || '-' || CAST(user_id % 40 AS VARCHAR) "
+                                "AS event_type FROM events)")
+_DU = S.with_(f"obs AS ({_USER})", S.SPANS, S.GRID, S.DENSE)
+
+
+def _dense_by_user(spark, d):
+    return timegrid.densify(materialize(staging.obs_by_user(spark, d), "checkpoint"), SPEC, keep_chunk=True)
+
+
+register("ffill_limit24_gaps", _DU + _win_sql(
+    {c: f"last_value({c} IGNORE NULLS) OVER ({S.W} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)" for c in COLS}))(
+    lambda spark, d: _sel(fill.ffill(_dense_by_user(spark, d), COLS, SPEC, limit=24), BASE + COLS))
+
+
+def _asof_gaps(spark, d):
+    """The level of every series attached to the grid of its own hours, carried at most a day."""
+    hourly = materialize(staging.obs_by_user(spark, d), "checkpoint")
+    g = timegrid.hourly_grid(timegrid.series_spans(hourly, SPEC), SPEC)
+    return _sel(combine.asof_attach(g, hourly.select(*BASE, "local_water_level_m"), ["local_water_level_m"], SPEC, 24),
+                BASE + ["local_water_level_m"])
+
+
+register("asof_attach_24h_gaps", _DU + _win_sql(
+    {"local_water_level_m": f"last_value(local_water_level_m IGNORE NULLS) OVER ({S.W} ROWS BETWEEN 24 PRECEDING AND CURRENT ROW)"}))(
+    _asof_gaps)
+
 _CS_COLS = COLS + ["satellite_rainfall_mm_hr", "satellite_soil_moisture"]
 
 
@@ -447,7 +472,7 @@ FEATURES_CFG = FeatureConfig()
 
 
 def features_full(spark: SparkSession, d: str, spec=SPEC) -> DataFrame:
-    """obs -> dense grid -> F1 imputation -> tide baseline -> one-pass
+    """obs -> dense grid -> F1 imputation -> one-pass
     features and labels -> drop incomplete rows."""
     sites = staging.sites(spark, d).select("site_id", "elevation_m")
     out = features.build_features(history(spark, d, spec, static=sites, keep_chunk=True), FEATURES_CFG, spec)
@@ -455,9 +480,7 @@ def features_full(spark: SparkSession, d: str, spec=SPEC) -> DataFrame:
 
 
 def features_full_sql(cfg: FeatureConfig = FEATURES_CFG) -> str:
-    per, amp, off = C.TIDE_HARMONIC
-    hist = (f"hist AS (SELECT i.*, {_harm_sql('epoch(i.ts) / 3600', C.TIDE_HARMONIC)} AS sea_level_m, "
-            "s.elevation_m FROM imputed i LEFT JOIN sites s ON i.site_id = s.site_id)")
+    hist = ("hist AS (SELECT i.*, s.elevation_m FROM imputed i LEFT JOIN sites s ON i.site_id = s.site_id)")
     base_cols = ["local_water_level_m", "rain_1h", "humidity", "sea_level_m"]
     ints = {c: f"CAST({e} AS INTEGER)" for c, e in _CAL.items()}
     dbl: dict[str, str] = {"lunar_phase": _LUNAR_SQL}
@@ -479,7 +502,7 @@ def features_full_sql(cfg: FeatureConfig = FEATURES_CFG) -> str:
     inner = ("(SELECT site_id, ts, " + ", ".join(base_cols) + ", "
              + ", ".join(f"{e} AS {c}" for c, e in {**ints, **dbl}.items()) + " FROM hist)")
     need = [c for c in dbl if any(p in c for p in C.INCOMPLETE_NAME_PARTS)] + ["water_level_next_1h", "is_flood_next_1h"]
-    return (S.with_(S.OBS, S.SPANS, S.GRID, S.DENSE, S.imputed_cte(), S.SITES, hist)
+    return (S.with_(S.OBS_SEA, S.SPANS, S.GRID, S.DENSE_SEA, S.imputed_cte(cols=(*S.COLS, "sea_level_m")), S.SITES, hist)
             + S.final(base_cols + list(dbl), BASE + list(ints), inner,
                       " AND ".join(f"{c} IS NOT NULL" for c in need)))
 

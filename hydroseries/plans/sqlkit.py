@@ -29,6 +29,9 @@ SITES = ("sites AS (SELECT e.site_id, n.n_name AS site_name, "
          "CAST(n.n_regionkey AS DOUBLE) * 10.0 + CAST(n.n_nationkey AS DOUBLE) * 0.5 AS elevation_m, "
          "CAST(n.n_nationkey AS DOUBLE) * 0.01 AS lon, CAST(n.n_regionkey AS DOUBLE) * 0.01 AS lat "
          "FROM (SELECT DISTINCT event_type AS site_id FROM events) e JOIN nation n ON length(e.site_id) = n.n_nationkey)")
+# with the fourth sensor of ``staging.obs(sea=True)``
+OBS_SEA = OBS.replace("AS humidity\n", "AS humidity,\n  max(value) / 50.0 AS sea_level_m\n")
+DENSE_SEA = DENSE.replace("o.humidity ", "o.humidity, o.sea_level_m ")
 COLS = ("local_water_level_m", "rain_1h", "humidity")
 RAIN = ("rain_1h",)
 

@@ -54,9 +54,19 @@ def events_as_series(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_type").alias("site_id"), "ts", "value", "props", "user_id")
 
 
-def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def obs(spark: SparkSession, sf_dir: str, sea: bool = False) -> DataFrame:
+    """``sea`` adds a fourth sensor, ``sea_level_m``: the greatest value of the hour / 50."""
     ev = events_as_series(table(spark, sf_dir, "events"))
-    return resample(ev, obs_aggs(), SPEC)
+    more = {"sea_level_m": F.max("value") / F.lit(50.0)} if sea else {}
+    return resample(ev, obs_aggs() | more, SPEC)
+
+
+def obs_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same readings keyed more finely, by event type and user id modulo 40:
+    many short series with gaps of more than a day."""
+    ev = events_as_series(table(spark, sf_dir, "events"))
+    key = F.concat_ws("-", "site_id", (F.col("user_id") % 40).cast("string"))
+    return resample(ev.withColumn("site_id", key), obs_aggs(), SPEC)
 
 
 def obs_from(events: DataFrame) -> DataFrame:
