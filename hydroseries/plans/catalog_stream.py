@@ -62,3 +62,20 @@ def stream_hourly_stateful(spark, d):
 
 register("stream_hourly_stateful", S.with_(S.OBS, _SEALED) + S.final(list(staging.OBS_COLS), ["site_id", "ts"],
                                                                      "sealed"))(stream_hourly_stateful)
+
+
+def stream_last_hours(spark, d):
+    base = H.scratch(spark, "last-hours")
+    hourly = H.hourly_stream(_events_stream(spark, d), staging.obs_aggs(), F.col("event_type"))
+    H.run_available_now(hourly, f"{base}/hourly", f"{base}/hourly-checkpoint")
+    table = spark.readStream.schema(spark.read.parquet(f"{base}/hourly").schema).parquet(f"{base}/hourly")
+    H.run_available_now(H.last_hours_stream(table, 30), f"{base}/sink", f"{base}/checkpoint")
+    return finish(spark.read.parquet(f"{base}/sink"))
+
+
+_LAST30 = "OVER (PARTITION BY site_id ORDER BY ts RANGE BETWEEN INTERVAL 29 HOUR PRECEDING AND CURRENT ROW)"
+
+register("stream_last_hours", S.with_(S.OBS, _SEALED) + S.final(
+    ["level_mean", "rain_sum"], ["site_id", "ts", "n_hours"],
+    f"(SELECT site_id, ts, count(*) {_LAST30} AS n_hours, avg(local_water_level_m) {_LAST30} AS level_mean, "
+    f"sum(rain_1h) {_LAST30} AS rain_sum FROM sealed)"))(stream_last_hours)

@@ -212,3 +212,51 @@ def hourly_stream_stateful(stream: DataFrame, key: Column, ts: str = "ts", value
     out = rows.groupBy("site_id").applyInPandasWithState(
         _hourly_state_fn, HOURLY_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# --- T3: the last hours of every site as state ---------------------------------
+
+WINDOW_SCHEMA = "site_id string, ts timestamp, n_hours bigint, level_mean double, rain_sum double"
+WINDOW_STATE = "h array<bigint>, level array<double>, rain array<double>"
+
+
+def _last_hours_fn(window_hours: int):
+    def run(key, batches, state):
+        """Per site: append the newly sealed hours to the kept ones, emit one row
+        per new hour, keep the hours that later windows reach."""
+        import numpy as np
+        import pandas as pd
+
+        kept = pd.DataFrame(dict(zip(("h", "level", "rain"), state.get)) if state.exists else {"h": [], "level": [], "rain": []})
+        new = pd.concat(list(batches)).sort_values("h")[["h", "level", "rain"]]
+        rows = (pd.concat([kept, new]) if len(kept) else new).reset_index(drop=True)
+        hours, ends = rows["h"].to_numpy(), new["h"].to_numpy()
+        first = np.searchsorted(hours, ends - window_hours, side="right")
+        last = np.searchsorted(hours, ends, side="right")
+        out = []
+        for h, i, j in zip(ends, first, last):
+            w = rows.iloc[i:j]
+            out.append((key[0], pd.Timestamp(int(h) * 3600, unit="s"), len(w), w["level"].mean(), w["rain"].sum()))
+        rows = rows[rows["h"] > rows["h"].max() - window_hours]
+        state.update((rows["h"].astype("int64").tolist(), rows["level"].tolist(), rows["rain"].tolist()))
+        yield pd.DataFrame(out, columns=["site_id", "ts", "n_hours", "level_mean", "rain_sum"])
+    return run
+
+
+def last_hours_stream(hourly: DataFrame, window_hours: int = 30) -> DataFrame:
+    """Per sealed hour of a site the figures of its last ``window_hours``
+    hours.  ``hourly`` streams the table that T1 writes, where raw readings are
+    already aggregated per (site, hour) in the JVM and hours arrive in order; the
+    per-site state holds at most ``window_hours`` rows.  (A stateful function
+    cannot follow a streaming aggregate in the same query.)"""
+    import sys
+
+    from pyspark import cloudpickle
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    rows = hourly.select(
+        "site_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("bigint").alias("h"),
+        F.col("local_water_level_m").alias("level"), F.col("rain_1h").alias("rain"))
+    out = rows.groupBy("site_id").applyInPandasWithState(
+        _last_hours_fn(window_hours), WINDOW_SCHEMA, WINDOW_STATE, "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
