@@ -4,11 +4,14 @@ Texts are bags of ``k``-word shingles; two texts are linked if the weighted
 Jaccard similarity of their bags is at least ``threshold``; a class is a
 connected component of links.  Texts with equal word sequences are collapsed
 first.  Signatures are cut into bands; rows that share a band's key meet in a
-bucket.  A bucket never emits all its pairs, unless it has at most ``small``
-members.  First every member is compared with the bucket's most central one
+bucket.  First every member is compared with the bucket's most central one
 (which meets most others over all bands: the original of a group of copies).
-Then small buckets compare all members of different classes; large ones
-compare, for ``rounds`` rounds, members of different classes that agree in one more band drawn anew each round.
+Then buckets of at most ``small`` members compare all members of different classes; large ones
+join most of their classes in ``rounds`` rounds, where members of different classes that agree in one more band
+drawn anew each round are compared with a few others.  What is still in different classes after that is compared in
+full: all pairs of a bucket, unless their sketches prove them too far apart.
+A sketch holds the parity of the shingles that fall on each of ``BITS`` bits, so two sketches differ in at
+most as many bits as the bags in shingles, and no link is lost by it.
 Pairs are verified on the exact bags.
 
 With bands of 5 of 125 registers a pair at similarity 0.8 shares no band with
@@ -16,7 +19,7 @@ a probability of 5e-5, at 0.9 of less than 1e-9.
 
 Defined results: a null text is empty; texts without words are copies of each
 other only if equal; rows that repeat a doc_id with other texts are separate
-rows; a null doc_id sorts before others when a class is named; an empty table gives an empty
+rows; a null doc_id sorts after others when a class is named; an empty table gives an empty
 table; extra columns are not read; a long text is worked on whole.
 """
 
@@ -34,12 +37,38 @@ from hydroseries.llm.common import cut, discard, text_or_empty, with_column
 from hydroseries.llm.components import components, merge
 
 BANDS, ROWS = 25, 5
+BITS = 1024
 SIGNED = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("size", T.IntegerType()),
-                       T.StructField("keys", T.ArrayType(T.LongType()))])
+                       T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
+KEYS = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType())])
+
+
+def wordless_key(text: str) -> tuple[int, int]:
+    """Keys of a text without words, which equals equal texts only."""
+    d = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def row_keys(texts: list[str]) -> list[dict]:
+    """Keys of the word sequence of each text."""
+    out = []
+    for a, e in shingle.blocks(texts):
+        h, doc, _, _ = shingle.words(texts[a:e])
+        k1, k2, n = shingle.sequence_keys(h, doc, e - a)
+        out += [dict(zip(("k1", "k2"), (int(x), int(y)) if m else wordless_key(t))) for t, x, y, m in zip(texts[a:e], k1, k2, n)]
+    return out
+
+
+def sketches(h: np.ndarray, doc: np.ndarray, count: np.ndarray, n_texts: int) -> np.ndarray:
+    """Per text the parity of the shingles (each copy its own) on each of BITS bits: (texts, BITS / 64)."""
+    copy = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    bit = shingle.mix(np.repeat(h, count) + copy.astype(np.uint64) * np.uint64(shingle.P)) % np.uint64(BITS)
+    odd = np.bincount(np.repeat(doc, count) * BITS + bit.astype(np.int64), minlength=n_texts * BITS) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n_texts, BITS), axis=1).view(np.int64)
 
 
 def sign(texts: list[str], k: int) -> list[dict]:
-    """Keys of the word sequence, number of shingles, and band keys of each text."""
+    """Keys of the word sequence, number of shingles, band keys and sketch of each text."""
     out = []
     for a, e in shingle.blocks(texts):
         part = texts[a:e]
@@ -47,21 +76,23 @@ def sign(texts: list[str], k: int) -> list[dict]:
         k1, k2, n = shingle.sequence_keys(h, doc, len(part))
         s, sd = shingle.shingles(h, doc, k)
         size = np.bincount(sd, minlength=len(part)) if len(sd) else np.zeros(len(part), dtype=int)
-        sig = bagminhash.signatures(*shingle.bags(s, sd), len(part), BANDS * ROWS)
+        bags = shingle.bags(s, sd)
+        sig = bagminhash.signatures(*bags, len(part), BANDS * ROWS)
         keys = bagminhash.band_keys(sig, BANDS, ROWS)
+        odd = sketches(*bags, len(part)) if len(sd) else None
         for i, t in enumerate(part):
             if n[i]:
-                out.append({"k1": int(k1[i]), "k2": int(k2[i]), "size": int(size[i]), "keys": keys[i].tolist()})
-            else:  # no words: equal to equal texts only
-                d = hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=16).digest()
-                out.append({"k1": int.from_bytes(d[:8], "big", signed=True), "k2": int.from_bytes(d[8:], "big", signed=True), "size": 0, "keys": []})
+                out.append({"k1": int(k1[i]), "k2": int(k2[i]), "size": int(size[i]), "keys": keys[i].tolist(), "sketch": odd[i].tolist()})
+            else:
+                x, y = wordless_key(t)
+                out.append({"k1": x, "k2": y, "size": 0, "keys": [], "sketch": []})
     return out
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
     base = docs.select("doc_id", text_or_empty().alias("_text"))
     got = with_column(base, "s", SIGNED, lambda: lambda texts: sign(texts, k), ["_text"], ["doc_id"])
-    return got.select("doc_id", "s.k1", "s.k2", "s.size", "s.keys")
+    return got.select("doc_id", "s.k1", "s.k2", "s.size", "s.keys", "s.sketch")
 
 
 def node_bags(docs: DataFrame, nodes: DataFrame, k: int, max_broadcast_rows: int = 100_000) -> DataFrame:
@@ -131,12 +162,33 @@ def _large_pairs(open_: DataFrame, keys: DataFrame, r: int, reps: int = 8) -> Da
             .select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")))
 
 
+def _open_pairs(open_: DataFrame, nodes: DataFrame, threshold: float, part_rows: int = 256) -> DataFrame:
+    """All pairs of different classes inside the buckets whose sketches leave room for a link.
+
+    A bucket's members are dealt into parts of about ``part_rows``; those outside its largest class meet each part."""
+    sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top")).select("key", F.col("top.comp").alias("lead_comp"))
+    own = (open_.join(nodes.select("node", "size", "sketch"), "node").join(largest, "key")
+           .withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int")))
+    left = (own.where("comp <> lead_comp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("key", "part", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("size").alias("na"), F.col("sketch").alias("sa")))
+    right = own.select(F.col("key").alias("kb"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("pb"), F.col("node").alias("b"),
+                       F.col("comp").alias("cb"), F.col("size").alias("nb"), F.col("sketch").alias("sb"), (F.col("comp") == F.col("lead_comp")).alias("led"))
+    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(BITS // 64)), F.lit(0))
+    # J >= t of bags of na and nb shingles: at most (na + nb)(1 - t) / (1 + t) shingles are in one of them only
+    room = (F.col("na") + F.col("nb")) * F.lit((1 - threshold) / (1 + threshold)) + F.lit(1e-6)
+    met = left.join(right, (F.col("key") == F.col("kb")) & (F.col("part") == F.col("pb")) & (F.col("ca") != F.col("cb"))
+                    & (F.col("led") | (F.col("a") < F.col("b"))) & (apart <= room))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16, rounds: int = 3) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), class_size, copies (rows of
-    equal words); one row per input row."""
+    equal words), k1, k2 (keys of the words), comp (names the class, also of rows
+    that share a doc_id or have none); one row per input row."""
     s = cut(signed(docs, k))
     exact = s.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"),
-                                      F.first("keys").alias("keys"))
+                                      F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     exact = cut(exact.withColumn("node", F.monotonically_increasing_id()))  # fixed, as it is written
     rows = exact.select("node", F.explode("keys").alias("key"))
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -151,16 +203,19 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16
     tried = cut(pairs)
     label = components(cut(verify(tried, bags, threshold)))
     keys = exact.select("node", "keys")
-    for r in range(rounds):
+    for r in range(rounds + 1):
         known = members.join(label, "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
         split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         open_ = cut(known.join(split, "key", "left_semi"))
-        new = _large_pairs(open_.where(F.col("n") > small), keys, r)
+        if r and not open_.where(F.col("n") > small).limit(1).count():
+            break
+        if r < rounds:
+            new = _large_pairs(open_.where(F.col("n") > small), keys, r)
+        else:  # what the rounds left open, whole
+            new = _open_pairs(open_.where(F.col("n") > small), exact, threshold)
         if r == 0:
             new = new.union(_small_pairs(open_.where(F.col("n") <= small)))
         new = cut(new.distinct().join(tried, ["a", "b"], "left_anti"))
-        if not new.limit(1).count():
-            break
         found = cut(verify(new, bags, threshold))
         discard(open_)
         tried = cut(tried.union(new))
@@ -168,5 +223,5 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16
             label = merge(label, found)
     named = (exact.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     total = (named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")))
-    final = named.join(total, "comp").select("k1", "k2", "class_id", "class_size", "copies")
-    return s.select("doc_id", "k1", "k2").join(final, ["k1", "k2"]).select("doc_id", "class_id", "class_size", "copies", "k1", "k2")
+    final = named.join(total, "comp").select("k1", "k2", "class_id", "class_size", "copies", "comp")
+    return s.select("doc_id", "k1", "k2").join(final, ["k1", "k2"]).select("doc_id", "class_id", "class_size", "copies", "k1", "k2", "comp")

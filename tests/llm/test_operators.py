@@ -279,6 +279,53 @@ def test_neardup_classes_equal_brute_force(spark):
         ("7", 7, 1), ("7", 7, 3), ("7", 7, 3), ("None", 7, 3)]
 
 
+def straddling(n, words_each=120, edits=(2, 3, 4, 5), seed=41):
+    """Variants of one text whose similarities lie around 0.8."""
+    r, hub, out = random.Random(seed), words(words_each, seed), []
+    for i in range(n):
+        w = list(hub)
+        for j, at in enumerate(r.sample(range(words_each), r.choice(edits))):
+            w[at] = f"v{i}x{j}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_neardup_large_bucket_is_resolved(spark):
+    texts = straddling(700)
+    bags = [shingle.bag_of(t) for t in texts]
+    band = np.array([s["keys"] for s in neardup.sign(texts, 5)])
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):  # all pairs that share a band
+        for j in np.nonzero((band[:i] == band[i]).any(axis=1))[0]:
+            if find(i) != find(int(j)) and shingle.similarity(bags[i], bags[j]) >= 0.8:
+                a, b = sorted((find(i), find(int(j))))
+                root[b] = a
+    want = {i: find(i) for i in range(len(texts))}
+    assert 1 < len(set(want.values()))
+    # no round before the whole comparison: it alone must find every link
+    for rounds in (3, 0):
+        got = {x["doc_id"]: x["class_id"] for x in neardup.classes(docs(spark, texts), rounds=rounds).collect()}
+        assert got == want
+
+
+def test_neardup_sketch_excludes_no_link():
+    texts = straddling(60) + ["a a a a a a a a b", "a a a a a a a b", "x"]
+    h, d, _, _ = shingle.words(texts)
+    bags = [shingle.bag_of(t) for t in texts]
+    odd = neardup.sketches(*shingle.bags(*shingle.shingles(h, d)), len(texts)).view(np.uint64)
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = (dict(zip(x[0].tolist(), x[1].tolist())) for x in (bags[i], bags[j]))
+            apart = sum(abs(a.get(k, 0) - b.get(k, 0)) for k in a.keys() | b.keys())
+            assert int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= apart
+
+
 def test_passages_equal_brute_force(spark):
     shared, other = words(60, 1), words(49, 2)
     texts = list(EDGE) + [" ".join(words(20, 10 + i) + shared + words(30, 50 + i)) for i in range(30)]
