@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hydroseries.llm import ann, bagminhash, catalog, cnn, components, decon, graph, html, mix, neardup, pagetree, passages, secrets, shingle, toxic, warc
+from hydroseries.llm import ann, bagminhash, catalog, cnn, components, decon, graph, html, mix, neardup, pagetree, passages, secrets, shingle, stages, toxic, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _text string, hits string, score string"
 
@@ -326,6 +326,25 @@ def test_neardup_sketch_excludes_no_link():
             assert int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= apart
 
 
+def test_one_of_each_keeps_one_row_a_class(spark):
+    a, b, c, e = (" ".join(words(60, 700 + i)) for i in range(4))
+
+    def kept(rows):
+        texts, ids = [t for _, t in rows], [i for i, _ in rows]
+        out = stages.one_of_each(spark, docs(spark, texts, ids=ids), None)
+        assert out.columns == [x.split(" ")[0] for x in DOCS.split(", ")]
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    assert kept([(5, a), (3, b), (5, b)]) == sorted([(5, a), (3, b)], key=str)
+    near = b.split()
+    near[7] = "edit"
+    near = " ".join(near)
+    # null ids: a copy of a named row, unique texts, and near copies among themselves
+    got = kept([(7, a), (None, a), (None, c), (None, b), (None, near), (None, e), (None, e), (9, ""), (None, None)])
+    assert got in [sorted([(7, a), (None, c), (None, x), (None, e), (9, "")], key=str) for x in (b, near)]
+    assert kept([(1, a), (1, a.upper()), (2, c)]) in [sorted([(1, x), (2, c)], key=str) for x in (a, a.upper())]
+
+
 def test_passages_equal_brute_force(spark):
     shared, other = words(60, 1), words(49, 2)
     texts = list(EDGE) + [" ".join(words(20, 10 + i) + shared + words(30, 50 + i)) for i in range(30)]
