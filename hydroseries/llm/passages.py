@@ -1,14 +1,14 @@
-"""Passages that repeat across documents, by a sparse suffix array.
-
-Suffixes are kept at anchors only: positions whose hash of three words is the
-least among ``SPAN`` neighbours, so a passage has the same anchors wherever it
-stands.  A suffix is keyed by its first ``min_words`` - SPAN words, which any
-passage of ``min_words`` words holds after its first anchor.  Suffixes with equal keys in
-different texts are sorted by the words before and after and compared with
-their neighbours in that order, and with the least and the greatest text of their key; the sort is dealt out by parts of about
-``part_rows`` suffixes, so a passage of very many texts is no single task.  Pairs of
-texts are then joined with their words, and matches extended left and right to
-their full length.  Equal texts are one text; copies repeat as a whole.
+"""Passages that repeat across documents, by hashes of windows at anchors.
+
+A word repeats if some window of ``min_words`` words over it occurs in another text.  Each
+window has one anchor: of its first ``SPAN`` positions the one whose hash of three words is least, so a
+window has the same anchor wherever it stands.  The windows of an anchor are
+neighbours and share its key, the ``min_words`` - SPAN words from the anchor on; only keys
+met in two texts are looked at further.  Then whole spans (all windows of an anchor) met in two texts
+repeat as a whole.  Of the other spans every window is hashed, and of each repeated span
+those of one text, and a window repeats if it is met in two texts or in a repeated span.  So all
+repeated windows are found, however many texts share a key, by counts of hashes
+that are one row a group on one side of each join.  Equal texts are one text; copies repeat as a whole.
 
 Result: one row per document with a repeated passage of at least ``min_words`` words.
 
@@ -25,17 +25,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydroseries.llm import decon, shingle
-from hydroseries.llm.common import cut, small_batches, text_or_empty, with_column
+from hydroseries.llm import shingle
+from hydroseries.llm.common import cut, small_batches, text_or_empty
 
-SPAN = 16
-AROUND = 16  # words before a suffix, and after its key, that the sort looks at
-SPANS = T.ArrayType(T.StructType([T.StructField("side", T.IntegerType()), T.StructField("start", T.IntegerType()),
-                                  T.StructField("end", T.IntegerType())]))
+GRAM, SPAN = 3, 16
+AT = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("sure", T.BooleanType())]))
 
 
-def suffixes(texts: DataFrame, head: int) -> DataFrame:
-    """key, t, pos, left, right of the anchored suffixes of each text (t, text)."""
+def least_of_each(h: np.ndarray, span: int) -> np.ndarray:
+    """Of each ``span`` neighbouring positions the first whose hash of GRAM words is least."""
+    n = len(h) - GRAM + 1
+    low = h[:n].copy()
+    for j in range(1, GRAM):
+        low = low * np.uint64(shingle.P) + h[j:n + j]
+    low, at, have = shingle.mix(low), np.arange(n), 1
+    while have < span:  # running minimum by doubling
+        step = min(have, span - have)
+        later = low[step:] < low[:-step]
+        low, at, have = np.where(later, low[step:], low[:-step]), np.where(later, at[step:], at[:-step]), have + step
+    return at
+
+
+def running(h: np.ndarray):
+    """lo, hi -> hashes of the words lo to hi - 1."""
+    p, inv = shingle.powers(len(h) + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * p[:len(h)], dtype=np.uint64)])
+    return lambda lo, hi: shingle.mix((sums[hi] - sums[lo]) * inv[lo])
+
+
+def anchored(texts: DataFrame, min_words: int) -> DataFrame:
+    """key, span (hashes), t, pos (first window), n (windows) of the anchors of each text (t, text)."""
     small_batches(texts.sparkSession)
 
     def run(batches):
@@ -45,97 +64,65 @@ def suffixes(texts: DataFrame, head: int) -> DataFrame:
             raw = b.column(b.schema.get_field_index("text")).to_pylist()
             for a, e in shingle.blocks(raw):
                 h, doc, _, _ = shingle.words(raw[a:e])
-                at = decon.anchors(h, SPAN)
-                at = at[at + head <= len(h)]
-                at = at[doc[at] == doc[at + head - 1]]
-                if not len(at):
+                if len(h) < min_words:
                     continue
-                first = np.searchsorted(doc, np.arange(e - a))[doc[at]]
-                last = np.searchsorted(doc, np.arange(e - a), side="right")[doc[at]]
-                p, inv = shingle.powers(len(h) + 1)
-                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * p[:len(h)], dtype=np.uint64)])
+                own = np.nonzero(doc[min_words - 1:] == doc[:len(doc) - min_words + 1])[0]  # first words of whole windows
+                if not len(own):
+                    continue
+                at = least_of_each(h, SPAN)[own]
+                new = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[own[1:]] != doc[own[:-1]])]))[0]
+                n = np.diff(np.append(new, len(own)))
+                begin, anchor, part = own[new], at[new], running(h)
+                first = np.searchsorted(doc, np.arange(e - a))[doc[begin]]
+                # equal spans have their anchor at the same place
+                span = shingle.mix(part(begin, begin + n - 1 + min_words) + (anchor - begin).astype(np.uint64) * np.uint64(shingle.P) + n.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part(anchor, anchor + min_words - SPAN).view(np.int64)), pa.array(span.view(np.int64)), pa.array(ts[a:e][doc[begin]]),
+                    pa.array((begin - first).astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "span", "t", "pos", "n"])
 
-                def part(lo, hi):
-                    return shingle.mix((sums[hi] - sums[lo]) * inv[lo])
+    return texts.select("t", "text").mapInArrow(run, "key long, span long, t long, pos int, n int")
 
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part(at, at + head).view(np.int64)), pa.array(ts[a:e][doc[at]]), pa.array((at - first).astype(np.int32)),
-                    pa.array(part(np.maximum(first, at - AROUND), at).astype(np.uint32).view(np.int32)),
-                    pa.array(part(at + head, np.minimum(last, at + head + AROUND)).astype(np.uint32).view(np.int32))],
-                    ["key", "t", "pos", "left", "right"])
-
-    return texts.select("t", "text").mapInArrow(run, "key long, t long, pos int, left int, right int")
-
-
-def extend(a: np.ndarray, b: np.ndarray, at: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Maximal matches of two word sequences around the positions ``at``:
-    (first in a, first in b, words), of at least ``least`` words."""
-    found, reach = [], {}
-    for i, j in sorted(at):
-        if reach.get(i - j, -1) >= i:
-            continue  # inside a match on the same diagonal
-        back = min(i, j)
-        same = a[i - back:i][::-1] == b[j - back:j][::-1]
-        left = back if same.all() else int(np.argmin(same))
-        ahead = min(len(a) - i, len(b) - j)
-        same = a[i:i + ahead] == b[j:j + ahead]
-        right = ahead if same.all() else int(np.argmin(same))
-        reach[i - j] = i + right
-        if left + right >= least:
-            found.append((i - left, j - left, left + right))
-    return found
-
-
-def repeated(docs: DataFrame, min_words: int = 50, part_rows: int = 256, max_broadcast_rows: int = 100_000) -> DataFrame:
+
+def windows(texts: DataFrame, min_words: int) -> DataFrame:
+    """win (hash), t, start, sure of every window of the spans ``at`` of each text (t, text, at)."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            for t, text, at in zip(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in ("t", "text", "at")]):
+                n = np.array([x["n"] for x in at], dtype=np.int64)
+                start = np.repeat(np.array([x["pos"] for x in at], dtype=np.int64) - np.cumsum(n) + n, n) + np.arange(n.sum())
+                win = running(shingle.words([text])[0])(start, start + min_words)
+                yield pa.RecordBatch.from_arrays([pa.array(win.view(np.int64)), pa.array(np.full(len(start), t)), pa.array(start.astype(np.int32)),
+                                                  pa.array(np.repeat(np.array([x["sure"] for x in at], dtype=bool), n))], ["win", "t", "start", "sure"])
+
+    return texts.select("t", "text", "at").mapInArrow(run, "win long, t long, start int, sure boolean")
+
+
+def repeated(docs: DataFrame, min_words: int = 50, max_broadcast_rows: int = 100_000) -> DataFrame:
     """doc_id, n_passages, repeated_words, spans (first word:word after the last, comma-joined)."""
-    head = min_words - SPAN
     d = docs.select("doc_id", text_or_empty().alias("text")).withColumn("t", F.xxhash64("text", F.length("text")))
-    rows = suffixes(d, head)
-    suf = cut(rows)
-    crowded = suf.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count("*").alias("n"), F.min(F.struct("t", "pos")).alias("least"),
-                                  F.max(F.struct("t", "pos")).alias("most")).where("lo < hi")
-    near = cut(suf.join(crowded.select("key", "n", "least", "most"), "key").distinct())
-    part = F.pmod(F.xxhash64("t"), F.ceil(F.col("n") / part_rows))
-    near = near.withColumn("part", part)
-    order = ["left", "right"], ["right", "left"]
-    own = F.col("t").alias("tb"), F.col("pos").alias("pb")
-    pairs = (near.select(F.col("least.t").alias("ta"), F.col("least.pos").alias("pa"), *own)
-             .union(near.select(F.col("most.t").alias("ta"), F.col("most.pos").alias("pa"), *own)))
-    for first, second in order:
-        w = Window.partitionBy("key", "part").orderBy(first, second, "t", "pos")
-        pairs = pairs.union(near.select(F.lag("t").over(w).alias("ta"), F.lag("pos").over(w).alias("pa"), *own))
-    pairs = pairs.where("ta <> tb")
-    flip = F.col("ta") > F.col("tb")
-    pairs = pairs.select(F.when(flip, F.col("tb")).otherwise(F.col("ta")).alias("ta"), F.when(flip, F.col("ta")).otherwise(F.col("tb")).alias("tb"),
-                         F.when(flip, F.col("pb")).otherwise(F.col("pa")).alias("pa"), F.when(flip, F.col("pa")).otherwise(F.col("pb")).alias("pb"))
-    met = cut(pairs.groupBy("ta", "tb").agg(F.collect_set(F.struct("pa", "pb")).alias("at")))  # at most the anchors of two texts
-    wanted = met.select(F.col("ta").alias("t")).union(met.select(F.col("tb").alias("t"))).distinct()
-    wanted = cut(wanted)
-    few = wanted.count() <= max_broadcast_rows
-    texts = cut(d.join(F.broadcast(wanted) if few else wanted, "t").groupBy("t").agg(F.first("text").alias("text")))
-
-    def start():
-        last = [None, None]
-
-        def spans(xs, ys, ats):
-            out = []
-            for x, y, at in zip(xs, ys, ats):
-                if last[0] != x:
-                    last[:] = [x, shingle.words([x])[0]]
-                found = extend(last[1], shingle.words([y])[0], [(p["pa"], p["pb"]) for p in at], min_words)
-                out.append([(0, i, i + n) for i, _, n in found] + [(1, j, j + n) for _, j, n in found])
-            return out
-        return spans
-
-    both = (met.join(texts.select(F.col("t").alias("tb"), F.col("text").alias("xb")), "tb")
-            .join(texts.select(F.col("t").alias("ta"), F.col("text").alias("xa")), "ta").select("ta", "tb", "xa", "xb", "at"))
-    found = with_column(both, "spans", SPANS, start, ["xa", "xb", "at"], ["ta", "tb"])
-    found = (found.select("ta", "tb", F.explode("spans").alias("s"))
-             .select(F.when(F.col("s.side") == 0, F.col("ta")).otherwise(F.col("tb")).alias("t"), "s.start", "s.end"))
-    # copies of a text repeat it whole
-    n_words = with_column(d.groupBy("t").agg(F.count("*").alias("n"), F.first("text").alias("text")).where("n > 1"), "end", T.IntegerType(),
-                          lambda: lambda xs: [len(shingle.words([x])[0]) for x in xs], ["text"], ["t"])
-    found = found.union(n_words.where(F.col("end") >= min_words).select("t", F.lit(0).alias("start"), "end")).distinct()
+    suf = cut(anchored(d, min_words))
+    crowded = cut(suf.groupBy("key").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("key"))
+    near = cut(suf.join(crowded, "key").select("key", "span", "t", "pos", "n").distinct())
+    met = cut(near.groupBy("span").agg(F.min("key").alias("key"), F.min("t").alias("lo"), F.max("t").alias("hi"), F.min(F.struct("t", "pos", "n")).alias("one"))
+              .where("lo < hi").select("span", "key", "one"))
+    marked = cut(near.join(met.select("span", F.lit(True).alias("whole")), "span", "left"))
+    end = (F.col("pos") + F.col("n") + F.lit(min_words - 1)).alias("end")
+    whole = marked.where("whole").select("t", F.col("pos").alias("start"), end)
+    rest = marked.where("whole IS NULL")
+    look = (rest.select("t", "pos", "n", F.lit(False).alias("sure"))
+            .union(met.join(rest.select("key").distinct(), "key", "left_semi").select("one.t", "one.pos", "one.n", F.lit(True))))
+    wanted = cut(look.groupBy("t").agg(F.collect_list(F.struct("pos", "n", "sure")).cast(AT).alias("at")))  # at most the anchors of a text
+    ids = wanted.select("t")
+    texts = d.join(F.broadcast(ids) if ids.count() <= max_broadcast_rows else ids, "t").groupBy("t").agg(F.first("text").alias("text"))
+    win = cut(windows(texts.join(wanted, "t"), min_words))
+    again = cut(win.groupBy("win").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.max("sure").alias("sure"), F.min("sure").alias("all"))
+                .where("(lo < hi OR sure) AND NOT all").select("win"))
+    found = whole.union(win.where("NOT sure").join(again, "win").select("t", "start", (F.col("start") + min_words).alias("end")))
+    # copies of a text repeat it whole, up to the end of its last window
+    copies = d.groupBy("t").agg(F.count("*").alias("c")).where("c > 1").select("t")
+    ends = suf.groupBy("t").agg(F.max(F.col("pos") + F.col("n")).alias("m")).join(copies, "t")
+    found = found.union(ends.select("t", F.lit(0).alias("start"), (F.col("m") + F.lit(min_words - 1)).alias("end"))).distinct()
     by_start = Window.partitionBy("t").orderBy("start", "end")
     past = by_start.rowsBetween(Window.unboundedPreceding, -1)
     island = found.withColumn("new", F.when(F.col("start") <= F.max("end").over(past), 0).otherwise(1)).withColumn("i", F.sum("new").over(by_start))

@@ -345,6 +345,29 @@ def test_one_of_each_keeps_one_row_a_class(spark):
     assert kept([(1, a), (1, a.upper()), (2, c)]) in [sorted([(1, x), (2, c)], key=str) for x in (a, a.upper())]
 
 
+def repeated_words(texts, n=50):
+    """Per text the number of words in windows of n words that occur in another text."""
+    where, toks = collections.defaultdict(set), [re.findall(r"\w+", (t or "").lower()) for t in texts]
+    for i, w in enumerate(toks):
+        for p in range(len(w) - n + 1):
+            where[tuple(w[p:p + n])].add(i)
+    at = [{q for p in range(len(w) - n + 1) if len(where[tuple(w[p:p + n])]) > 1 for q in range(p, p + n)} for w in toks]
+    return {i: len(x) for i, x in enumerate(at) if x}
+
+
+def test_passages_around_a_hot_head(spark):
+    # every text has the same 48 words; pairs share two words more, before, around or after them
+    head, texts = words(48, 800), []
+    for i in range(600):
+        own, n = words(2, 2000 + i // 2), (i // 2) % 3
+        before, after = own[:n], own[n:]
+        texts.append(" ".join(words(20, 5000 + i) + before + head + after + words(20, 9000 + i)))
+    texts += ["x " * 200, "x " * 300 + "y", "é " + " ".join(words(49, 801)), " ".join(words(49, 801)) + " q"]
+    got = {r["doc_id"]: r["repeated_words"] for r in passages.repeated(docs(spark, texts)).collect()}
+    want = repeated_words(texts)
+    assert len(want) >= 602 and got == want
+
+
 def test_passages_equal_brute_force(spark):
     shared, other = words(60, 1), words(49, 2)
     texts = list(EDGE) + [" ".join(words(20, 10 + i) + shared + words(30, 50 + i)) for i in range(30)]
