@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from hydroseries.llm import ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, passages, secrets, shingle, toxic, warc
+from hydroseries.llm import (ann, bagminhash, chat, cnn, common, decon, graph, html, lattice, neardup, pagetree, passages, repair, secrets,
+                             shingle, toxic, turns, variants, warc)
 from hydroseries.llm.common import read_table, ship_by_value
 from hydroseries.llm.mix import mix
 from hydroseries.session import scratch_path
 
-ship_by_value(ann, bagminhash, cnn, common, decon, graph, html, neardup, pagetree, passages, shingle, toxic, warc)
+ship_by_value(ann, bagminhash, cnn, common, decon, graph, html, lattice, neardup, pagetree, passages, repair, shingle, toxic, turns, warc)
 
 
 def op1_mix(spark, sf_dir):
@@ -70,10 +71,26 @@ def op10_warc(spark, sf_dir):
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_chat(spark, sf_dir):
+    """Digests of every conversation, read back from its formatted text."""
+    return chat.digest(chat.format_turns(chat.with_injected(read_table(spark, sf_dir, "conversations"))))
+
+
+def op12_variants(spark, sf_dir):
+    """Spelling variants among the words of all documents."""
+    return variants.group_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark, sf_dir):
+    """Faults and least repair of every conversation after the damage."""
+    return repair.repair_damaged(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {"op1_mix": op1_mix, "op2_html": op2_html, "op3_secrets": op3_secrets, "op4_ann": op4_ann, "op5_quality": op5_quality,
            "op6_neardup": op6_neardup, "op7_passages": op7_passages, "op8_toxicity": op8_toxicity, "op9_decontamination": op9_decontamination,
-           "op10_warc": op10_warc}
+           "op10_warc": op10_warc, "op11_chat": op11_chat, "op12_variants": op12_variants, "op13_repair": op13_repair}
 ORACLE: dict[str, str] = {
+    "op11_chat": chat.ORACLE, "op12_variants": variants.ORACLE, "op13_repair": repair.ORACLE,
     "op10_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 q AS (SELECT page_id, octet_length(encode(h)) AS payload_bytes, sha1(h) AS payload_digest FROM p),
