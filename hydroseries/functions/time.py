@@ -64,9 +64,20 @@ def normalize_time(df, tz: str, col: str = "ts", naive_is_local: bool = True):
     return df.withColumn(col, to_utc(col, tz) if naive_is_local else F.col(col).cast("timestamp_ntz"))
 
 
-def parse_utc(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Parse timestamp text that is UTC."""
-    return F.to_timestamp_ntz(_c(text), F.lit(fmt))
+def parse_utc(text, fmt: str | None = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Parse timestamp text that is UTC (``fmt`` None: any ISO form)."""
+    return F.to_timestamp_ntz(_c(text)) if fmt is None else F.to_timestamp_ntz(_c(text), F.lit(fmt))
+
+
+def local_hour(ts, tz: str) -> Column:
+    """The instant (UTC) at which the local hour of ``ts`` began.
+
+    Hours of zones with a part-hour offset begin off the UTC hour; the two hours of one name
+    at the end of summer time stay apart, since both are instants.  Holds for zones whose clock
+    changes are whole hours."""
+    local = to_local(ts, tz)
+    past = F.unix_micros(local.cast("timestamp")) - F.unix_micros(F.date_trunc("hour", local).cast("timestamp"))
+    return F.timestamp_micros(F.unix_micros(_c(ts).cast("timestamp")) - past).cast("timestamp_ntz")
 
 
 def calendar_columns(ts, tz: str) -> dict[str, Column]:

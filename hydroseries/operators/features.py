@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from hydroseries import config as C
@@ -146,11 +146,34 @@ def incomplete_columns(cols: Iterable[str], require_target: bool = True) -> list
     return out + [t for t in targets if t in cols]
 
 
-def drop_incomplete(df: DataFrame, cols: Iterable[str] | None = None,
-                    require_target: bool = True) -> DataFrame:
-    """Drop rows with a null lag / rolling / target column; other nulls stay."""
-    subset = list(cols) if cols is not None else incomplete_columns(df.columns, require_target)
-    return df.dropna("any", subset=subset) if subset else df
+def complete(df: DataFrame, cols: Iterable[str] | None = None, require_target: bool = True) -> Column:
+    """P8's condition: no lag, rolling or target column is null (or NaN)."""
+    ok, kinds = F.lit(True), dict(df.dtypes)
+    for c in cols if cols is not None else incomplete_columns(df.columns, require_target):
+        ok &= F.col(c).isNotNull()
+        if kinds[c] in ("double", "float"):
+            ok &= ~F.isnan(c)
+    return ok
+
+
+def drop_incomplete(df: DataFrame, cols: Iterable[str] | None = None, require_target: bool = True,
+                    observation: Observation | None = None) -> DataFrame:
+    """Drop rows with a null lag / rolling / target column; other nulls stay.
+
+    A8: an ``observation`` receives ``rows_before`` and ``rows_after`` from the job
+    that computes the result, without a job of its own."""
+    ok = complete(df, cols, require_target)
+    if observation is not None:
+        df = df.observe(observation, F.count(F.lit(1)).alias("rows_before"), F.count_if(ok).alias("rows_after"))
+    return df.filter(ok)
+
+
+def drop_report(features: DataFrame, by: Sequence[str] = ("site_id",), require_target: bool = True) -> DataFrame:
+    """A8 per group, from features that still hold their incomplete rows
+    (``build_features(drop=False)``): one pass over one plan."""
+    ok = complete(features, None, require_target)
+    counts = features.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_before"), F.count_if(ok).alias("rows_after"))
+    return counts.withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after"))
 
 
 def flood_flag(df: DataFrame, level: str = "local_water_level_m", rain: str = "rain_1h",
@@ -173,11 +196,11 @@ def flood_flag(df: DataFrame, level: str = "local_water_level_m", rain: str = "r
 # --- the composition --------------------------------------------------------
 
 def build_features(df: DataFrame, cfg: FeatureConfig = _FC, spec: SeriesSpec = _SPEC,
-                   sites: DataFrame | None = None, drop: bool = True) -> DataFrame:
+                   sites: DataFrame | None = None, drop: bool = True, observation: Observation | None = None) -> DataFrame:
     """M3: calendar, lunar, lags, rolling sums / means / stds, static,
     interactions, both labels, then P8 — one window pass.  An input that still
     carries ``_chunk`` (``densify(keep_chunk=True)`` + fills) is not shuffled
-    again: only the halo rows move (``windows.bounded``)."""
+    again: only the halo rows move (``windows.bounded``).  ``observation``: as in ``drop_incomplete``."""
     cols = df.columns
     before = max([cfg.lag_depth, *cfg.rolling_windows])
     after = cfg.horizon_hours
@@ -199,5 +222,5 @@ def build_features(df: DataFrame, cfg: FeatureConfig = _FC, spec: SeriesSpec = _
         out = with_static(out, sites, [c for c in cfg.static_columns if c in sites.columns], spec.keys)
     out = interactions(out, cfg.interaction_pairs)
     if drop:
-        out = drop_incomplete(out, require_target=cfg.require_target)
+        out = drop_incomplete(out, require_target=cfg.require_target, observation=observation)
     return out.drop(windows.CHUNK)

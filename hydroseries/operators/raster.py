@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from hydroseries import config as C
 
 EARTH_RADIUS_M = 6371008.8
+DATE = "_date"  # date of the scene, the partition column of a pixel store (sources.pixels)
 
 
 def scene_filter(scenes: DataFrame, start=None, end=None, polarisation: str | None = None,
@@ -37,6 +38,14 @@ def scene_filter(scenes: DataFrame, start=None, end=None, polarisation: str | No
     return scenes.filter(cond)
 
 
+def of_scenes(pixels: DataFrame, scenes: DataFrame) -> DataFrame:
+    """The pixels of these scenes.  Pixels from a store are joined on the scene's date too: its
+    folders of other dates are pruned when the scene table is broadcast."""
+    if DATE not in pixels.columns:
+        return pixels.join(scenes.select("scene_id"), "scene_id", "left_semi")
+    return pixels.join(scenes.select("scene_id", F.to_date("ts").alias(DATE)), ["scene_id", DATE], "left_semi")
+
+
 def qa_clear(qa: str | Column = "QA60", bits: Sequence[int] = C.QA_CLOUD_BITS) -> Column:
     """All listed QA bits are 0."""
     q = F.col(qa) if isinstance(qa, str) else qa
@@ -48,8 +57,8 @@ def cloud_mask(pixels: DataFrame, scenes: DataFrame, max_pct: float = C.CLOUD_PC
                qa: str = "QA60") -> DataFrame:
     """Keep pixels whose QA cloud and cirrus bits are clear, of scenes
     with cloud percentage strictly below ``max_pct``."""
-    ok = scenes.filter(F.col("cloud_pct") < F.lit(float(max_pct))).select("scene_id")
-    return pixels.filter(qa_clear(qa)).join(ok, "scene_id", "left_semi")
+    ok = scenes.filter(F.col("cloud_pct") < F.lit(float(max_pct)))
+    return of_scenes(pixels.filter(qa_clear(qa)), ok)
 
 
 def ndwi(pixels: DataFrame, green: str = "B3", nir: str = "B8", name: str = "NDWI") -> DataFrame:
@@ -128,7 +137,7 @@ def site_series(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, band: st
     end)``: the mean of the band over the pixels within the radius, or
     (``nearest``) the pixel nearest to the site; nulls dropped."""
     sc = scene_filter(scenes, start, end)
-    px = pixels.join(sc.select("scene_id"), "scene_id", "left_semi")
+    px = of_scenes(pixels, sc)
     return _reduced(px, sc, sites, band, name, radius_m, reduce)
 
 
@@ -153,7 +162,7 @@ def water_extent(pixels: DataFrame, scenes: DataFrame, sites: DataFrame, instrum
     sc = scene_filter(scenes, start, end)
     if instrument in ("S1", "Sentinel-1"):
         sc = scene_filter(sc, polarisation="VV", mode="IW")
-        px = pixels.join(sc.select("scene_id"), "scene_id", "left_semi")
+        px = of_scenes(pixels, sc)
         band, name = "VV", "satellite_water_index_s1_vv"
     elif instrument in ("S2", "Sentinel-2"):
         px = ndwi(cloud_mask(pixels, sc, max_cloud_pct))

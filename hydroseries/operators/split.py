@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.config import SeriesSpec
+from hydroseries.operators.rowindex import row_index
 from hydroseries.operators.stats import cumulative_by_value, with_sufficiency
 
 _SPEC = SeriesSpec()
@@ -62,6 +63,32 @@ def time_split(df: DataFrame, ts: str = "ts", by: Iterable[str] = ("site_id",),
     return out.drop(_G0) if added else out
 
 
+def positional_split(df: DataFrame, ts: str = "ts", by: Iterable[str] = ("site_id",), ties: Iterable[str] = (),
+                     test: float = 0.2, val: float = 0.2, name: str = "split") -> DataFrame:
+    """W12 by position: rows are numbered by ``(ts, ties)`` within each group
+    (``by=()``: over the whole table), and the reference's cuts fall between two
+    rows even where both share a time.  The numbers come from one distributed sort
+    (``rowindex.row_index``), so no group is one task's window."""
+    g = list(by)
+    if not g:
+        numbered = row_index(df, [ts, *ties], "_row")
+        n = numbered.agg(F.count(F.lit(1))).first()[0]
+        x = numbered.withColumns({"_start": F.lit(0).cast("long"), "_n": F.lit(n).cast("long")})
+    else:
+        numbered = row_index(df, [*g, ts, *ties], "_row")
+        k = [f"_g{i}" for i in range(len(g))]
+        sizes = numbered.groupBy(*[F.col(c).alias(n) for c, n in zip(g, k)]).agg(F.min("_row").alias("_start"), F.count(F.lit(1)).alias("_n"))
+        same = F.lit(True)
+        for c, n in zip(g, k):
+            same &= F.col(c).eqNullSafe(F.col(n))
+        x = numbered.join(sizes, same).drop(*k)
+    at = F.col("_row") - F.col("_start")
+    n_trval = F.floor(F.col("_n") * F.lit(1.0 - test))
+    n_train = F.floor(n_trval * F.lit(1.0 - val))
+    return (x.withColumn(name, F.when(at < n_train, "train").when(at < n_trval, "val").otherwise("test"))
+            .drop("_row", "_start", "_n"))
+
+
 def require_history(df: DataFrame, rows_needed: int, window_hours: int,
                     spec: SeriesSpec = _SPEC) -> DataFrame:
     """Rows present in the last ``window_hours`` hours of each series

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hydroseries.config import SeriesSpec
-from hydroseries.functions.time import floor_hour, from_hour_index, hour_index
+from hydroseries.functions.time import floor_hour, from_hour_index, hour_index, local_hour
 
 _SPEC = SeriesSpec()
 CHUNK = "_chunk"  # same name as windows.CHUNK
@@ -38,6 +38,29 @@ def resample(df: DataFrame, aggs: dict[str, Column], spec: SeriesSpec = _SPEC,
               .agg(*[e.alias(n) for n, e in aggs.items()]))
 
 
+def resample_local(df: DataFrame, aggs: dict[str, Column], tz: str, spec: SeriesSpec = _SPEC,
+                   ts: str | None = None) -> DataFrame:
+    """A1 by the hours of zone ``tz``: bins are labelled by the instant (UTC) at which
+    the local hour began (``functions.time.local_hour``)."""
+    ts = ts or spec.ts
+    return (df.groupBy(*spec.keys, local_hour(ts, tz).alias(spec.ts))
+              .agg(*[e.alias(n) for n, e in aggs.items()]))
+
+
+def local_hourly_grid(spans: DataFrame, tz: str, spec: SeriesSpec = _SPEC) -> DataFrame:
+    """J1 by the hours of zone ``tz``: every local hour that begins in ``[start, end]``, as the instant of its
+    beginning.  An hour that the clock skips does not occur, one that it repeats occurs twice.
+
+    Zones lie off UTC by whole quarters of an hour, so the quarter hours of the UTC grid are
+    tried, in parallel by (keys, chunk) like ``hourly_grid``."""
+    s, e = hour_index("start"), hour_index("end")
+    hours = hourly_grid(spans.select(*spec.keys, "start", "end"), spec, from_hour_index(s - 1), from_hour_index(e + 1), carry=["start", "end"])
+    quarter = F.explode(F.array(*[F.lit(q) for q in range(4)]))
+    tried = hours.withColumn("_q", quarter).withColumn(spec.ts, F.timestamp_seconds(F.unix_seconds(F.col(spec.ts).cast("timestamp")) + F.col("_q") * 900).cast("timestamp_ntz"))
+    return (tried.filter((local_hour(spec.ts, tz) == F.col(spec.ts)) & F.col(spec.ts).between(F.col("start"), F.col("end")))
+            .select(*spec.keys, spec.ts))
+
+
 def series_spans(df: DataFrame, spec: SeriesSpec = _SPEC) -> DataFrame:
     """First and last hour of each series: ``keys, start, end``."""
     return df.groupBy(*spec.keys).agg(F.min(spec.ts).alias("start"), F.max(spec.ts).alias("end"))

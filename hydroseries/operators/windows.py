@@ -121,14 +121,16 @@ def carry(df: DataFrame, spec: SeriesSpec, values: dict[str, Column],
 
 
 def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
-               backward: dict[str, Column]) -> DataFrame:
+               backward: dict[str, Column], summary_rows: DataFrame | None = None) -> DataFrame:
     """Forward and backward carries in ONE pass: one exchange on
     ``(keys, chunk)``, an ascending and a descending sort inside it, one
     partial aggregate for the per-chunk summary, a window over the small
     chunk table, and one join back on ``(keys, chunk)``.
 
     The input is read twice (window and summary); callers that feed an
-    expensive plan should materialize it first (``session.materialize``).
+    expensive plan should materialize it first (``session.materialize``), or give
+    ``summary_rows``: a smaller table that holds every row whose values are not all
+    null and some row of every chunk.
     """
     names = [("f", n, e) for n, e in forward.items()] + [("b", n, e) for n, e in backward.items()]
     if not names:
@@ -149,6 +151,8 @@ def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
                            for d, n, _ in names})
     # Per chunk: last (forward) / first (backward) non-null value.  max_by /
     # min_by on scalar columns keep this a hash aggregate (no sort).
+    if summary_rows is not None:
+        x = with_chunk(summary_rows.withColumns({tmp[(d, n)]: e for d, n, e in names}), spec)[0]
     summary = x.groupBy(*spec.keys, CHUNK).agg(*[
         (F.max_by if d == "f" else F.min_by)(
             F.col(tmp[(d, n)]), F.when(F.col(tmp[(d, n)]).isNotNull(), F.col(spec.ts))).alias(tmp[(d, n)])

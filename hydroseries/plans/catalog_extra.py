@@ -59,11 +59,8 @@ _register_flood_flag()
 def _drop_report(spark, d):
     from hydroseries.plans.catalog_series import FEATURES_CFG
     h = history(spark, d)
-    feats = features.build_features(h, FEATURES_CFG, SPEC, sites=staging.sites(spark, d))
-    before = h.groupBy("site_id").agg(F.count(F.lit(1)).alias("rows_before"))
-    after = feats.groupBy("site_id").agg(F.count(F.lit(1)).alias("rows_after"))
-    return (before.join(after, "site_id", "left").fillna(0, subset=["rows_after"])
-                  .withColumn("rows_dropped", F.col("rows_before") - F.col("rows_after")))
+    feats = features.build_features(h, FEATURES_CFG, SPEC, sites=staging.sites(spark, d), drop=False)
+    return features.drop_report(feats, require_target=FEATURES_CFG.require_target)
 
 
 register("drop_report", DI + (

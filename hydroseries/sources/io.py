@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydroseries.functions.time import from_epoch, to_utc
+from hydroseries.functions.time import from_epoch, parse_utc, to_utc
 
 # Base hourly series (CSV).
 SERIES_SCHEMA = T.StructType([
@@ -55,7 +55,7 @@ def read_series(spark: SparkSession, path: str, schema: T.StructType = SERIES_SC
     text = F.col(ts_col)
     has_zone = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
     aware = F.to_timestamp(text).cast("timestamp_ntz")  # session zone is UTC
-    naive = to_utc(F.to_timestamp_ntz(text) if fmt is None else F.to_timestamp_ntz(text, F.lit(fmt)), tz)
+    naive = to_utc(parse_utc(text, fmt), tz)
     out = df.withColumn("ts", F.when(has_zone, aware).otherwise(naive)).drop(ts_col)
     return nan_to_null(out)
 
@@ -105,6 +105,50 @@ def read_forecast(spark: SparkSession, path: str, multiline: bool = True, extras
     return flatten_forecast(docs, extras=extras)
 
 
+def checked_documents(df: DataFrame, text: str | Column = "doc", keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """S2 with the bad documents kept apart: ``keys, text, doc, error``.
+
+    ``error`` is null for a document that can be flattened, else ``corrupt`` (no JSON, cut off,
+    or a field of another type), ``no list`` or ``no time`` (an item without ``dt``).
+    Works on batches and streams alike."""
+    text = F.col(text) if isinstance(text, str) else text
+    bad = "_corrupt"
+    schema = T.StructType([FORECAST_SCHEMA["list"], T.StructField(bad, T.StringType())])
+    doc = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    x = df.select(*keys, text.alias("text"), doc.alias("doc"))
+    items = F.col("doc.list")
+    error = (F.when(F.col("text").isNull() | F.col(f"doc.{bad}").isNotNull() | F.col("doc").isNull(), "corrupt")
+              .when(items.isNull(), "no list")
+              .when(F.exists(items, lambda i: i.getField("dt").isNull()), "no time"))
+    return x.withColumn("error", error).withColumn("doc", F.col("doc").dropFields(bad))
+
+
+def land_documents(df: DataFrame, path: str, text: str | Column = "doc", keys: Sequence[str] = ("site_id",),
+                   mode: str = "append") -> None:
+    """Store checked documents in one pass, good and bad ones in folders of their own."""
+    out = checked_documents(df, text, keys)
+    out.withColumn("quarantined", F.col("error").isNotNull()).write.mode(mode).partitionBy("quarantined").parquet(path)
+
+
+def land_documents_stream(stream: DataFrame, path: str, checkpoint: str, text: str | Column = "doc",
+                          keys: Sequence[str] = ("site_id",)) -> None:
+    """The same for a stream of texts, to the end of what is there; a restart goes on where it stopped."""
+    out = checked_documents(stream, text, keys).withColumn("quarantined", F.col("error").isNotNull())
+    (out.writeStream.format("parquet").outputMode("append").partitionBy("quarantined")
+     .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination())
+
+
+def landed_forecast(spark: SparkSession, path: str, keys: Sequence[str] = ("site_id",), extras: bool = False) -> DataFrame:
+    """Rows of the good documents (only their folder is read)."""
+    good = spark.read.parquet(path).filter("NOT quarantined")
+    return flatten_forecast(good.select(*keys, "doc.list"), keys, extras=extras)
+
+
+def quarantined(spark: SparkSession, path: str, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """``keys, text, error`` of the documents set aside."""
+    return spark.read.parquet(path).filter("quarantined").select(*keys, "text", "error")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
                 mode: str = "overwrite") -> None:
     """Write a table, optionally partitioned (e.g. by date)."""
