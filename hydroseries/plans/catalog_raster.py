@@ -102,7 +102,11 @@ def _inputs(spark, d):
 
 
 def _water_extent(spark, d, reduce="mean"):
-    px, sc, st = _inputs(spark, d)
+    return water_extents(*_inputs(spark, d), reduce)
+
+
+def water_extents(px, sc, st, reduce="mean"):
+    """The series of both instruments in long form."""
     s1 = raster.water_extent(px, sc, st, "S1", radius_m=RADIUS_M, reduce=reduce)
     s2 = raster.water_extent(px, sc, st, "S2", radius_m=RADIUS_M, reduce=reduce)
     out = (s1.select("site_id", "ts", F.lit("satellite_water_index_s1_vv").alias("band"),

@@ -479,7 +479,8 @@ def features_full(spark: SparkSession, d: str, spec=SPEC) -> DataFrame:
     return finish(out.drop(timegrid.CHUNK))
 
 
-def features_full_sql(cfg: FeatureConfig = FEATURES_CFG) -> str:
+def features_full_sql(cfg: FeatureConfig = FEATURES_CFG, names: list[str] | None = None) -> str:
+    """``names``, if given, receives the output columns besides the keys."""
     hist = ("hist AS (SELECT i.*, s.elevation_m FROM imputed i LEFT JOIN sites s ON i.site_id = s.site_id)")
     base_cols = ["local_water_level_m", "rain_1h", "humidity", "sea_level_m"]
     ints = {c: f"CAST({e} AS INTEGER)" for c, e in _CAL.items()}
@@ -501,6 +502,8 @@ def features_full_sql(cfg: FeatureConfig = FEATURES_CFG) -> str:
         dbl[name] = f"{a} * {b}" if a in base_cols and b in base_cols else "CAST(0.0 AS DOUBLE)"
     inner = ("(SELECT site_id, ts, " + ", ".join(base_cols) + ", "
              + ", ".join(f"{e} AS {c}" for c, e in {**ints, **dbl}.items()) + " FROM hist)")
+    if names is not None:
+        names += base_cols + list(ints) + list(dbl)
     need = [c for c in dbl if any(p in c for p in C.INCOMPLETE_NAME_PARTS)] + ["water_level_next_1h", "is_flood_next_1h"]
     return (S.with_(S.OBS_SEA, S.SPANS, S.GRID, S.DENSE_SEA, S.imputed_cte(cols=(*S.COLS, "sea_level_m")), S.SITES, hist)
             + S.final(base_cols + list(dbl), BASE + list(ints), inner,

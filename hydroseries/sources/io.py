@@ -127,26 +127,30 @@ def land_documents(df: DataFrame, path: str, text: str | Column = "doc", keys: S
                    mode: str = "append") -> None:
     """Store checked documents in one pass, good and bad ones in folders of their own."""
     out = checked_documents(df, text, keys)
-    out.withColumn("quarantined", F.col("error").isNotNull()).write.mode(mode).partitionBy("quarantined").parquet(path)
+    out.withColumn("state", _state()).write.mode(mode).partitionBy("state").parquet(path)
+
+
+def _state() -> Column:
+    return F.when(F.col("error").isNull(), "good").otherwise("quarantined")
 
 
 def land_documents_stream(stream: DataFrame, path: str, checkpoint: str, text: str | Column = "doc",
                           keys: Sequence[str] = ("site_id",)) -> None:
     """The same for a stream of texts, to the end of what is there; a restart goes on where it stopped."""
-    out = checked_documents(stream, text, keys).withColumn("quarantined", F.col("error").isNotNull())
-    (out.writeStream.format("parquet").outputMode("append").partitionBy("quarantined")
+    out = checked_documents(stream, text, keys).withColumn("state", _state())
+    (out.writeStream.format("parquet").outputMode("append").partitionBy("state")
      .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination())
 
 
 def landed_forecast(spark: SparkSession, path: str, keys: Sequence[str] = ("site_id",), extras: bool = False) -> DataFrame:
     """Rows of the good documents (only their folder is read)."""
-    good = spark.read.parquet(path).filter("NOT quarantined")
+    good = spark.read.parquet(path).filter("state = 'good'")
     return flatten_forecast(good.select(*keys, "doc.list"), keys, extras=extras)
 
 
 def quarantined(spark: SparkSession, path: str, keys: Sequence[str] = ("site_id",)) -> DataFrame:
     """``keys, text, error`` of the documents set aside."""
-    return spark.read.parquet(path).filter("quarantined").select(*keys, "text", "error")
+    return spark.read.parquet(path).filter("state = 'quarantined'").select(*keys, "text", "error")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (),
