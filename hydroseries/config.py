@@ -127,6 +127,10 @@ class TrainConfig:
     # 'train' fits the scaler on the training rows only; 'all' reproduces the
     # reference, which fits on every row before the split.
     scaler_fit_on: str = "train"
+    # Linear learners: the penalties tried; the one with the least loss on the
+    # validation rows is kept (a single one is not validated).
+    reg_params: tuple[float, ...] = (0.0,)
+    tolerance: float = 1e-6
 
 
 @dataclass(frozen=True)

@@ -36,17 +36,34 @@ def _assembler(features: Sequence[str]) -> VectorAssembler:
 def train_classifier(train_val: DataFrame, features: Sequence[str], label: str = C.TARGET_CLASSIFICATION,
                      cfg: TrainConfig = TrainConfig(), learner: str = "gbt") -> PipelineModel:
     """M6: probability of exceedance.  ``train_val`` holds training and
-    validation rows, the latter flagged by ``_is_val``."""
+    validation rows, the latter flagged by ``_is_val``: the trees stop early by
+    them, the linear learners choose their penalty."""
     if learner == "gbt":
         est = GBTClassifier(labelCol=label, featuresCol="features", maxIter=cfg.max_iter, maxDepth=cfg.max_depth,
                             stepSize=cfg.step_size, seed=cfg.seed, validationIndicatorCol=VAL_COL)
         data = train_val
     else:
-        est = LogisticRegression(labelCol=label, featuresCol="features", maxIter=cfg.max_iter)
-        data = train_val.filter(~F.col(VAL_COL))
+        p = vector_to_array("probability")[F.col(label).cast("int")]
+        return _best_linear(train_val, features, cfg, -F.log(F.greatest(p, F.lit(1e-15))), lambda reg: LogisticRegression(
+            labelCol=label, featuresCol="features", maxIter=cfg.max_iter, regParam=reg, tol=cfg.tolerance))
     return Pipeline(stages=[_assembler(features), est]).fit(data)
 
 
+def _best_linear(train_val: DataFrame, features: Sequence[str], cfg: TrainConfig, loss, make) -> PipelineModel:
+    """The model with the least mean ``loss`` on the validation rows among the
+    penalties of ``cfg`` (the smallest of equal ones), each fitted on the training rows."""
+    train, val = train_val.filter(~F.col(VAL_COL)), train_val.filter(F.col(VAL_COL))
+    best = None
+    for reg in sorted(cfg.reg_params):
+        model = Pipeline(stages=[_assembler(features), make(reg)]).fit(train)
+        if len(cfg.reg_params) == 1:
+            return model
+        got = model.transform(val).agg(F.avg(loss)).first()[0]
+        if best is None or (got is not None and got < best[0]):
+            best = (float("inf") if got is None else got, model)
+    return best[1]
+
+
 def train_regressor(train_val: DataFrame, features: Sequence[str], label: str = C.TARGET_REGRESSION,
                     cfg: TrainConfig = TrainConfig(), learner: str = "gbt") -> PipelineModel:
     """M7: level one hour ahead, squared loss."""
@@ -55,8 +72,8 @@ def train_regressor(train_val: DataFrame, features: Sequence[str], label: str =
                            stepSize=cfg.step_size, seed=cfg.seed, validationIndicatorCol=VAL_COL)
         data = train_val
     else:
-        est = LinearRegression(labelCol=label, featuresCol="features", maxIter=cfg.max_iter)
-        data = train_val.filter(~F.col(VAL_COL))
+        return _best_linear(train_val, features, cfg, F.pow(F.col("prediction") - F.col(label), 2), lambda reg: LinearRegression(
+            labelCol=label, featuresCol="features", maxIter=cfg.max_iter, regParam=reg, tol=cfg.tolerance))
     return Pipeline(stages=[_assembler(features), est]).fit(data)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from hydroseries.plans import catalog_series  # noqa: F401
 from hydroseries.plans.registry import ORACLE, QUERIES
 
-for _mod in ("catalog_model", "catalog_raster", "catalog_learn", "catalog_stream", "catalog_extra", "catalog_guard", "catalog_history", "catalog_store"):
+for _mod in ("catalog_model", "catalog_raster", "catalog_learn", "catalog_stream", "catalog_extra", "catalog_guard", "catalog_history", "catalog_store", "catalog_live"):
     try:
         __import__(f"hydroseries.plans.{_mod}")
     except ModuleNotFoundError as e:  # modules land one by one

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroseries.config import FeatureConfig, SeriesSpec
-from hydroseries.operators import features, fill, score, split, stats, timegrid
+from hydroseries.operators import features, fill, learn, scaling, score, split, stats, timegrid
 from hydroseries.session import checkpoint_dir
+from hydroseries.sources import io
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -114,6 +115,35 @@ def persistence_scorer(level: str = "local_water_level_m", as_of: dt.datetime |
     return f
 
 
+def stored_model_scorer(spark: SparkSession, base: str, model_type: str, order: list[str], cfg: FeatureConfig,
+                        as_of: dt.datetime | None = None, threshold: float = 0.5) -> Callable[[DataFrame], DataFrame]:
+    """A scorer with the model and scaler stored under ``base`` (S5, S6): they are loaded
+    once, in the first batch; newest rows are aligned to ``order``, scaled, scored and interpreted."""
+    loaded: dict = {}
+
+    def f(df: DataFrame) -> DataFrame:
+        if not loaded:
+            loaded["model"] = learn.load_model(base, model_type)
+            loaded["scaler"] = io.load_scaler(spark, f"{base}/scaler").collect()  # one row per feature
+        keys = ["site_id", "ts"]
+        x = scaling.apply_minmax(scaling.align_columns(df, order, keep=keys), loaded["scaler"], keep=keys)
+        x = learn.score(x, loaded["model"], model_type)
+        if model_type == "classification":
+            return score.interpret_class(x.select(*keys, "prediction_score"), "prediction_score", threshold, as_of, cfg.tz)
+        return score.interpret_level(x.select(*keys, "predicted_water_level_m"), "predicted_water_level_m", cfg.flood_threshold_m, as_of, cfg.tz)
+    return f
+
+
+def score_stream(spark: SparkSession, hourly: DataFrame, cols: list[str], window_hours: int, cfg: FeatureConfig,
+                 spec: SeriesSpec, scorer: Callable[[DataFrame], DataFrame], base: str) -> str:
+    """T2 over a stream of sealed hours (of one feed, ``hourly_stream``, or several, ``combine.combined_hourly_stream``),
+    run to completion on what is available; returns the prediction path."""
+    fn = scoring_batch(spark, f"{base}/hourly", f"{base}/predictions", cols, window_hours, cfg, spec, scorer)
+    (hourly.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/checkpoint")
+           .trigger(availableNow=True).start().awaitTermination())
+    return f"{base}/predictions"
+
+
 def stream_score(spark: SparkSession, stream: DataFrame, aggs: dict[str, Column], key: Column,
                  cols: list[str], window_hours: int = 30, cfg: FeatureConfig | None = None,
                  spec: SeriesSpec = SeriesSpec(), scorer: Callable[[DataFrame], DataFrame] | None = None,
@@ -122,11 +152,7 @@ def stream_score(spark: SparkSession, stream: DataFrame, aggs: dict[str, Column]
     base = base or scratch(spark, "score")
     cfg = cfg or FeatureConfig(lag_features=tuple(c for c in cols if c != "humidity"), require_target=False)
     hourly = hourly_stream(stream, aggs, key, late=late)
-    fn = scoring_batch(spark, f"{base}/hourly", f"{base}/predictions", cols, window_hours, cfg, spec,
-                       scorer or persistence_scorer())
-    (hourly.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/checkpoint")
-           .trigger(availableNow=True).start().awaitTermination())
-    return f"{base}/predictions"
+    return score_stream(spark, hourly, cols, window_hours, cfg, spec, scorer or persistence_scorer(), base)
 
 
 PREDICTION_SCHEMA = T.StructType([
