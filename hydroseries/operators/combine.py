@@ -110,10 +110,9 @@ def combine_sources(grid: DataFrame, sources: Sequence[tuple[str, DataFrame, dic
         merges.append((how, value))
     per_hour = _per_hour(frames, aggs, spec)
     if forward:
-        # the chunk summaries need the sparse sources and the keys of the grid only
+        # the chunk summaries need the sparse sources only; past a source's ends nothing of it is attached
         some = {x for f in sparse for x in f.columns}
-        keys = grid.select(*spec.keys, spec.ts)
-        summary = _per_hour([keys, *sparse], {n: a for n, a in aggs.items() if n in some}, spec)
+        summary = _per_hour(sparse, {n: a for n, a in aggs.items() if n in some}, spec)
         per_hour = carry_both(per_hour, spec, forward, backward, summary)
     values = {c: F.col(f"_g_{c}") for c in grid_cols}
     for how, value in merges:

@@ -9,6 +9,7 @@ one hour ahead out.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from hydroseries import config as C
 from hydroseries.config import TrainConfig
 from hydroseries.operators import evaluate, scaling
 from hydroseries.operators.split import time_split
-from hydroseries.session import materialize
+from hydroseries.session import materialize, scratch_path
 
 VAL_COL = "_is_val"
 
@@ -55,7 +56,7 @@ def _best_linear(train_val: DataFrame, features: Sequence[str], cfg: TrainConfig
     train, val = train_val.filter(~F.col(VAL_COL)), train_val.filter(F.col(VAL_COL))
     best = None
     for reg in sorted(cfg.reg_params):
-        model = Pipeline(stages=[_assembler(features), make(reg)]).fit(train)
+        model = _without_summary(Pipeline(stages=[_assembler(features), make(reg)]).fit(train), train)
         if len(cfg.reg_params) == 1:
             return model
         got = model.transform(val).agg(F.avg(loss)).first()[0]
@@ -64,6 +65,14 @@ def _best_linear(train_val: DataFrame, features: Sequence[str], cfg: TrainConfig
     return best[1]
 
 
+def _without_summary(model: PipelineModel, df: DataFrame) -> PipelineModel:
+    """The model without its training summary, by way of storage.  A summary holds the session, and the session
+    cannot be shipped to executors once an ``Observation`` was used in it."""
+    path = scratch_path(df.sparkSession, f"model-{uuid.uuid4().hex}")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
 def train_regressor(train_val: DataFrame, features: Sequence[str], label: str = C.TARGET_REGRESSION,
                     cfg: TrainConfig = TrainConfig(), learner: str = "gbt") -> PipelineModel:
     """M7: level one hour ahead, squared loss."""

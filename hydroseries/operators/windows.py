@@ -130,7 +130,7 @@ def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
     The input is read twice (window and summary); callers that feed an
     expensive plan should materialize it first (``session.materialize``), or give
     ``summary_rows``: a smaller table that holds every row whose values are not all
-    null and some row of every chunk.
+    null.  Rows in chunks before its first or after its last one get nothing carried.
     """
     names = [("f", n, e) for n, e in forward.items()] + [("b", n, e) for n, e in backward.items()]
     if not names:
@@ -157,6 +157,11 @@ def carry_both(df: DataFrame, spec: SeriesSpec, forward: dict[str, Column],
         (F.max_by if d == "f" else F.min_by)(
             F.col(tmp[(d, n)]), F.when(F.col(tmp[(d, n)]).isNotNull(), F.col(spec.ts))).alias(tmp[(d, n)])
         for d, n, _ in names])
+    if summary_rows is not None:  # chunks between those with values get empty rows, to take what is carried over them
+        following = F.lead(CHUNK).over(Window.partitionBy(*spec.keys).orderBy(CHUNK))
+        gap = (summary.withColumn("_next", following)
+               .withColumn("_gap", F.explode(F.sequence(CHUNK, F.coalesce(F.col("_next") - 1, F.col(CHUNK))))))
+        summary = gap.select(*spec.keys, F.col("_gap").alias(CHUNK), *[F.when(F.col("_gap") == F.col(CHUNK), F.col(c)).alias(c) for c in tmp.values()])
     cf = Window.partitionBy(*spec.keys).orderBy(F.col(CHUNK).asc()).rowsBetween(Window.unboundedPreceding, -1)
     cb = Window.partitionBy(*spec.keys).orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     cc = {k: f"_cc_{i}" for i, k in enumerate(tmp)}

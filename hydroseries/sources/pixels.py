@@ -16,7 +16,7 @@ BITS = 16  # per axis
 
 
 def z_order(lon: Column, lat: Column) -> Column:
-    """Bits of the quantised longitude and latitude, interleaved (a null position sorts first)."""
+    """Bits of the quantised longitude and latitude, interleaved (null for a null position, which sorts first)."""
     span = 2 ** BITS
     q = lambda x, low, width: F.least(F.greatest(F.floor((x - low) / width * span), F.lit(0)), F.lit(span - 1)).cast("long")
     east, north = q(lon, -180.0, 360.0), q(lat, -90.0, 180.0)
@@ -25,7 +25,8 @@ def z_order(lon: Column, lat: Column) -> Column:
         for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
             v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
         return v
-    return spread(east).bitwiseOR(F.shiftleft(spread(north), 1))
+    known = lon.isNotNull() & lat.isNotNull()
+    return F.when(known, spread(east).bitwiseOR(F.shiftleft(spread(north), 1)))
 
 
 def write_pixels(pixels: DataFrame, scenes: DataFrame, path: str, rows_per_group: int | None = None) -> None:
