@@ -4,15 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from hydroseries.llm import (ann, bagminhash, chat, cnn, common, decon, graph, html, lattice, neardup, pagetree, passages, repair, secrets,
-                             shingle, toxic, turns, variants, warc)
-from hydroseries.llm.common import read_table, ship_by_value
+from hydroseries.llm import ann, chat, cnn, decon, html, neardup, passages, repair, secrets, toxic, variants, warc
+from hydroseries.llm.common import read_table, remove_at_end
 from hydroseries.llm.mix import mix
 from hydroseries.session import scratch_path
 
-ship_by_value(ann, bagminhash, cnn, common, decon, graph, html, lattice, neardup, pagetree, passages, repair, shingle, toxic, turns, warc)
-
-
 def op1_mix(spark, sf_dir):
     """All documents, sources weighed 5, 2, 1, repeating, 150 % of all sizes, at most 2 copies."""
     return (mix(read_table(spark, sf_dir, "documents"))
@@ -67,7 +63,9 @@ def op9_decontamination(spark, sf_dir):
 
 def op10_warc(spark, sf_dir):
     """Archives of all pages, read back record by record."""
-    back = warc.round_trip(read_table(spark, sf_dir, "pages"), scratch_path(spark, f"warc-{uuid.uuid4().hex}"))
+    folder = scratch_path(spark, f"warc-{uuid.uuid4().hex}")
+    back = warc.round_trip(read_table(spark, sf_dir, "pages"), folder)
+    remove_at_end(spark, folder)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +24,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"cut-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    remove_at_end(spark, path)
     got = spark.read.schema(df.schema).parquet(path)
     got._cut_path = path
     return got
@@ -35,22 +35,25 @@ def discard(df: DataFrame) -> None:
     remove_folder(df.sparkSession, df._cut_path)
 
 
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own when the application ends (its file system is closed)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Deletes a scratch folder of our own through the cluster's file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship_by_value(*modules) -> None:
-    """Pickle the functions of these modules by value, so that executors need
-    not be able to import this package."""
-    for m in modules:
-        cloudpickle.register_pickle_by_value(m)
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of texts to Python workers; a batch of long texts must fit in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batch, rows: int = 512, size: int = 4 << 20):
+    """Pieces of an Arrow batch of at most ``rows`` rows and about ``size`` bytes (one row at least), so that what
+    Python holds at once does not follow the session's batch size."""
+    per_row = max(1, batch.nbytes // max(1, batch.num_rows))
+    step = max(1, min(rows, size // per_row))
+    for k in range(0, batch.num_rows, step):
+        yield batch.slice(k, step)
 
 
 def with_column(df: DataFrame, name: str, kind: T.DataType, start, inputs: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -61,12 +64,11 @@ def with_column(df: DataFrame, name: str, kind: T.DataType, start, inputs: list[
     exact; only ``keep`` (all by default) is returned."""
     df = df.drop(name)
     keep = list(keep) if keep is not None else df.columns
-    small_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa
         fn = start()
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole)):
             got = pa.array(fn(*[b.column(b.schema.get_field_index(c)).to_pylist() for c in inputs]), type=arrow)
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], got], [*keep, name])
 
@@ -75,6 +77,19 @@ def with_column(df: DataFrame, name: str, kind: T.DataType, start, inputs: list[
     return df.mapInArrow(run, schema)
 
 
+def packed(docs: DataFrame, known: list[str]) -> tuple[DataFrame, str]:
+    """``docs`` with only the ``known`` columns in sight; all others ride in one struct whose
+    name no caller uses (returned), so an operator's own names cannot clash with theirs."""
+    name = f"_rest_{uuid.uuid4().hex}"
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in known]
+    return docs.select(*[c for c in docs.columns if c in known], F.struct(*rest, F.lit(True).alias(name)).alias(name)), name
+
+
+def unpacked(df: DataFrame, name: str, columns: list[str], known: list[str]) -> DataFrame:
+    """The caller's ``columns`` in their order."""
+    return df.select(*[F.col(c) if c in known else F.col(f"{name}.`{c}`") for c in columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -90,18 +90,21 @@ def sign(texts: list[str], k: int) -> list[dict]:
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    base = docs.select("doc_id", text_or_empty().alias("_text"))
-    got = with_column(base, "s", SIGNED, lambda: lambda texts: sign(texts, k), ["_text"], ["doc_id"])
-    return got.select("doc_id", "s.k1", "s.k2", "s.size", "s.keys", "s.sketch")
+    base = docs.select("doc_id", text_or_empty().alias("_text")).withColumn("mark", F.xxhash64("_text"))
+    got = with_column(base, "s", SIGNED, lambda: lambda texts: sign(texts, k), ["_text"], ["doc_id", "mark"])
+    return got.select("doc_id", "mark", "s.k1", "s.k2", "s.size", "s.keys", "s.sketch")
 
 
 def node_bags(docs: DataFrame, nodes: DataFrame, k: int, max_broadcast_rows: int = 100_000) -> DataFrame:
-    """node, size, bag of the nodes (node, k1, k2, first, size): the packed
-    shingles of the row that names the class."""
+    """node, size, bag of the nodes (node, k1, k2, rep, size): the packed
+    shingles of the text that stands for the node, found by id and by a hash of the text, so
+    that null and repeated ids bring no other texts along; equal rows count once."""
     few = nodes.count() <= max_broadcast_rows
-    want = nodes.select("node", "k1", "k2", "size", F.col("first").alias("_first"))
-    met = (docs.select("doc_id", text_or_empty().alias("text"))
-           .join(F.broadcast(want) if few else want, F.col("doc_id").eqNullSafe(F.col("_first"))))
+    want = nodes.select("node", "k1", "k2", "size", F.col("rep.doc_id").alias("_first"), F.col("rep.mark").alias("_mark"))
+    here = docs.select("doc_id", text_or_empty().alias("text"))
+    met = here.withColumn("mark", F.xxhash64("text")).join(
+        F.broadcast(want) if few else want, F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col("mark") == F.col("_mark")))
+    met = met.groupBy("node", "size", "k1", "k2", "mark", "text").agg(F.lit(1).alias("_one"))
 
     def start():
         def bags(texts, k1, k2):
@@ -109,7 +112,7 @@ def node_bags(docs: DataFrame, nodes: DataFrame, k: int, max_broadcast_rows: int
             for a, e in shingle.blocks(texts):
                 h, doc, _, _ = shingle.words(texts[a:e])
                 x, y, _ = shingle.sequence_keys(h, doc, e - a)
-                # a doc_id may have other texts: only the one whose words have the node's key counts
+                # texts of one hash are told apart by the node's keys
                 got += [shingle.pack(shingle.bag_of(t, k)) if int(p) == q and int(r) == s else None
                         for t, p, q, r, s in zip(texts[a:e], x, k1[a:e], y, k2[a:e])]
             return got
@@ -187,7 +190,8 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16
     equal words), k1, k2 (keys of the words), comp (names the class, also of rows
     that share a doc_id or have none); one row per input row."""
     s = cut(signed(docs, k))
-    exact = s.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.max("size").alias("size"),
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")  # a null id stands after all others
+    exact = s.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.min(rep).alias("rep"), F.count("*").alias("copies"), F.max("size").alias("size"),
                                       F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     exact = cut(exact.withColumn("node", F.monotonically_increasing_id()))  # fixed, as it is written
     rows = exact.select("node", F.explode("keys").alias("key"))
@@ -195,7 +199,7 @@ def classes(docs: DataFrame, k: int = 5, threshold: float = 0.8, small: int = 16
     members = cut(rows.join(crowded, "key").select("key", "node", "n"))
     # a node that meets many others leads first: the original of a group of copies is near to most of them
     weight = members.groupBy("node").agg(F.sum("n").alias("met"))
-    bags = cut(node_bags(docs, exact.join(weight, "node").select("node", "k1", "k2", "first", "size"), k))
+    bags = cut(node_bags(docs, exact.join(weight, "node").select("node", "k1", "k2", "rep", "size"), k))
     best = (members.join(weight, "node").groupBy("key")
             .agg(F.max(F.struct(F.col("met"), (-F.col("node")).alias("minus"))).alias("best")))
     pairs = (members.join(best.select("key", (-F.col("best.minus")).alias("lead")), "key").where("node <> lead")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroseries.llm import shingle
-from hydroseries.llm.common import cut, small_batches, text_or_empty
+from hydroseries.llm.common import cut, slices, text_or_empty
 
 GRAM, SPAN = 3, 16
 AT = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("sure", T.BooleanType())]))
@@ -55,11 +55,9 @@ def running(h: np.ndarray):
 
 def anchored(texts: DataFrame, min_words: int) -> DataFrame:
     """key, span (hashes), t, pos (first window), n (windows) of the anchors of each text (t, text)."""
-    small_batches(texts.sparkSession)
-
     def run(batches):
         import pyarrow as pa
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole)):
             ts = np.array(b.column(b.schema.get_field_index("t")).to_pylist(), dtype=np.int64)
             raw = b.column(b.schema.get_field_index("text")).to_pylist()
             for a, e in shingle.blocks(raw):

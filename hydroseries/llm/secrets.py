@@ -82,29 +82,28 @@ def _symbols(token):
 
 
 def _bigram_counts(tokens: DataFrame) -> dict[int, int]:
-    """Counts of (symbol, next symbol); at most (alphabet + 1)^2 rows come back."""
+    """Counts of (symbol, next symbol); at most (alphabet + 1)^2 rows come back.  Equal tokens are counted first."""
     k = OTHER + 1
-    s = tokens.select(_symbols(F.col("token")).alias("s"))
+    s = tokens.groupBy("token").agg(F.count("*").alias("n")).select(_symbols(F.col("token")).alias("s"), "n")
     code = F.transform(F.sequence(F.lit(2), F.size("s")), lambda i: F.element_at(F.col("s"), i - 1) * k + F.element_at(F.col("s"), i))
-    got = s.where(F.size("s") >= 2).select(F.explode(code).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    got = s.where(F.size("s") >= 2).select(F.explode(code).alias("c"), "n").groupBy("c").agg(F.sum("n").alias("n"))
     return {int(r["c"]): int(r["n"]) for r in got.collect()}
 
 
 def train(docs: DataFrame, max_docs: int = 4000) -> list[float] | None:
     """Log-likelihood ratio (random over ordinary) of each bigram, as a flat table.
 
-    The labelled sample is bounded: the ``max_docs`` documents of the smallest
-    hash of doc_id give ordinary tokens, the ``max_docs`` of the smallest hash
-    among those with a base match give random strings."""
+    Ordinary tokens are those of all documents, without their base matches.  The sample of random
+    strings, which the base patterns label, is bounded: it comes from the ``max_docs``
+    documents of the smallest hash of doc_id among those with a base match."""
     texts = docs.select("doc_id", text_or_empty().alias("text"))
     hit = F.regexp_extract("text", f"{ASSIGN}|{ACCESS}|{HEX}", 0) != ""
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     # ids first (bounded by max_docs), then their texts
-    some = docs.select("doc_id").distinct().orderBy(*by_hash).limit(max_docs)
     hits = texts.where(hit).select("doc_id").distinct().orderBy(*by_hash).limit(max_docs)
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = (texts.join(F.broadcast(some), "doc_id", "left_semi")
-                .select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("token")))
+    plain = F.when(hit, plain).otherwise(F.col("text"))
+    ordinary = texts.select(F.explode(F.regexp_extract_all(plain, F.lit(WORD), F.lit(0))).alias("token"))
     values = F.concat(F.transform("assign", lambda m: F.regexp_extract(m["value"], ASSIGN, 2)),
                       F.transform("access", lambda m: m["value"]), F.transform("hex", lambda m: m["value"]))
     random = base_spans(texts.join(F.broadcast(hits), "doc_id", "left_semi")).select(F.explode(values).alias("token"))

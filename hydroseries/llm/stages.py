@@ -1,26 +1,36 @@
 """Stages of ``corpus_pipeline``: (spark, docs, sf_dir) -> DataFrame.
 
-All but the last return the columns of ``documents``.  Rows whose text is null
-are read as empty by each operator; an empty table passes as one."""
+All but the last return the columns of ``documents``, whatever they are called: an operator
+sees the columns it knows only, the caller's others ride beside them in a struct of
+an unused name and come back unchanged.  Rows whose text is null
+are read as empty by each operator; repeated rows are rows of their own; an empty table passes as one."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from hydroseries.llm import cnn, decon, neardup, secrets
-from hydroseries.llm.common import cut, read_table, text_or_empty, with_column
+from hydroseries.llm.common import cut, packed, read_table, text_or_empty, unpacked, with_column
 from hydroseries.llm.mix import mix
 
+KNOWN = ["doc_id", "text"]
+
 
 def good_quality(spark, docs, sf_dir):
     """Drops documents that the classifier rejects (score under 0.5)."""
     model = cnn.fit(docs, read_table(spark, sf_dir, "labels"))
-    return cnn.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    seen, rest = packed(docs, KNOWN)
+    return unpacked(cnn.classify(seen, model).where("predicted = 1"), rest, docs.columns, KNOWN)
 
 
 def one_of_each(spark, docs, sf_dir, max_broadcast_rows: int = 200_000):
     """Keeps one row of each near-duplicate class: that of the smallest doc_id
     (a null one after all others), of several the one of the smallest keys of its words, of rows equal in both any one."""
+    seen, rest = packed(docs, KNOWN)
+    return unpacked(_one_of_each(seen, max_broadcast_rows), rest, docs.columns, KNOWN)
+
+
+def _one_of_each(docs, max_broadcast_rows):
     found = cut(neardup.classes(docs).select("doc_id", "k1", "k2", "comp"))
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
     best = cut(found.groupBy("comp").agg(F.min(row).alias("best")).select("comp", "best.doc_id", "best.k1", "best.k2"))
@@ -44,13 +54,16 @@ def one_of_each(spark, docs, sf_dir, max_broadcast_rows: int = 200_000):
 
 def decontaminate(spark, docs, sf_dir):
     """Drops documents that hold a benchmark passage."""
-    found = decon.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    seen, rest = packed(docs, KNOWN)
+    found = decon.contaminated(seen, read_table(spark, sf_dir, "benchmark"))
+    return unpacked(found.where(F.size("hits") == 0), rest, docs.columns, KNOWN)
 
 
 def redact_secrets(spark, docs, sf_dir):
     """Replaces every secret by a mark; other texts stay as they are."""
-    return secrets.redact(secrets.scan(docs, secrets.train(docs))).select(*docs.columns)
+    known = [*KNOWN, "n_chars"]
+    seen, rest = packed(docs, known)
+    return unpacked(secrets.redact(secrets.scan(seen, secrets.train(docs))), rest, docs.columns, known)
 
 
 def mix_sources(spark, docs, sf_dir):

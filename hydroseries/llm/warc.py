@@ -28,7 +28,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.llm.common import cut, remove_folder, small_batches
+from hydroseries.llm.common import cut, remove_folder, slices
 
 PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"  # the pages carry no date of their own
@@ -84,11 +84,18 @@ def records(pieces):
 
 
 def inflate(file):
-    z = zlib.decompressobj(31)
+    """The inflated bytes of all members of a gzip file, one after another (zeros may pad members)."""
+    z = None
     while data := file.read(PIECE):
-        yield z.decompress(data)
-    yield z.flush()
-    if not z.eof:
+        while data:
+            if z is None:
+                data = data.lstrip(b"\0")
+                if not data:
+                    break
+                z = zlib.decompressobj(31)
+            yield z.decompress(data)
+            data, z = z.unused_data, None if z.eof else z
+    if z is not None:
         raise ValueError("the archive is cut off")
 
 
@@ -108,8 +115,6 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000, max_broadcast_rows: i
 
 def write_archives(payloads: DataFrame, folder: str, archive_bytes: int = 64 << 20) -> DataFrame:
     """Writes one-stream archives of about ``archive_bytes`` inflated bytes; returns ``archive``, ``records``."""
-    small_batches(payloads.sparkSession)
-
     def run(batches):
         import pyarrow as pa
         fs, root = _fs(folder)
@@ -123,7 +128,7 @@ def write_archives(payloads: DataFrame, folder: str, archive_bytes: int = 64 <<
             out.close()
             done.append((name, n))
 
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole)):
             cols = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")]
             for row in zip(*cols):
                 if out is None:

@@ -409,6 +409,106 @@ def test_decontamination(spark):
     assert split.count() == sum(map(len, got.values()))
 
 
+def edited(item, place, seed):
+    out = list(item)
+    out[{"first": 0, "middle": len(out) // 2, "last": -1}[place]] = f"edit{seed}"
+    return out
+
+
+def test_decontamination_recall_by_size():
+    """All windows of a text, by brute force: what reaches the threshold is found, whatever the item's size and
+    the place of the changed word."""
+    sizes, r = [6, 8, 9, 12, 13, 14, 15, 16, 18, 24, 33, 48, 50, 60], random.Random(12)
+    items = {n * 100 + j: words(n, 9000 + n * 100 + j) for n in sizes for j in range(30)}
+    index = decon.Items([(i, " ".join(w)) for i, w in items.items()])
+    missed, due = collections.Counter(), collections.Counter()
+    texts, planted = [], []
+    for i, w in items.items():
+        for place in ("none", "first", "middle", "last"):
+            x = list(w) if place == "none" else edited(w, place, r.randrange(1000))
+            texts.append(" ".join(words(r.randrange(30), r.random()) + x + words(r.randrange(30), r.random())))
+            planted.append((i, place))
+    found = index.search(texts, 0.8)
+    for (i, place), text, got in zip(planted, texts, found):
+        bag = shingle.bag_of(" ".join(items[i]))
+        all_ = text.split()
+        n = len(items[i])
+        best = max(shingle.similarity(bag, shingle.bag_of(" ".join(all_[a:a + n]))) for a in range(max(1, len(all_) - n + 1)))
+        if best >= 0.8:
+            due[len(items[i])] += 1
+            missed[len(items[i])] += not any(m[0] == i and m[1] >= best - 0.2 for m in got)
+        assert all(shingle.similarity(shingle.bag_of(" ".join(items[m[0]])), shingle.bag_of(" ".join(all_[m[2]:m[3]]))) == pytest.approx(m[1]) for m in got)
+    assert set(due) == set(sizes)
+    assert {n: missed[n] / due[n] for n in sizes if missed[n] > 0.01 * due[n]} == {}
+
+
+def test_decontamination_returns_every_occurrence(spark):
+    item = words(20, 77)
+    text = " ".join(words(7, 1) + item + words(5, 2) + item + item)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(words(20, 78)))], "item_id long, text string")
+    got = decon.matches(docs(spark, [text]), bench).orderBy("start").collect()
+    assert [(r["item_id"], r["start"], r["end"]) for r in got] == [(1, 7, 27), (1, 32, 52), (1, 52, 72)]
+    assert decon.matches(docs(spark, [text]), bench, item_rows=1).count() == 3
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _text string, score double, predicted string, held_out long, hits string, found string, markov string, hex string, assign string, access string, _id string, _mark string, _rest string"
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_keep_any_columns_and_rows(spark, stage):
+    """Null and empty texts, null and repeated ids, repeated rows, an empty table, clashing names."""
+    texts = ["Clean words stand here. They go on.", None, "", "Clean words stand here. They go on.", "token=abcDEF123456 " + " ".join(words(30, 3)), " ".join(words(30, 4))]
+    rows = [(i if i != 1 else None, t, "en", None if i == 2 else "s1", i, *[f"c{k}" if k != 1 and k != 3 else (0.5 if k == 1 else 7) for k in range(13)])
+            for i, t in enumerate(texts + texts[:2])]
+    rows = [tuple(r) for r in rows] + [(4, texts[4], "en", "s1", 4, *rows[4][5:])]
+    d = spark.createDataFrame(rows, CLASH)
+    sf = "/root/testdata/sf0.001"
+    f = corpus_pipeline.STAGES[stage][1]
+    out = f(spark, d, sf)
+    got = out.collect()
+    empty = f(spark, d.limit(0), sf)
+    assert empty.count() == 0
+    if stage == 4:
+        assert len(got) == len(rows)
+        return
+    assert out.columns == d.columns and empty.columns == d.columns
+    own = collections.Counter(map(str, map(tuple, d.collect())))
+    if stage == 3:
+        assert len(got) == len(rows) and not any("abcDEF" in (r["text"] or "") for r in got)
+        assert collections.Counter(str(tuple(r)) for r in got if "[SECRET]" not in (r["text"] or "")) == collections.Counter(
+            str(tuple(r)) for r in d.collect() if "token" not in (r["text"] or ""))
+    else:
+        assert not collections.Counter(map(str, map(tuple, got))) - own
+    if stage == 1:
+        assert sorted(str(r["text"] or "") for r in got) == sorted({t or "" for t in texts})
+
+
+def test_null_ids_bring_their_own_texts_only(spark):
+    """600 documents without an id: as many texts go to Python for the bags as there are nodes."""
+    base = words(60, 5)
+    texts = [" ".join(base[:40] + words(3, i)) for i in range(600)]
+    d = docs(spark, texts, ids=[None] * 600)
+    s = neardup.signed(d, 5)
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    nodes = s.groupBy("k1", "k2").agg(F.min(rep).alias("rep"), F.max("size").alias("size")).withColumn("node", F.monotonically_increasing_id())
+    nodes = nodes.checkpoint()
+    bags = neardup.node_bags(d, nodes, 5)
+    plan = bags._jdf.queryExecution().optimizedPlan().toString()
+    assert bags.count() == 600 and "mark" in plan
+    met = neardup.classes(d).select("class_id", "class_size").distinct().collect()
+    assert [(r["class_id"], r["class_size"]) for r in met] == [(None, 600)]
+
+
+def test_inflate_reads_every_member():
+    import gzip
+    import io as files
+    parts = [b"a" * 100_000, b"", b"WARC/1.1\r\n" * 50]
+    data = b"".join(gzip.compress(p) for p in parts)
+    assert b"".join(warc.inflate(files.BytesIO(data + b"\0" * 20))) == b"".join(parts)
+    with pytest.raises(ValueError):
+        list(warc.inflate(files.BytesIO(data[:-10])))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "x" * 2000
     rows = [(1, "http://a/1", big), (2, "http://a/2\r\nEvil: 1", big), (3, None, big), (3, "http://a/3", big), (None, "u", big), (4, "u", "small"),
@@ -430,7 +530,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_catalog_and_pipeline(spark, tmp_path):
-    assert sorted(int(q[2:].split("_")[0]) for q in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in catalog.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "neardup", "decontaminate", "secrets", "mix"]
     sf = "/root/testdata/sf0.001"
     d = spark.read.parquet(f"{sf}/documents.parquet")
