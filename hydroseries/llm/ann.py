@@ -5,9 +5,10 @@ is all that a result of k can name).  The distinct vectors are dealt by hash int
 shards of about ``shard_rows``; each shard builds its graph in one task and the
 graphs are cut.  Clumps of near copies enter a graph as one leader each, and a
 search that finds the leader looks at all of them.  The stated queries, in blocks of ``block_rows``, meet every
-shard; each cell (shard, block) is one task of bounded size that beam-searches
-the graph and scores what it found on the original vectors in double precision.
-The best of all shards are merged.
+shard, up to ``pack`` shards at a time: a cell (pack of shards, block) is one task of bounded size that takes its block
+through one graph after another, scores what it found on the original vectors in double precision and keeps the
+best.  So the index is copied once a block and a query once a pack; packs are smaller only where there would be
+fewer of them than cores, which changes no result.  The best of all cells are merged.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do rows without a vec_id; rows that repeat a vec_id and
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroseries.llm import graph
-from hydroseries.llm.common import cut
+from hydroseries.llm.common import cut, shuffle_partitions
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
@@ -56,8 +57,8 @@ def _top(ids: list[list[int]], scores: np.ndarray, k: int) -> list[tuple[int, fl
     return sorted(set(got), key=lambda t: (-t[1], t[0]))[:k]
 
 
-def search_all(rows: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4096, block_rows: int = 2048, degree: int = 32,
-               beam: int = 64, query_beam: int = 96) -> DataFrame:
+def search_all(rows: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4096, block_rows: int = 16_384, degree: int = 32,
+               beam: int = 64, query_beam: int = 96, pack: int = 16) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     # the key of a vector: two hashes, so equal vectors meet without shipping them twice
     v = (valid_vectors(rows).withColumn("dim", F.size("v"))
@@ -69,6 +70,9 @@ def search_all(rows: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4
     ask = once.where(F.col("vec_id") % every == 0)
     n, nq = reps.count(), ask.groupBy("k1", "k2", "dim").agg(F.lit(1).alias("one")).count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
+    cores = shuffle_partitions(rows.sparkSession)
+    pack = max(1, min(pack, shards * blocks // cores))
+    packs = -(-shards // pack)
 
     def make(key, pdf):
         pdf = pdf.sort_values(["k1", "k2"]).reset_index(drop=True)
@@ -89,6 +93,16 @@ def search_all(rows: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4
         cols = ["k1", "k2", "dim", "vec_id", "score"]
         if not len(nodes) or not len(asked):
             return pd.DataFrame({c: [] for c in cols})
+        keys = list(zip(asked["k1"], asked["k2"], asked["dim"]))
+        best: list[list] = [[] for _ in keys]
+        for _, one in nodes.groupby("shard"):
+            for had, new in zip(best, through(one, asked)):
+                had += new
+        out = [(*key, i, s) for key, found in zip(keys, best) for i, s in sorted(set(found), key=lambda t: (-t[1], t[0]))[:k + 1]]
+        return pd.DataFrame(out, columns=cols)
+
+    def through(nodes, asked):
+        """Per query its best of one shard: (vec_id, score)."""
         nodes = nodes.sort_values("node")
         raw, ids = np.stack(nodes["v"].to_numpy()), [list(x) for x in nodes["ids"]]
         x, n_own = _unit(raw), len(nodes)
@@ -97,7 +111,6 @@ def search_all(rows: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4
             nbr[i, :len(r)] = r
         q_raw = np.stack(asked["v"].to_numpy())
         q, start, out = _unit(q_raw), int(nodes["start"].iloc[0]), []
-        keys = list(zip(asked["k1"], asked["k2"], asked["dim"]))
         lead = nodes["lead"].to_numpy()
         by_lead = np.argsort(lead, kind="stable")
         begin, end = np.searchsorted(lead[by_lead], np.arange(n_own)), np.searchsorted(lead[by_lead], np.arange(n_own), "right")
@@ -109,15 +122,14 @@ def search_all(rows: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4
             for j, row in enumerate(found):
                 if n_own > query_beam:
                     row = np.concatenate([by_lead[begin[i]:end[i]] for i in row[row >= 0][:4 * (k + 1)]])
-                top = _top([ids[i] for i in row], cosine(q_raw[at + j], raw[row]), k + 1)
-                out.extend((*keys[at + j], i, s) for i, s in top)
-        return pd.DataFrame(out, columns=cols)
+                out.append(_top([ids[i] for i in row], cosine(q_raw[at + j], raw[row]), k + 1))
+        return out
 
     queries = (ask.groupBy("k1", "k2", "dim").agg(F.first("v").alias("v"))
                .withColumn("block", F.pmod("k2", F.lit(blocks)).cast("int"))
-               .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    cells = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = (cells.groupBy("shard", "dim", "block").cogroup(queries.groupBy("shard", "dim", "block"))
+               .withColumn("pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1)))))
+    cells = index.withColumn("pack", F.floor(F.col("shard") / pack).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = (cells.groupBy("pack", "dim", "block").cogroup(queries.groupBy("pack", "dim", "block"))
            .applyInPandas(find, "k1 long, k2 long, dim int, vec_id long, score double"))
     # per distinct query vector the best k + 1 of all shards; a query then leaves out its own id
     best = F.row_number().over(Window.partitionBy("k1", "k2", "dim").orderBy(F.desc("score"), "vec_id"))

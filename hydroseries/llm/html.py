@@ -2,7 +2,9 @@
 
 Every block element's subtree of every page is hashed; Spark counts per host on
 how many pages with different main text a hash occurs; subtrees recurring across many
-pages of their host are deleted.  Elements whose name, role or class names
+pages of their host are deleted: containers (lists, tables, sections, boxes) from ``min_pages`` pages on, paragraphs
+and headings, which pages may quote, from ``min_text_pages`` on.  Both are numbers of pages, whatever the host's
+size, so more pages of a host never bring a subtree back.  Elements whose name, role or class names
 boilerplate go on any page, also on hosts of one page.  In a marked article
 (``article``, ``main``) recurrence removes containers; its paragraphs and
 headings stay, because other pages may quote them.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroseries.llm.common import cut, with_column
-from hydroseries.llm.pagetree import BLOCK, Page
+from hydroseries.llm.pagetree import BLOCK, TEXT_BLOCK, Page
 
 
 def host_of(url="url"):
@@ -31,7 +33,7 @@ def host_of(url="url"):
 
 def subtrees(pages: DataFrame) -> DataFrame:
     """Distinct block subtrees of each page: host, k1, k2 (page), main (hash of its
-    main text), hash, open (whether recurrence would remove it)."""
+    main text), hash, open (whether recurrence would remove it), words (whether as a text block)."""
     def run(batches):
         for pdf in batches:
             out = []
@@ -42,29 +44,32 @@ def subtrees(pages: DataFrame) -> DataFrame:
                 got = {}
                 for i in range(1, len(hs)):
                     if page.tag[i] in BLOCK and page.tag[i] not in ("html", "body", "head"):
-                        got[hs[i]] = got.get(hs[i], False) or (page.open_to_count(i) and not page.dropped[i])
-                out.extend((host, k1, k2, main, h, o) for h, o in got.items())
-            yield pd.DataFrame(out, columns=["host", "k1", "k2", "main", "hash", "open"])
+                        got[hs[i]] = (got.get(hs[i], (False,))[0] or (page.open_to_count(i) and not page.dropped[i]), page.tag[i] in TEXT_BLOCK)
+                out.extend((host, k1, k2, main, h, *o) for h, o in got.items())
+            yield pd.DataFrame(out, columns=["host", "k1", "k2", "main", "hash", "open", "words"])
 
-    return pages.select("host", "k1", "k2", "html").mapInPandas(run, "host string, k1 long, k2 long, main long, hash long, open boolean")
+    return pages.select("host", "k1", "k2", "html").mapInPandas(run, "host string, k1 long, k2 long, main long, hash long, open boolean, words boolean")
+
+
+def recurring(found: DataFrame, min_pages: int, min_text_pages: int) -> DataFrame:
+    """host, hash of the subtrees on enough pages with different main text."""
+    pairs = found.groupBy("host", "hash", "main").agg(F.max("open").alias("open"), F.max("words").alias("words"))
+    counts = pairs.groupBy("host", "hash").agg(F.count("*").alias("pages"), F.max("open").alias("open"), F.max("words").alias("words"))
+    enough = F.col("pages") >= F.when(F.col("words"), F.lit(min_text_pages)).otherwise(F.lit(min_pages))
+    return counts.where(F.col("open") & enough).select("host", "hash")
 
 
 def hash_text(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def extract(pages: DataFrame, min_pages: int = 3, min_share: float = 0.05, max_broadcast_rows: int = 100_000) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 3, min_text_pages: int = 10, max_broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars per row of pages (page_id, url, html)."""
     # the key of a page is its content, so a recomputed partition gives the same keys
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of())
     p = p.withColumn("k1", F.xxhash64("url", "html")).withColumn("k2", F.xxhash64(F.lit(1), "html", "url"))
     found = cut(subtrees(p))
-    pairs = found.groupBy("host", "hash", "main").agg(F.max("open").alias("open"))
-    counts = pairs.groupBy("host", "hash").agg(F.count("*").alias("pages"), F.max("open").alias("open"))
-    per_host = found.groupBy("host", "main").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_pages"))
-    recurring = (counts.where(F.col("open") & (F.col("pages") >= min_pages)).join(per_host, "host")
-                 .where(F.col("pages") >= F.col("host_pages") * F.lit(min_share)).select("host", "hash"))
-    lists = (found.where("open").join(recurring, ["host", "hash"], "left_semi")
+    lists = (found.where("open").join(recurring(found, min_pages, min_text_pages), ["host", "hash"], "left_semi")
              .groupBy("k1", "k2").agg(F.collect_set("hash").alias("removed")))  # at most the elements of one page
     lists = cut(lists)
     n = lists.agg(F.sum(F.size("removed"))).collect()[0][0] or 0

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hydroseries.llm import ann, bagminhash, catalog, cnn, components, decon, graph, html, mix, neardup, pagetree, passages, secrets, shingle, stages, toxic, warc
+from hydroseries.llm import ann, bagminhash, catalog, cnn, components, decon, graph, html, mix, neardup, pagetree, passages, secrets, shingle, stages, toxic, transducers, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _text string, hits string, score string"
 
@@ -140,14 +140,57 @@ def test_toxicity_grammar(spark):
     assert g.label("blarg")[0] == "insult" and any(f.startswith("zork") for f in g.forms)
     finder = g.automaton()
     assert all(g.score(t, finder) >= 0.5 for t in bad[80:]) and all(g.score(t, finder) < 0.5 for t in clean[250:])
-    plain, not_, said = (g.clause(t) for t in ("blarg", "not a blarg", "he said blarg"))
-    assert plain[toxic.PLAIN] and not_[toxic.NEGATED] and not not_[toxic.PLAIN] and said[toxic.REPORTED]
-    assert g.clause("you blarg")[toxic.TARGETED] and g.clause("kill you")[toxic.THREAT] and not g.clause("never kill you")[toxic.THREAT]
+    plain, not_, said = (g.clause(t) for t in ("blarg", "not a blarg", "it was said blarg"))
+    assert plain[toxic.PLAIN] and not_[toxic.DENIED] and not not_[toxic.PLAIN] and said[toxic.QUOTED] and not said[toxic.PLAIN]
+    assert g.clause("you blarg")[toxic.STRUCK] and g.clause("kill you")[toxic.MENACE] and not g.clause("never kill you")[toxic.MENACE]
     got = toxic.classify(docs(spark, EDGE), g).collect()
     assert len(got) == len(EDGE) and all(0 <= x["score"] < 0.5 for x in got)
     assert toxic.learn_forms([]) == {} and toxic.train([], {}).score("you idiot", toxic.train([], {}).automaton()) > 0.5
 
 
+def test_toxicity_machines_compose():
+    """The product machine writes, for every short clause, what the machines write one after another."""
+    import itertools
+    alphabet = ["word", "insult", "threat", "target", "negation", "report"]
+    product = transducers.compose(toxic.MACHINES)
+    for n in range(6):
+        for clause in itertools.product(alphabet, repeat=n):
+            written, weight = list(clause), 0.0
+            for machine in toxic.MACHINES:
+                written, w = machine.run(written)
+                weight += w
+            assert product.run(clause) == (written, weight)
+    run = lambda text: product.run(text.split())[0]
+    assert run("negation word insult") == ["negation", "word", "denied"] and run("negation word word word word insult")[-1] == "insult"
+    assert run("report insult word word word word word insult")[-1] == "quoted"
+    assert run("target insult target") == ["target", "aimed", "struck"] and run("threat word target")[-1] == "menace"
+    assert run("negation threat target") == ["negation", "denied", "target"] and run("report threat target")[1:] == ["quoted", "target"]
+
+
+def test_toxicity_clauses_decide():
+    """The same insult counts less denied or quoted: labelled texts that differ in that alone are told apart."""
+    r = random.Random(4)
+    fill = lambda: " ".join(words(6, r.random()))
+    say = {1: ["you are a blarg", "this blarg", "blarg", "they are blarg"], 0: ["you are not a blarg", "it was said that blarg", "never a blarg", "he wrote blarg"]}
+    sample = [(f"{fill()}. {c} {fill()}. {fill()}", y) for y in (0, 1) for c in say[y] for _ in range(60)]
+    forms = {"blarg": 4.0}
+    g = toxic.Grammar(forms, toxic.PRIOR, toxic.PRIOR_BIAS)
+    finder = g.automaton()
+    x, y = np.array([g.features(t, finder) for t, _ in sample[::2]]), np.array([float(y) for _, y in sample[::2]])
+    g.weights, g.bias = toxic.fit_weights(x, y, np.ones(len(y)))
+    held = sample[1::2]
+    assert np.mean([(g.score(t, finder) >= 0.5) == bool(y) for t, y in held]) > 0.95
+    kept = toxic.learn_forms([(f"clean words idiot {i}", 0) for i in range(50)] + [(f"mean blarg{i % 2} {i}", 1) for i in range(50)])
+    assert "moron" in kept and "idiot" not in kept  # seeds stay, but for those seen in clean texts
+
+
+def test_toxicity_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = toxic.classify(d.select("doc_id", "text"), toxic.fit(d, lab)).where("held_out").join(lab, "doc_id")
+    assert out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0] > 0.98
+
+
 PAGE = """<!DOCTYPE html><html><body><header><h1>Site</h1></header><div id="menu"><ul><li><a href=x>A</a><li><a>B</a></ul></div>
 <div class="has-sidebar"><main><article><header><h1>T &amp; x</h1><p class=by>by me</header><p>One<br>two &nbsp; three<p>para <b>bold <i>x</b> y</i>
 <ul><li>i1<li>i2</ul><div class="cookie-notice">We use</div><section id="comments"><p>c1</section><table><tr><td>a<td>b</table><pre>l1
@@ -178,6 +221,32 @@ def test_html_template_removal(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_counts_equal_brute_force_on_any_host_size(spark):
+    """The recurring subtrees, counted plainly; ten times more pages of the host leave the removals as they were."""
+    def page(i):
+        box = f"<div>Box {i % 4} of words</div>" if i < 11 else ""  # boxes 0 to 2 on three pages, box 3 on two
+        para = "<p>Line of the site</p>" if i < 12 else "<p>Rare line</p>" if i < 16 else ""
+        return f"<body>{box}<p>own text {i}</p>{para}<ul><li>A {i}</li></ul></body>"
+
+    def run(n):
+        pages = spark.createDataFrame([(i, f"https://h.example/{i}", page(i)) for i in range(n)], "page_id long, url string, html string")
+        return {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    small, large = run(40), run(400)
+    assert {i: large[i] for i in small} == small
+    seen = collections.defaultdict(set)
+    for i in range(40):
+        tree = pagetree.Page(page(i))
+        hashes = tree.hashes()
+        for k in range(1, len(hashes)):
+            if tree.open_to_count(k):
+                seen[hashes[k], tree.tag[k] in pagetree.TEXT_BLOCK].add(i)
+    gone = {h for (h, words_), on in seen.items() if len(on) >= (10 if words_ else 3)}
+    for i in range(40):
+        tree = pagetree.Page(page(i))
+        assert small[i] == tree.text(frozenset(gone), tree.hashes())
+    assert small[0] == "own text 0\nA 0" and small[3] == "Box 3 of words\nown text 3\nA 3" and small[13] == "own text 13\nRare line\nA 13"
+
+
 def test_graph_recall_and_clumps():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 24)).astype(np.float32)
@@ -368,6 +437,17 @@ def test_passages_around_a_hot_head(spark):
     assert len(want) >= 602 and got == want
 
 
+def test_passages_around_a_head_of_very_many_texts(spark):
+    head, texts = words(40, 810), []
+    for i in range(4000):
+        own = words(12, 30_000 + i // 2)
+        n = i // 2 % 13
+        texts.append(" ".join(words(3, 50_000 + i) + own[:n] + head + own[n:] + words(3, 90_000 + i)))
+    want = repeated_words(texts)
+    got = {r["doc_id"]: r["repeated_words"] for r in passages.repeated(docs(spark, texts)).collect()}
+    assert len(want) == 4000 and got == want
+
+
 def test_passages_equal_brute_force(spark):
     shared, other = words(60, 1), words(49, 2)
     texts = list(EDGE) + [" ".join(words(20, 10 + i) + shared + words(30, 50 + i)) for i in range(30)]
