@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from hydroseries import config as C
 from hydroseries.config import TrainConfig
-from hydroseries.operators import features, learn
+from hydroseries.operators import evaluate, features, learn
 from hydroseries.plans import sqlkit as S
 from hydroseries.plans import staging
 from hydroseries.plans.catalog_guard import _FIT, CFG, LEVEL, _linear
+from hydroseries.plans.catalog_model import eval_base
 from hydroseries.plans.catalog_series import BASE, COLS, DI, SPEC, imputed
 from hydroseries.plans.catalog_stream import _SEALED, _events_stream
 from hydroseries.plans.registry import finish, register
@@ -130,3 +131,9 @@ register("logistic_metrics", DI[:-1] + ",\n" + _SPLIT + (
     "UNION ALL SELECT 'n_00', count(*) FILTER (y = 0 AND p <= 0.5) FROM test UNION ALL SELECT 'n_01', count(*) FILTER (y = 0 AND p > 0.5) FROM test "
     "UNION ALL SELECT 'n_10', count(*) FILTER (y = 1 AND p <= 0.5) FROM test UNION ALL SELECT 'n_11', count(*) FILTER (y = 1 AND p > 0.5) FROM test)"))(
     _logistic_metrics)
+
+
+# --- A7: a test set of one class has no ranking to measure ----------------------
+
+register("roc_auc_one_class", DI[:-1] + "\nSELECT CAST(NULL AS DOUBLE) AS roc_auc, CAST(0 AS BIGINT) AS n_pos, count(*) AS n_neg FROM imputed")(
+    lambda spark, d: finish(evaluate.roc_auc(eval_base(spark, d).withColumn("label", F.lit(0)), "label", "score")))

@@ -73,6 +73,39 @@ def latest_window_features(hourly: DataFrame, cols: list[str], window_hours: int
     return split.latest(feats, spec), report
 
 
+def _folders(spark: SparkSession, path: str, lo: dt.datetime, hi: dt.datetime) -> list[str]:
+    """The date folders of an hourly table that exist between two times."""
+    days = [(lo.date() + dt.timedelta(days=i)).isoformat() for i in range((hi.date() - lo.date()).days + 1)]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    made = [f"{path}/date={d}" for d in days]
+    return [f for f in made if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f))]
+
+
+def read_hours(spark: SparkSession, path: str, lo: dt.datetime, hi: dt.datetime, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
+    """Sealed hours of the dates from ``lo`` to ``hi``: other dates' folders are not even listed.  An hour stands once,
+    also while a compaction is under way (it does not change once it is sealed)."""
+    rows = spark.read.option("basePath", path).parquet(*_folders(spark, path, lo, hi)).drop("date", "batch_id")
+    return rows.dropDuplicates([*spec.keys, spec.ts])
+
+
+def compact_hours(spark: SparkSession, path: str, lo: dt.datetime, hi: dt.datetime, spec: SeriesSpec = SeriesSpec()) -> int:
+    """Brings the batches of each sealed date in ``[lo, hi]`` together in one folder (batch -1) and removes theirs; returns the
+    dates compacted.  Readers see every hour once at any time, and a run that was cut off can be repeated."""
+    folders = _folders(spark, path, lo, hi)
+    if not folders:
+        return 0
+    (read_hours(spark, path, lo, hi, spec).withColumns({"date": F.to_date(spec.ts), "batch_id": F.lit(-1).cast("long")}).repartition("date")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch_id").parquet(path))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in folders:
+        for s in fs.listStatus(hadoop.Path(f)):
+            if s.getPath().getName() != "batch_id=-1":
+                fs.delete(s.getPath(), True)
+    return len(folders)
+
+
 def scoring_batch(spark: SparkSession, hourly_path: str, pred_path: str, cols: list[str],
                   window_hours: int, cfg: FeatureConfig, spec: SeriesSpec,
                   scorer: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
@@ -93,12 +126,11 @@ def scoring_batch(spark: SparkSession, hourly_path: str, pred_path: str, cols: l
         # own output instead of appending it twice.
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("date", F.to_date("ts"))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("batch_id", "date").parquet(hourly_path))
+              .partitionBy("date", "batch_id").parquet(hourly_path))
         touched = batch.select(*spec.keys).distinct()
-        # Only the dates the realtime window can reach are read (partition pruning).
-        lo = batch.agg(F.min(spec.ts)).first()[0] - dt.timedelta(hours=window_hours)
-        hourly = (spark.read.parquet(hourly_path).filter(F.col("date") >= F.lit(lo.date()))
-                  .drop("date", "batch_id").join(touched, list(spec.keys), "left_semi"))
+        # Only the dates the realtime window can reach are listed and read.
+        span = batch.agg(F.min(spec.ts), F.max(spec.ts)).first()
+        hourly = read_hours(spark, hourly_path, span[0] - dt.timedelta(hours=window_hours), span[1], spec).join(touched, list(spec.keys), "left_semi")
         latest, report = latest_window_features(hourly, cols, window_hours, cfg, spec)
         preds = score.with_errors(scorer(latest), report, spec.keys).withColumn("batch_id", F.lit(batch_id).cast("long"))
         (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -253,19 +285,27 @@ def _last_hours_fn(window_hours: int):
         import numpy as np
         import pandas as pd
 
+        if state.hasTimedOut:  # no hour for long: no later window reaches what is kept
+            state.remove()
+            return
         kept = pd.DataFrame(dict(zip(("h", "level", "rain"), state.get)) if state.exists else {"h": [], "level": [], "rain": []})
         new = pd.concat(list(batches)).sort_values("h")[["h", "level", "rain"]]
-        rows = (pd.concat([kept, new]) if len(kept) else new).reset_index(drop=True)
+        rows = (pd.concat([kept, new]).sort_values("h") if len(kept) else new).reset_index(drop=True)
         hours, ends = rows["h"].to_numpy(), new["h"].to_numpy()
         first = np.searchsorted(hours, ends - window_hours, side="right")
         last = np.searchsorted(hours, ends, side="right")
-        out = []
-        for h, i, j in zip(ends, first, last):
-            w = rows.iloc[i:j]
-            out.append((key[0], pd.Timestamp(int(h) * 3600, unit="s"), len(w), w["level"].mean(), w["rain"].sum()))
-        rows = rows[rows["h"] > rows["h"].max() - window_hours]
+        # sums over a window are differences of running sums
+        sums = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        level, rain = rows["level"].to_numpy(dtype=float), rows["rain"].to_numpy(dtype=float)
+        known, total, wet = sums(~np.isnan(level)), sums(np.nan_to_num(level)), sums(np.nan_to_num(rain))
+        n = known[last] - known[first]
+        yield pd.DataFrame({"site_id": key[0], "ts": pd.to_datetime(ends.astype("int64") * 3600, unit="s"), "n_hours": last - first,
+                            "level_mean": np.where(n > 0, (total[last] - total[first]) / np.where(n > 0, n, 1.0), np.nan),
+                            "rain_sum": wet[last] - wet[first]})
+        newest = int(hours.max())
+        rows = rows[rows["h"] > newest - window_hours]
         state.update((rows["h"].astype("int64").tolist(), rows["level"].tolist(), rows["rain"].tolist()))
-        yield pd.DataFrame(out, columns=["site_id", "ts", "n_hours", "level_mean", "rain_sum"])
+        state.setTimeoutTimestamp(max((newest + 1 + window_hours) * 3_600_000, state.getCurrentWatermarkMs() + 1))
     return run
 
 
@@ -273,16 +313,18 @@ def last_hours_stream(hourly: DataFrame, window_hours: int = 30) -> DataFrame:
     """Per sealed hour of a site the figures of its last ``window_hours``
     hours.  ``hourly`` streams the table that T1 writes, where raw readings are
     already aggregated per (site, hour) in the JVM and hours arrive in order; the
-    per-site state holds at most ``window_hours`` rows.  (A stateful function
+    per-site state holds at most ``window_hours`` rows, and none once the newest hour of the stream is so
+    far on that no window reaches them.  (A stateful function
     cannot follow a streaming aggregate in the same query.)"""
     import sys
 
     from pyspark import cloudpickle
     from pyspark.sql.streaming.state import GroupStateTimeout
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    rows = hourly.select(
-        "site_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("bigint").alias("h"),
+    timed = hourly.withColumn("_t", F.col("ts").cast("timestamp")).withWatermark("_t", f"{window_hours} hours")
+    rows = timed.select(
+        "site_id", "_t", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).cast("bigint").alias("h"),
         F.col("local_water_level_m").alias("level"), F.col("rain_1h").alias("rain"))
     out = rows.groupBy("site_id").applyInPandasWithState(
-        _last_hours_fn(window_hours), WINDOW_SCHEMA, WINDOW_STATE, "append", GroupStateTimeout.NoTimeout)
+        _last_hours_fn(window_hours), WINDOW_SCHEMA, WINDOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
