@@ -187,8 +187,9 @@ def repeated(docs: DataFrame, min_words: int = 50, max_broadcast_rows: int = 100
     d = docs.select("doc_id", text_or_empty().alias("text")).withColumn("t", F.unhex(F.md5(F.col("text").cast("binary"))))
     suf = cut(suffixes(d, min_words))
     crowded = suf.groupBy("k1", "k2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("k1", "k2")
-    near = suf.join(crowded, ["k1", "k2"]).select("k1", "k2", "t", "pos", "n", "off").distinct()
-    wanted = cut(near.groupBy("t").agg(F.collect_list(F.struct("k1", "k2", "pos", "n", "off")).cast(AT).alias("at")))  # at most the suffixes of a text
+    near = suf.join(crowded, ["k1", "k2"]).select("k1", "k2", "t", "pos", "n", "off")
+    # at most the suffixes of a text: copies of it bring the same ones
+    wanted = cut(near.groupBy("t").agg(F.collect_set(F.struct("k1", "k2", "pos", "n", "off")).cast(AT).alias("at")))
     ids = wanted.select("t")
     texts = d.join(F.broadcast(ids) if ids.count() <= max_broadcast_rows else ids, "t").groupBy("t").agg(F.first("text").alias("text"))
     around = contexts(texts.join(wanted, "t"), min_words)
