@@ -72,13 +72,13 @@ def test_secret_model_and_spans_equal_plain(spark):
     texts += [f"plain words stand here {' '.join(words(20, i))}" for i in range(90)]
     texts += [f"see {rand(28)}a1B and {rand(20)}Z9 here", "ordinary_identifier_name_again1 here", "", None]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
-    table = secrets.train(df)
+    table = secrets.train(df.where("doc_id < 180"))
 
     base = re.compile(f"{secrets.ASSIGN.replace('(?i)', '(?i:', 1).replace('key)', 'key))', 1)}|{secrets.ACCESS}|{secrets.HEX}", re.A)
     k = secrets.OTHER + 1
     symbol = lambda c: secrets.ALPHABET.find(c) if c in secrets.ALPHABET else secrets.OTHER
     counts = [collections.Counter(), collections.Counter()]  # random strings, ordinary tokens
-    for t in texts:
+    for t in texts[:180]:
         for m in base.finditer(t or ""):
             value = m[2] or m[0]
             counts[0].update(zip(value, value[1:]))
