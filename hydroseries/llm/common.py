@@ -47,6 +47,25 @@ def remove_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Arrow batches to Python workers of at most ``size`` bytes (one row at least), unless the session has a smaller
+    bound.  It stays set, since a result is computed after the operator returns: JVM and worker hold batches outside the heap,
+    at the default of 64 MB a batch some hundred MB an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    kept = spark.conf.get(name, "")
+    if kept != f"{size}b" and _bytes(kept) > size:
+        spark.conf.set(name, f"{size}b")
+
+
+def _bytes(text: str) -> float:
+    """Number of a size setting such as 64m; infinite if none is set."""
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    digits = text.strip().lower().rstrip("bkmg")
+    if not digits.isdigit() or not int(digits):
+        return float("inf")
+    return int(digits) * units.get(text.strip().lower()[len(digits):] or "b", 1 << 20)
+
+
 def slices(batch, rows: int = 512, size: int = 4 << 20):
     """Pieces of an Arrow batch of at most ``rows`` rows and about ``size`` bytes (one row at least), so that what
     Python holds at once does not follow the session's batch size."""
@@ -64,6 +83,7 @@ def with_column(df: DataFrame, name: str, kind: T.DataType, start, inputs: list[
     exact; only ``keep`` (all by default) is returned."""
     df = df.drop(name)
     keep = list(keep) if keep is not None else df.columns
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hydroseries.llm.common import cut, with_column
+from hydroseries.llm.common import bounded_batches, cut, with_column
 from hydroseries.llm.pagetree import BLOCK, TEXT_BLOCK, Page
 
 
@@ -65,6 +65,7 @@ def hash_text(text: str) -> int:
 
 def extract(pages: DataFrame, min_pages: int = 3, min_text_pages: int = 10, max_broadcast_rows: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars per row of pages (page_id, url, html)."""
+    bounded_batches(pages.sparkSession)
     # the key of a page is its content, so a recomputed partition gives the same keys
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("host", host_of())
     p = p.withColumn("k1", F.xxhash64("url", "html")).withColumn("k2", F.xxhash64(F.lit(1), "html", "url"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hydroseries.llm import shingle
-from hydroseries.llm.common import cut, slices, text_or_empty
+from hydroseries.llm.common import bounded_batches, cut, slices, text_or_empty
 
 GRAM, SPAN = 3, 16
 SALTS = 0x632BE59BD9B4E019, 0x2545F4914F6CDD1D  # of the two hashes of a sequence
@@ -86,6 +86,7 @@ def suffixes(texts: DataFrame, min_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), ts.take(pa.array(a + doc[begin])), small(begin - first),
                                                   small(n), small(anchor - begin)], ["k1", "k2", "t", "pos", "n", "off"])
 
+    bounded_batches(texts.sparkSession)
     return texts.select("t", "text").mapInArrow(run, "k1 long, k2 long, t binary, pos int, n int, off int")
 
 
@@ -186,7 +187,8 @@ def repeated(docs: DataFrame, min_words: int = 50, max_broadcast_rows: int = 100
     """doc_id, n_passages, repeated_words, spans (first word:word after the last, comma-joined)."""
     d = docs.select("doc_id", text_or_empty().alias("text")).withColumn("t", F.unhex(F.md5(F.col("text").cast("binary"))))
     suf = cut(suffixes(d, min_words))
-    crowded = suf.groupBy("k1", "k2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("k1", "k2")
+    # written, so that both sides of the join are dealt out for it and a hot head may be split
+    crowded = cut(suf.groupBy("k1", "k2").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("k1", "k2"))
     near = suf.join(crowded, ["k1", "k2"]).select("k1", "k2", "t", "pos", "n", "off")
     # at most the suffixes of a text: copies of it bring the same ones
     wanted = cut(near.groupBy("t").agg(F.collect_set(F.struct("k1", "k2", "pos", "n", "off")).cast(AT).alias("at")))

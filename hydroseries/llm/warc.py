@@ -28,7 +28,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroseries.llm.common import cut, remove_folder, slices
+from hydroseries.llm.common import bounded_batches, cut, remove_folder, slices
 
 PIECE = 1 << 20
 DATE = "2024-01-01T00:00:00Z"  # the pages carry no date of their own
@@ -115,6 +115,8 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000, max_broadcast_rows: i
 
 def write_archives(payloads: DataFrame, folder: str, archive_bytes: int = 64 << 20) -> DataFrame:
     """Writes one-stream archives of about ``archive_bytes`` inflated bytes; returns ``archive``, ``records``."""
+    bounded_batches(payloads.sparkSession)
+
     def run(batches):
         import pyarrow as pa
         fs, root = _fs(folder)

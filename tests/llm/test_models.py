@@ -106,3 +106,17 @@ def test_secret_model_and_spans_equal_plain(spark):
                 spans.append(f"markov:{m.start()}:{m.end()}")
         assert [s for s in found[i].split(",") if s.startswith("markov")] == spans
     assert any("markov" in s for s in found.values())
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from hydroseries.llm import common
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name)
+    try:
+        for kept, want in (("64m", "4194304b"), ("1m", "1m"), ("0", "4194304b"), ("4194304b", "4194304b"), ("100", "100")):
+            spark.conf.set(name, kept)
+            common.bounded_batches(spark)
+            got = spark.conf.get(name)
+            assert common._bytes(got) == common._bytes(want)
+    finally:
+        spark.conf.set(name, old)
