@@ -52,7 +52,7 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     bound.  It stays set, since a result is computed after the operator returns: JVM and worker hold batches outside the heap,
     at the default of 64 MB a batch some hundred MB an executor."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    kept = spark.conf.get(name, "")
+    kept = spark.conf.get(name)
     if kept != f"{size}b" and _bytes(kept) > size:
         spark.conf.set(name, f"{size}b")
 
