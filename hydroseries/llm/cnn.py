@@ -124,6 +124,7 @@ def score(texts: list[bytes], m: dict) -> np.ndarray:
         return np.zeros(0)
     if "constant" in m:
         return np.full(len(texts), float(m["constant"]))
+    m = ready(m)
     x = features(texts, m).astype(np.float64) @ m["out"] + m["b"]
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -189,7 +190,12 @@ def train(sample: list[tuple[str, int]], counts: dict[int, int], epochs: int = 1
             acc[4] += g_b * g_b
             b -= rate * g_b / np.sqrt(acc[4])
     prior = np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1))
-    return {"t": tables(vc, vb), "bias": bias.astype(np.float32), "out": out, "b": b + prior}
+    return {"vc": vc, "vb": vb, "bias": bias.astype(np.float32), "out": out, "b": b + prior}
+
+
+def ready(m: dict) -> dict:
+    """The model with its lookup tables, which are a hundred times its size: made where it scores, not shipped."""
+    return m if "t" in m or "constant" in m else m | {"t": tables(m["vc"], m["vb"])}
 
 
 def first_max(z: np.ndarray, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -214,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> dict:
 def classify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, score, predicted per row; other columns of docs stay."""
     def start():
-        return lambda texts: score([t.encode("utf-8", "replace") for t in texts], model).tolist()
+        own = ready(model)
+        return lambda texts: score([t.encode("utf-8", "replace") for t in texts], own).tolist()
 
     got = docs.drop("_text", "held_out", "predicted").withColumn("_text", text_or_empty())
     got = with_column(got, "score", T.DoubleType(), start, ["_text"], [c for c in got.columns if c not in ("_text", "score")])

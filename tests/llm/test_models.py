@@ -39,7 +39,7 @@ def plain_probability(text: bytes, m) -> float:
 def test_quality_network_equals_plain_convolution():
     good = [" ".join(words(40, i)) + ". Then more." for i in range(60)]
     bad = ["!! ".join(words(40, i)).upper() for i in range(60)]
-    m = cnn.train([(t, 1) for t in good] + [(t, 0) for t in bad], {0: 60, 1: 60}, epochs=2)
+    m = cnn.ready(cnn.train([(t, 1) for t in good] + [(t, 0) for t in bad], {0: 60, 1: 60}, epochs=2))
     texts = [b"", b"a", "é漢 ".encode() * 90, good[0].encode() * 5, bad[1].encode(), b"x" * 256, b"y" * 257, b"z" * 513, b"w. " * 700]
     got = cnn.score(texts, m)
     for t, p in zip(texts, got):
