@@ -55,17 +55,19 @@ def bfill(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC) -> DataF
     return windows.carry(df, spec, {c: F.col(c) for c in cols}, "backward")
 
 
-def _neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec) -> DataFrame:
+def _neighbours(df: DataFrame, cols: list[str], spec: SeriesSpec, observed: DataFrame | None = None) -> DataFrame:
     """Adds ``_pt_{c}, _pv_{c}`` (time and value of the previous non-null at or
     before the row) and ``_nt_{c}, _nv_{c}`` (the next one at or after it), for
-    all columns in one forward + backward pass."""
+    all columns in one forward + backward pass.  ``observed``: the rows that the dense grid
+    was made from (its first and last row included); what chunks hand on is then
+    read from them, not from the grid a second time."""
     t = to_epoch(spec.ts).cast("double")
     fwd, bwd = {}, {}
     for c in cols:
         tc, vc = F.when(F.col(c).isNotNull(), t), F.col(c).cast("double")
         fwd[f"_pt_{c}"], fwd[f"_pv_{c}"] = tc, vc
         bwd[f"_nt_{c}"], bwd[f"_nv_{c}"] = tc, vc
-    return windows.carry_both(df, spec, fwd, bwd)
+    return windows.carry_both(df, spec, fwd, bwd, observed)
 
 
 def _tmp(cols) -> list[str]:
@@ -109,8 +111,9 @@ def default_policy(col: str) -> tuple[str, float | None]:
 
 
 def impute_series(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC,
-                  policy: Mapping[str, tuple[str, float | None]] | None = None) -> DataFrame:
-    """F1 + F2: per-column policy in one forward and one backward pass.
+                  policy: Mapping[str, tuple[str, float | None]] | None = None, observed: DataFrame | None = None) -> DataFrame:
+    """F1 + F2: per-column policy in one forward and one backward pass
+    (``observed``: the rows that ``df`` was densified from, if at hand).
 
     ``continuous``: time interpolation inside gaps, then forward fill, then
     backward fill, then the fallback constant.  After both carries a null is
@@ -122,7 +125,7 @@ def impute_series(df: DataFrame, cols: Iterable[str], spec: SeriesSpec = _SPEC,
     cols = [c for c in cols if c in df.columns and isinstance(df.schema[c].dataType, T.NumericType)]
     pol = {c: (policy or {}).get(c) or default_policy(c) for c in cols}
     cont = [c for c in cols if pol[c][0] == "continuous"]
-    x = _neighbours(df, cont, spec) if cont else df
+    x = _neighbours(df, cont, spec, observed) if cont else df
     out = {}
     for c in cols:
         method, fb = pol[c]
@@ -174,9 +177,9 @@ def fill_missing(df: DataFrame, strategy: str = "ffill", cols: Iterable[str] | N
 def impute_forecast(df: DataFrame, spec: SeriesSpec = _SPEC,
                     continuous: Iterable[str] = ("temperature", "humidity", "pressure",
                                                  "wind_speed", "wind_deg", "clouds_all"),
-                    rain: Iterable[str] = ("rain_1h", "rain_3h")) -> DataFrame:
+                    rain: Iterable[str] = ("rain_1h", "rain_3h"), observed: DataFrame | None = None) -> DataFrame:
     """forecast rows on an hourly grid: sensors by W8, rain by forward
-    fill then 0.0 — all in one forward + backward pass."""
+    fill then 0.0 — all in one forward + backward pass (``observed`` as in ``impute_series``)."""
     cont = [c for c in continuous if c in df.columns]
     rain = [c for c in rain if c in df.columns]
     t = to_epoch(spec.ts).cast("double")
@@ -187,7 +190,7 @@ def impute_forecast(df: DataFrame, spec: SeriesSpec = _SPEC,
         bwd[f"_nt_{c}"], bwd[f"_nv_{c}"] = tc, vc
     for c in rain:
         fwd[f"_ff_{c}"] = F.col(c)
-    x = windows.carry_both(df, spec, fwd, bwd)
+    x = windows.carry_both(df, spec, fwd, bwd, observed)
     out = {c: F.coalesce(F.col(c).cast("double"), _interp(c, spec), F.col(f"_pv_{c}"), F.col(f"_nv_{c}"))
            for c in cont}
     out.update({c: F.coalesce(F.col(f"_ff_{c}"), F.lit(0.0)) for c in rain})

@@ -221,6 +221,10 @@ def forecast_docs(spark, d):
          .otherwise(F.array().cast(weather_t)).alias("weather"),
         F.when(v > 200, F.struct((v / 100.0).alias("1h"), dbl(None).alias("3h")))
          .when(v > 100, F.struct(dbl(None).alias("1h"), (v / 50.0).alias("3h"))).alias("rain"))
+    # documents land in many files: a table of one small file is dealt out before they are made
+    ev, cores = ev.select("site_id", "ts", "value", "props"), spark.sparkContext.defaultParallelism
+    if ev.rdd.getNumPartitions() < cores:
+        ev = ev.repartition(cores)
     return ev.select("site_id", F.to_json(F.struct(F.array(item).alias("list"))).alias("doc"))
 
 
@@ -243,7 +247,7 @@ def _impute_forecast(spark, d):
     flat = io.parse_forecast(forecast_docs(spark, d), "doc")
     # The hourly table feeds the grid bounds, the join and both carries: cut once.
     hourly = materialize(timegrid.resample_mean(flat, _FC_NUM, SPEC), "checkpoint")
-    return finish(fill.impute_forecast(timegrid.densify(hourly, SPEC, keep_chunk=True), SPEC).select(*BASE, *_FC_NUM))
+    return finish(fill.impute_forecast(timegrid.densify(hourly, SPEC, keep_chunk=True), SPEC, observed=hourly).select(*BASE, *_FC_NUM))
 
 
 register("impute_forecast", S.with_(

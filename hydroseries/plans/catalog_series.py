@@ -39,11 +39,16 @@ def dense(spark, d, spec=SPEC, static=None, sea=False):
     union do not rescan ``events``; densified with one shuffle on
     ``(site, chunk)``, keeping ``_chunk`` so the fill passes reuse it (every
     query selects its output columns explicitly)."""
-    return timegrid.densify(materialize(staging.obs(spark, d, sea), "checkpoint"), spec, keep_chunk=True, static=static)
+    return _dense_of(materialize(staging.obs(spark, d, sea), "checkpoint"), spec, static)
+
+
+def _dense_of(hourly, spec, static=None):
+    return timegrid.densify(hourly, spec, keep_chunk=True, static=static)
 
 
 def imputed(spark, d, spec=SPEC, static=None, keep_chunk=False, sea=False):
-    out = fill.impute_series(dense(spark, d, spec, static, sea), COLS + ["sea_level_m"] * sea, spec)
+    hourly = materialize(staging.obs(spark, d, sea), "checkpoint")
+    out = fill.impute_series(_dense_of(hourly, spec, static), COLS + ["sea_level_m"] * sea, spec, observed=hourly)
     return out if keep_chunk else out.drop(timegrid.CHUNK)
 
 

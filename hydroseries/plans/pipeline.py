@@ -35,6 +35,7 @@ def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SP
     passes), so it is cut once (``cut``) to avoid rescanning the raw input.
     """
     hourly = materialize(hourly, cut)
+    observed = None
     if start is not None and end is not None:
         spans = hourly.select(*spec.keys).distinct().withColumns(
             {"start": F.lit(start).cast("timestamp_ntz"), "end": F.lit(end).cast("timestamp_ntz")})
@@ -48,11 +49,12 @@ def build_history(hourly: DataFrame, cols: Sequence[str], spec: SeriesSpec = _SP
         # One shuffle on (site, chunk) for grid + reindex + both fill passes
         # when no source joins come in between.
         grid = timegrid.densify(hourly, spec, keep_chunk=not sources, static=static)
+        observed = hourly if not sources else None
     merged = combine.combine_sources(grid, list(sources), spec) if sources else grid
     st = set(static.columns) if static is not None else set()
     present = [c for c in merged.columns
                if c not in spec.keys and c not in (spec.ts, timegrid.CHUNK) and c not in st]
-    out = fill.impute_series(merged, [c for c in present if c in cols or not cols], spec, policy)
+    out = fill.impute_series(merged, [c for c in present if c in cols or not cols], spec, policy, observed)
     return out if keep_chunk else out.drop(timegrid.CHUNK)
 
 

@@ -56,7 +56,8 @@ def create(hourly: DataFrame, path: str, cols: Sequence[str], spec: SeriesSpec =
     spark.createDataFrame([(spec.chunk_hours, buckets)], "chunk_hours int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     stored = spark.read.parquet(f"{path}/hourly")
     _write(_summary(stored, cols, spec), f"{path}/chunks", [BUCKET])
-    dense = fill.impute_series(timegrid.densify(stored.drop(CHUNK, BUCKET), spec), cols, spec)
+    rows = stored.drop(CHUNK, BUCKET)
+    dense = fill.impute_series(timegrid.densify(rows, spec, keep_chunk=True), cols, spec, observed=rows).drop(CHUNK)
     _write(_placed(dense, spec, buckets), f"{path}/history", [CHUNK, BUCKET])
 
 
