@@ -522,6 +522,65 @@ def test_decontamination_recall_by_size():
     assert {n: missed[n] / due[n] for n in sizes if missed[n] > 0.01 * due[n]} == {}
 
 
+def all_windows(items, text, k=5, threshold=0.8):
+    """Matches of the items in a text by comparing all windows of their lengths, cut at its ends."""
+    toks, out = text.split(), []
+    grams = lambda w, size: {tuple(w[x:x + size]) for x in range(len(w) - size + 1)}
+    for i, w in items.items():
+        bag, n, hits = shingle.bag_of(" ".join(w), k), len(w), set()
+        alike = grams(w, min(n, k)) & grams(toks, min(n, k))  # without one no window has a shingle of the item
+        for at in range(-n + 1, len(toks)) if alike else ():
+            b, t = max(0, at), min(len(toks), at + n)
+            got = shingle.similarity(bag, shingle.bag_of(" ".join(toks[b:t]), k))
+            if got >= threshold - 1e-12:
+                hits.add((-got, b, t))
+        kept = []
+        for minus, b, t in sorted(hits):
+            if all(t <= x or y <= b for _, x, y in kept):
+                kept.append((minus, b, t))
+        out += [(i, pytest.approx(-minus), b, t) for minus, b, t in sorted(kept, key=lambda h: h[1])]
+    return out
+
+
+def test_decontamination_equals_a_comparison_of_all_windows():
+    """Words from large and small vocabularies, passages with several edits, moved, cut at the ends of a text, repeated."""
+    r = random.Random(31)
+    sizes = [1, 3, 5, 6, 7, 10, 13, 14, 15, 16, 19, 24, 31, 32, 40, 55, 59, 64, 70, 120]
+    items = {}
+    for j in range(60):
+        vocabulary = [f"w{x}" for x in range(r.choice([4, 30, 4000]))]
+        items[j] = [r.choice(vocabulary) for _ in range(sizes[j % len(sizes)])]
+    texts, spots = [], 0
+    for w in items.values():
+        for edits in (0, 1, 2, 3):
+            x = list(w)
+            for _ in range(edits):
+                p = r.choice([0, len(x) // 2, len(x) - 1, r.randrange(len(x))]) if x else 0
+                x[p:p + r.randrange(2)] = [f"new{r.randrange(99)}"] * r.randrange(2)
+            fill = lambda: [f"w{r.randrange(5000)}" for _ in range(r.choice([0, 0, 3, 17]))]
+            texts.append(" ".join(fill() + x + fill() + (w if r.random() < 0.2 else []) + fill()))
+    texts += ["", "w1", "w1 " * 40]
+    got = decon.Items([(i, " ".join(w)) for i, w in items.items()]).search(texts, 0.8)
+    for text, hits in zip(texts, got):
+        assert hits == all_windows(items, text)
+        spots += len(hits)
+    assert spots > 150
+
+
+@pytest.mark.parametrize("change", ["halves swapped", "words put in"])
+def test_decontamination_looks_at_all_windows_about_a_passage(change):
+    """Words in common that stand farther from their place in the item than the windows tried about an anchor."""
+    r, texts, items = random.Random(5), [], {}
+    for j, n in enumerate([59, 70, 110, 200, 300] * 4):
+        w = items[j] = words(n, 70_000 + j)
+        x = w[n // 2:] + w[:n // 2] if change == "halves swapped" else w[:n // 2] + [f"new{j}_{p}" for p in range(n // 12)] + w[n // 2:]
+        texts.append(" ".join(words(r.randrange(20), r.random()) + x + words(r.randrange(20), r.random())))
+    got = decon.Items([(i, " ".join(w)) for i, w in items.items()]).search(texts, 0.8)
+    want = [all_windows(items, text) for text in texts]
+    assert sum(map(len, want)) >= 8
+    assert got == want
+
+
 def test_decontamination_returns_every_occurrence(spark):
     item = words(20, 77)
     text = " ".join(words(7, 1) + item + words(5, 2) + item + item)
