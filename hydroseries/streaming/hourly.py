@@ -13,6 +13,7 @@ restarted batch does not duplicate rows.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import os
 import uuid
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 
 from hydroseries.config import FeatureConfig, SeriesSpec
 from hydroseries.operators import features, fill, learn, scaling, score, split, stats, timegrid
-from hydroseries.session import checkpoint_dir
+from hydroseries.session import checkpoint_dir, scratch_path
 from hydroseries.sources import io
 
 
@@ -106,25 +107,42 @@ def compact_hours(spark: SparkSession, path: str, lo: dt.datetime, hi: dt.dateti
     return len(folders)
 
 
+@contextlib.contextmanager
+def state_partitions(spark: SparkSession, most: int = 64):
+    """Queries started inside have ``most`` partitions of state at most.  Every task of a stateful query sends the driver a
+    metric for each partition of each store, so what the driver gets grows with the square of their number."""
+    name = "spark.sql.shuffle.partitions"
+    kept = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(kept))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, kept)
+
+
 def scoring_batch(spark: SparkSession, hourly_path: str, pred_path: str, cols: list[str],
                   window_hours: int, cfg: FeatureConfig, spec: SeriesSpec,
                   scorer: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """The ``foreachBatch`` function."""
     def run(batch: DataFrame, batch_id: int) -> None:
-        # The batch is used several times below; keep it so the stateful
-        # upstream is not re-executed for each use.
-        batch = batch.persist()
+        # The batch is used several times below: it is written once and read from there.  Each task over the stateful plan
+        # itself, cached or not, sends the driver the metrics of all its state stores.
+        path = scratch_path(spark, f"batch-{uuid.uuid4().hex}")
         try:
-            _score_batch(batch, batch_id)
+            batch.write.parquet(path)
+            _score_batch(spark.read.schema(batch.schema).parquet(path), batch_id)
         finally:
-            batch.unpersist()
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def _score_batch(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
         # Overwrite only this batch's partitions: a retried batch replaces its
-        # own output instead of appending it twice.
+        # own output instead of appending it twice.  A date's rows come together, so that files
+        # and what the writing tasks report follow the dates, not dates times tasks.
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("date", F.to_date("ts"))
+              .hint("rebalance", F.col("date"))
               .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
               .partitionBy("date", "batch_id").parquet(hourly_path))
         touched = batch.select(*spec.keys).distinct()
@@ -171,8 +189,10 @@ def score_stream(spark: SparkSession, hourly: DataFrame, cols: list[str], window
     """T2 over a stream of sealed hours (of one feed, ``hourly_stream``, or several, ``combine.combined_hourly_stream``),
     run to completion on what is available; returns the prediction path."""
     fn = scoring_batch(spark, f"{base}/hourly", f"{base}/predictions", cols, window_hours, cfg, spec, scorer)
-    (hourly.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/checkpoint")
-           .trigger(availableNow=True).start().awaitTermination())
+    with state_partitions(spark):
+        query = (hourly.writeStream.foreachBatch(fn).option("checkpointLocation", f"{base}/checkpoint")
+                 .trigger(availableNow=True).start())
+    query.awaitTermination()
     return f"{base}/predictions"
 
 

@@ -1,10 +1,13 @@
 """The hourly table of the scoring stream: few folders listed, compaction; windows of the last hours as state."""
 
 import datetime as dt
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from hydroseries.config import FeatureConfig, SeriesSpec
 from hydroseries.streaming import hourly as H
 
 T0 = dt.datetime(2024, 3, 1)
@@ -49,3 +52,36 @@ def test_last_hours_by_running_sums_and_dead_sites(spark, tmp_path):
         assert (g["level_mean"] is None) == (not levels) and (not levels or abs(g["level_mean"] - sum(levels) / len(levels)) < 1e-9)
     state = spark.read.format("statestore").load(ck)
     assert {x[0] for x in state.select("key.site_id").collect()} == {"a"}  # the dead site left no state
+
+
+def test_batch_is_written_in_few_files_and_not_cached(spark, monkeypatch):
+    """What a batch sends to the driver follows its dates and sites, not these times its tasks."""
+    rows = [(s, T0 + dt.timedelta(hours=h), 1.0 + h % 3, 0.0, 5.0) for s in "ab" for h in range(96)]
+    df = spark.createDataFrame(rows, "site_id string, ts timestamp_ntz, local_water_level_m double, rain_1h double, humidity double").repartition(16)
+    base = H.scratch(spark, "few-files")
+    cfg = FeatureConfig(lag_features=("rain_1h", "local_water_level_m"), require_target=False)
+    fn = H.scoring_batch(spark, f"{base}/hourly", f"{base}/predictions", ["local_water_level_m", "rain_1h", "humidity"], 30, cfg, SeriesSpec(), H.persistence_scorer())
+    monkeypatch.setattr(type(df), "persist", lambda *a, **k: pytest.fail("the plan of the stream is cached"))
+    fn(df, 0)
+    fn(df.limit(0), 1)
+    hourly = spark.read.parquet(f"{base}/hourly")
+    assert hourly.count() == len(rows) and len(hourly.inputFiles()) == 4
+    got = spark.read.schema(H.PREDICTION_SCHEMA).parquet(f"{base}/predictions").orderBy("site_id").collect()
+    assert [(r["site_id"], r["ts"], r["predicted_water_level_m"]) for r in got] == [(s, T0 + dt.timedelta(hours=95), 3.0) for s in "ab"]
+    left = os.path.join(H.checkpoint_dir(spark), "tables").removeprefix("file:")
+    assert not [f for f in os.listdir(left) if f.startswith("batch-")]
+
+
+def test_partitions_of_state_are_bounded(spark):
+    name = "spark.sql.shuffle.partitions"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "500")
+        with H.state_partitions(spark):
+            assert spark.conf.get(name) == "64"
+        assert spark.conf.get(name) == "500"
+        spark.conf.set(name, "8")
+        with H.state_partitions(spark):
+            assert spark.conf.get(name) == "8"
+    finally:
+        spark.conf.set(name, kept)
